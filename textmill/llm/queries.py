@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import common, licenses, warc
+from textmill.llm import audio, common, html, licenses, packing, pieces, warc
+
+PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"), PIECE_MODEL, ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = audio.audio_features(table(spark, sf_dir, "documents"))
+    feature = F.concat_ws(" ", F.concat("n_frames", F.lit(f"x{audio.BANDS}")), F.sha2("tensors", 256), F.to_json("segments"))
+    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), PACKING_TOKENIZER)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -24,7 +46,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"), F.coalesce(F.sha2("payload", 256), "payload_digest").alias("payload_digest"), "record_type", "refers_to")
 
 
-QUERIES = {"op9_license_scan": op9_license_scan, "op10_warc": op10_warc}
+QUERIES = {
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_audio_features": op6_audio_features,
+    "op7_main_text": op7_main_text,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_license_scan": op9_license_scan,
+    "op10_warc": op10_warc,
+}
 
 ORACLES = {
     "op10_warc": """
