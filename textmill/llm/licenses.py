@@ -168,7 +168,7 @@ def _gated(lowered: bytes, offsets: np.ndarray) -> np.ndarray:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    detect = scanner().detect
+    own = scanner()
     kind = pa.list_(pa.struct([("label", pa.string()), ("rule", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in steps(batches, "text"):
         raw, offsets = utf8(batch.column("text"))
@@ -186,11 +186,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = lowered[offsets[row] : offsets[row + 1]].decode("utf-8", "replace")
             if "license" in text and (places := base_places(text)):
                 base[row] = places
-            if hits := detect(text):
+            if hits := own.detect(text):
                 found[row] = hits
         at = [base.get(i, ()) for i in range(n)]
-        hit = [[(scanner.rules[r], a, b) for a, b, r in found.get(i, ())] for i in range(n)]
-        own = [{label for _, label in x} for x in at]
+        hit = [[(own.rules[r], a, b) for a, b, r in found.get(i, ())] for i in range(n)]
+        labels = [{label for _, label in x} for x in at]
         yield pa.record_batch(
             {
                 "doc_id": batch.column("doc_id").cast(pa.int64()),
@@ -198,9 +198,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "n_base": pa.array([len(x) for x in at], pa.int64()),
                 "first_word": pa.array([x[0][0] if x else None for x in at], pa.int64()),
                 "last_word": pa.array([x[-1][0] if x else None for x in at], pa.int64()),
-                "base_labels": pa.array([",".join(sorted(x)) for x in own], pa.string()),
-                "labels": pa.array([",".join(sorted(x | {h[0][1] for h in y})) for x, y in zip(own, hit, strict=True)], pa.string()),
-                "score": pa.array([max([0.9 if x else 0.0, *(h[0][4] for h in y)]) for x, y in zip(own, hit, strict=True)], pa.float64()),
+                "base_labels": pa.array([",".join(sorted(x)) for x in labels], pa.string()),
+                "labels": pa.array([",".join(sorted(x | {h[0][1] for h in y})) for x, y in zip(labels, hit, strict=True)], pa.string()),
+                "score": pa.array([max([0.9 if x else 0.0, *(h[0][4] for h in y)]) for x, y in zip(labels, hit, strict=True)], pa.float64()),
                 "detections": pa.array([[{"label": h[0][1], "rule": h[0][2], "start": h[1], "end": h[2]} for h in y] for y in hit], kind),
             }
         )
