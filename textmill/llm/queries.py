@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import audio, common, html, licenses, packing, pieces, warc
+from textmill.llm import audio, common, html, language, licenses, packing, pieces, pii, quality, warc
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Stands for the secret that a production run takes from its own key store.
+SURROGATE_KEY = b"textmill surrogate key"
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -16,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs).select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), PIECE_MODEL, ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -47,6 +62,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_surrogates": op3_surrogates,
+    "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_audio_features": op6_audio_features,
     "op7_main_text": op7_main_text,
