@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import audio, common, html, language, licenses, packing, pieces, pii, quality, warc
+from textmill.llm import audio, common, html, language, licenses, neardup, packing, pieces, pii, quality, warc
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Stands for the secret that a production run takes from its own key store.
@@ -22,6 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Near(shingle=3, percent=85))
+
+
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents"), SURROGATE_KEY)
 
@@ -63,6 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_surrogates": op3_surrogates,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
@@ -74,6 +79,20 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_near_duplicates": r"""
+        with recursive w as (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        g as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+            else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as g from w),
+        r as (select g, min(doc_id) as rep, len(g) as n from (select doc_id, list_sort(g) as g from g) where len(g) > 0 group by g),
+        s as (select rep, n, unnest(g) as s from r),
+        e as (select a.rep as a, b.rep as b from s a join s b on a.s = b.s and a.rep <> b.rep and 100 * a.n >= 85 * b.n and 100 * b.n >= 85 * a.n
+            group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        c(node, label) as (select rep, rep from r union select e.b, c.label from c join e on e.a = c.node),
+        l as (select node, min(label) as label from c group by node),
+        m as (select g.doc_id, len(g.g) as n_shingles, case when len(g.g) = 0 then g.doc_id else l.label end as component_id
+            from g left join r on list_sort(g.g) = r.g left join l on l.node = r.rep)
+        select doc_id, n_shingles, component_id, doc_id = component_id as kept from m""",
     "op10_warc": """
         with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
         f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest)
