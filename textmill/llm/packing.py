@@ -13,10 +13,13 @@ their length by partition, and looked up in the finished plan.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -25,13 +28,20 @@ from pyspark.sql import functions as F
 from textmill.llm.common import materialize, steps
 
 CAPACITY = 2048
-#: Words whose ids a Python worker remembers; a full memory is emptied, results don't depend on it.
-WORDS = 300_000
+#: Words whose ids a Python worker remembers, twice: when so many are known, those not met since the last time are forgotten. Results don't depend on it.
+WORDS = 400_000
+#: Letters with one closing mark or none; marks by themselves.
+SIMPLE = re.compile(r"([A-Za-z]+)([.,!?;:]?)").fullmatch
+MARKS = ("", ".", ",", "!", "?", ";", ":")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
 class WordIds:
-    """Ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizer whose tokens never cross ' ' or a line feed."""
+    """Ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizer whose tokens never cross ' ' or a line feed.
+
+    The tokenizer lower-cases, and keeps letters apart from the marks behind them, so a word with
+    capitals or a closing mark is put together from words that are known already.
+    """
 
     def __init__(self, path: str, words: int = WORDS) -> None:
         import os
@@ -39,18 +49,58 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.known = Tokenizer.from_file(path), words, {}
+        self.tokenizer, self.words = Tokenizer.from_file(path), words
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, words: list[str]) -> None:
+        """Adds words to those known: those of small letters alone, which have one closing token each, in one call."""
+        joint = [w for w in words if w.isalpha() and w == w.lower()]
+        words = [w for w in words if not (w.isalpha() and w == w.lower())]
+        for i in range(0, len(joint), 4096):
+            some = joint[i : i + 4096]
+            ids = array("I", self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids).tobytes()
+            ends = 4 * (np.flatnonzero(self.closes[np.frombuffer(ids, "<u4")]) + 1)
+            if len(ends) != len(some):
+                words += some
+                continue
+            at = 0
+            for word, end in zip(some, ends.tolist(), strict=True):
+                self.known[word] = ids[at:end]
+                at = end
+        for i in range(0, len(words), 4096):
+            some = words[i : i + 4096]
+            for word, made in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[word] = array("I", made.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [text.replace("\n", " ").split(" ") for text in texts]
-        new = [w for w in {w for own in parts for w in own} if w not in self.known]
-        if len(self.known) + len(new) > self.words:
-            self.known, new = {}, list({w for own in parts for w in own})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for word, made in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = b"".join(x.to_bytes(4, "little") for x in made.ids)
-        get = self.known.__getitem__
+        if len(self.known) > self.words:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        plain, joint = set(MARKS), {}
+        for word in set().union(*parts).difference(known):
+            if word in older:
+                known[word] = older[word]
+            elif (m := SIMPLE(word)) and (m[2] or not m[1].islower()):
+                core = m[1].lower()
+                joint[word] = (core, m[2])
+                plain.add(core)
+            else:
+                plain.add(word)
+        new = []
+        for word in plain.difference(known):
+            if word in older:
+                known[word] = older[word]
+            else:
+                new.append(word)
+        self.encode(new)
+        for word, (core, mark) in joint.items():
+            known[word] = known[core] + known[mark]
+        get = known.__getitem__
         return [b"".join(map(get, own)) for own in parts]
 
 
