@@ -1,42 +1,16 @@
-"""What the operators of this package share: the shared folder and Arrow helpers."""
+"""What the operators of this package share: Arrow helpers, and the shared folder's written tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-#: Bytes of text that one step of an Arrow operator works on; bounds a worker's memory.
-STEP_BYTES = 4 << 20
-
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
+from textmill.plans.shared import materialize, shared_path
 
-    A local session without the setting (tests) gets a temporary folder of its own; a cluster
-    without it is an error, since a machine-local folder would lose rows.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="textmill-"))
-    return spark.conf.get("spark.checkpoint.dir")
+__all__ = ["materialize", "shared_path", "steps", "utf8"]
 
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read again: cuts lineage, outlives executors."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of text that one step of an Arrow operator works on; bounds a worker's memory.
+STEP_BYTES = 4 << 20
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
