@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import audio, common, html, language, licenses, neardup, packing, pieces, pii, quality, warc
+from textmill.llm import audio, common, html, language, licenses, neardup, oracles, packing, pieces, pii, quality, warc
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Stands for the secret that a production run takes from its own key store.
@@ -79,6 +79,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_quality_rules": oracles.QUALITY,
     "op2_near_duplicates": r"""
         with recursive w as (
             select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
