@@ -1,0 +1,466 @@
+"""The training-data operators against plain versions of themselves, on rows that are hard to get right."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from conftest import SF
+
+pytest.importorskip("public_tokenizers")
+import public_tokenizers as P  # noqa: E402
+
+from textmill.llm import audio, html, language, licenses, neardup, packing, pieces, pii, quality, warc  # noqa: E402
+from textmill.llm.common import shared_path  # noqa: E402
+from textmill.llm.queries import ORACLES, QUERIES  # noqa: E402
+
+WORDS = "the of and to in is that for was on are with be by he this Von Über señor 123 !!".split()
+LONG = " ".join(random.Random(7).choice(WORDS) for _ in range(60_000))
+ROWS = [(0, None), (1, ""), (2, " \n\t "), (3, "a b"), (4, "x y z x y z\nx\nx"), (5, LONG), (6, "same text here"), (6, "same text here"), (None, "no id"), (7, "é\u0000\x0b漢字 😀 ＃ İ ΣΑΣ ﬁ"), (8, "MIT License."), (9, "x" * 50_000)]
+#: Names that the operators use themselves.
+CLASHES = "n_words long, kept long, rep long, band long, length long, payload long, score long, _text long, _lang long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if (i or 0) % 2 else None, "s", len(t or ""), *[1] * 9) for i, t in ROWS]
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {CLASHES}").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def sample(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def by_id(df, *names):
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_same_rows_as_sql(name, same_as_sql):
+    same_as_sql(QUERIES[name], ORACLES[name])
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op2_near_duplicates", "op3_surrogates", "op4_language_id", "op5_sentencepiece", "op6_audio_features", "op8_best_fit_packing", "op9_license_scan"])
+def test_empty_documents(name, spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op7_main_text", "op10_warc"])
+def test_empty_pages(name, spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+# 1
+
+
+def plain_base(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    inside = {j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(inside), len(words) < 50 or 100 * len(inside) > 50 * len(words)
+
+
+def test_quality_base(docs):
+    got = by_id(quality.judge(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert got == sorted(((i, *plain_base(t)) for i, t in ROWS), key=repr)
+
+
+def test_quality_verdict(sample, spark):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = [r for r in quality.judge(sample).collect() if r["doc_id"] in labels and not r["base_failed"]]
+    assert all(r["kept"] for r in rows if labels[r["doc_id"]] == 1)
+    assert any(not r["kept"] for r in rows if labels[r["doc_id"]] == 0)
+
+
+def test_distance(spark):
+    rows = spark.createDataFrame([([1, 0], [0, 1]), ([2, 2], [5, 5]), ([1, 3], [3, 1]), ([0, 0], [1, 1])], "p array<long>, q array<long>")
+    got = [r["d"] for r in rows.select(quality.distance(rows.p, rows.q).alias("d")).collect()]
+    jsd = 0.5 * (0.25 * math.log2(0.25 / 0.5) + 0.75 * math.log2(0.75 / 0.5)) * 2
+    assert got[0] == pytest.approx(1) and got[1] == pytest.approx(0) and got[2] == pytest.approx(math.sqrt(jsd)) and got[3] is None
+
+
+# 2
+
+
+def plain_groups(rows, near):
+    sets = {}
+    for i, t in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+        n = near.shingle
+        sets.setdefault(i, set()).update({tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set())
+    label = {i: i for i in sets}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= near.percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                label[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("near", [neardup.Near(), neardup.Near(3, 85)])
+def test_near_groups_of_edited_copies(spark, near):
+    r = random.Random(3)
+    rows, i = [], 0
+    for _ in range(12):  # families of copies with a few words changed, many just at the threshold
+        base = [r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(400)) for _ in range(r.randrange(20, 150))]
+        for _ in range(r.randrange(1, 25)):
+            own = list(base)
+            for _ in range(r.randrange(0, 5)):
+                own[r.randrange(len(own))] = "new" + str(r.randrange(1000))
+            rows.append((i, " ".join(own).replace("a", "A", r.randrange(2))))
+            i += 1
+    rows += [(i, None), (i + 1, ""), (i + 2, "one"), (i + 3, "ONE"), (i + 4, "one\ntwo"), (i + 5, "two one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = plain_groups(rows, near)
+    assert by_id(neardup.near_duplicates(df, near), "doc_id", "n_shingles", "component_id", "kept") == sorted(((k, n, c, k == c) for k, (n, c) in want.items()), key=repr)
+
+
+def test_near_groups_of_odd_rows(docs):
+    got = neardup.near_duplicates(docs, neardup.Near()).collect()
+    assert len(got) == len(ROWS)
+    assert {(r["component_id"], r["kept"]) for r in got if r["doc_id"] == 6} == {(6, True)}
+    assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, False)]
+
+
+def test_sketches_tell_similar_sets():
+    near, r = neardup.Near(), np.random.default_rng(1)
+    for share in (0.8, 0.9, 1.0):
+        both = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
+        own = int(4000 * (1 - share) / (1 + share))
+        sets = [np.unique(np.concatenate([both[own:], r.integers(0, 1 << 63, own, dtype=np.uint64)])) for _ in range(2)]
+        a, b = neardup.odd_sketches(neardup.signatures(sets)).view(np.uint64)
+        assert sum(int(x).bit_count() for x in a ^ b) <= near.most_bits
+    a, b = neardup.odd_sketches(neardup.signatures([r.integers(0, 1 << 63, 900, dtype=np.uint64) for _ in range(2)])).view(np.uint64)
+    assert sum(int(x).bit_count() for x in a ^ b) > near.most_bits
+
+
+# 3
+
+
+def test_surrogates():
+    k = pii.Keyed(b"key")
+    text = "Mr Paul Weber met Herr Weber and Frau Anna Schmidt; a.b.72@mail3.example.com or A.B.72@mail3.example.com### +1 (017) 555-7713, 017-555-7713 at 169.122.221.182. 4111111111111111 4111 1111 1111 1111 9233A8ECF7C5B09FE5949719B6B82BC439E9329B!! 123-45-6789 Госпожа Анна Иванова"
+    out, found = k.replace(text)
+    for _, original, surrogate in found:
+        assert original != surrogate and original not in out
+    assert out.count(k.word("Weber", "m", "family")) == 2  # one surname, two mentions
+    emails = re.findall(r"\S+@\S+?\.com", out)
+    assert emails[0] == emails[1] and re.fullmatch(r"[a-z]\.[a-z]\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", emails[0])
+    phones = re.findall(r"\(?\d{3}\)?[ -]\d{3}-\d{4}", out)
+    assert re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1])
+    card = re.search(r"\b4\d{15}\b", out)[0]
+    assert int(card[-1]) == pii.luhn(card[:-1])
+    assert re.search(r"Госпожа [А-Яа-яё]+ [А-Яа-яё]+", out) and pii.GIVEN["f", "latin"].count(re.search(r"Frau (\w+)", out)[1])
+    assert k.replace(out) != (out, []) and pii.Keyed(b"other").replace(text)[0] != out
+
+
+@pytest.mark.parametrize("n,radix", [(1, 10), (2, 10), (3, 10), (2, 26), (3, 16)])
+def test_permutation_is_a_bijection(n, radix):
+    k = pii.Keyed(b"key")
+    spell = lambda x: [x // radix**i % radix for i in range(n)]
+    assert len({tuple(k.permute(spell(x), radix, "t")) for x in range(radix**n)}) == radix**n
+
+
+def test_mixed_alphabets_keep_texts_apart():
+    k = pii.Keyed(b"key")
+    texts = [f"{a}{b}{c}-{d}" for a in "abc" for b in "12345" for c in "XY" for d in "éàñ"]
+    assert len({k.formatted(t, "t") for t in texts}) == len(texts)
+
+
+def test_surrogates_of_odd_rows(docs, spark):
+    got = by_id(pii.pseudonymize(docs, b"key", keep=("doc_id",)), "doc_id", "text", "n_entities")
+    assert got == sorted(((i, t, 0) for i, t in ROWS), key=repr)
+    rows = spark.createDataFrame([("email", "a", "x"), ("email", "b", "x"), ("name", "c", "c"), ("ip", "d", "e")], "type string, original string, surrogate string")
+    assert {r["surrogate"] for r in pii.collisions(rows).collect()} == {"x", "c"}
+
+
+def test_surrogates_of_documents(sample):
+    whole = {r["doc_id"]: r["text"] for r in sample.collect()}
+    private = re.compile(r"[\w.]+@[\w.]+|\b\d{16}\b|\b\d+\.\d+\.\d+\.\d+\b|\+1 \(\d{3}\) \d{3}-\d{4}|\b[0-9a-fA-F]{40}\b")
+    for r in pii.pseudonymize(sample, b"key").collect():
+        own = set(private.findall(whole[r["doc_id"]]))
+        assert not any(x in r["text"] for x in own) and (r["n_entities"] > 0) == bool(own)
+
+
+# 4
+
+
+def test_language(sample):
+    rows = [r for r in language.identify(sample, keep=("doc_id", "lang", "n_chars")).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and r["n_chars"] > 100]
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
+
+
+def test_language_sees_no_label(sample):
+    from pyspark.sql import functions as F
+
+    dictionaries = language.learn(sample)
+    blind = sample.withColumn("lang", F.when(language.held_out("doc_id"), F.lit("xx")).otherwise(F.col("lang")))
+    assert language.learn(blind) == dictionaries
+
+
+def test_language_of_odd_rows(docs, spark):
+    got = {r["text"]: r for r in language.classify(docs, {"en": b"the of and to in is that", "de": b"der die und in den von"}, keep=("text",)).collect()}
+    assert all(got[t]["lang_pred"] == "und" and got[t]["rejected"] and got[t]["score"] == 0 for t in (None, "", " \n\t "))
+    assert got[LONG]["lang_pred"] in ("en", "de") and all(0 <= r["score"] <= 1 for r in got.values())
+    assert {r["lang_pred"] for r in language.identify(docs.where("lang is null")).collect()} == {"und"}
+
+
+# 5
+
+
+def test_pieces_are_the_librarys():
+    table = pieces.PrefixTable(P.path("piece_bpe_32k.model"))
+    r = random.Random(1)
+    bits = ["a", "b", " ", "  ", "\n", "▁", "é", "the", "ing", "漢", "😀", "\t", "     ", "in", "er", "0", "1", "\x00", "́", "aaaa", "==", "--"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(25))) for _ in range(4000)] + [t or "" for _, t in ROWS] + ["ab" * 30_000]
+    for text in texts:
+        ids, joined = table.encode(text)
+        assert ids == table.library.encode(text) and joined == ",".join(map(str, ids))
+
+
+def test_pairs_are_as_merges_make_them():
+    table = pieces.PrefixTable(P.path("piece_bpe_32k.model"))
+    r, ids = random.Random(2), sorted(table.piece)
+    for _ in range(4000):
+        a, b = r.choice(ids), r.choice(ids)
+        if table.merged(table.piece[a]) == [table.piece[a]] and table.merged(table.piece[b]) == [table.piece[b]]:
+            assert table.compatible(a, b) == (table.merged(table.piece[a] + table.piece[b]) == [table.piece[a], table.piece[b]])
+
+
+def test_pieces_query(docs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = [(i, library.encode(t or "")) for i, t in ROWS]
+    got = by_id(pieces.encode_pieces(docs, P.path("piece_bpe_32k.model")), "doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert got == sorted(((i, x, len(x), sha(",".join(map(str, x))), sha(library.decode(x))) for i, x in want), key=repr)
+
+
+# 6
+
+
+def test_audio(docs):
+    rows = audio.audio_features(docs).collect()
+    want = Counter((i, (t or "").encode()) for i, t in ROWS)
+    assert Counter((r["doc_id"], audio.read_wav(bytes(r["media"]))[: r["n_bytes"]]) for r in rows) == want
+    for r in rows:
+        payload = audio.read_wav(bytes(r["media"]))
+        assert len(payload) == r["payload_bytes"] > 0 and len(payload) % 64 == 0 and not any(payload[r["n_bytes"] :])
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        tensors = audio.as_tensors(bytes(r["tensors"]))
+        assert len(tensors) == len(r["spans"]) and tensors.type.shape == [32, 20]
+        assert all(s["start_s"] < s["end_s"] for s in r["segments"])
+    twice = [r for r in rows if r["doc_id"] == 6]
+    assert twice[0]["tensors"] == twice[1]["tensors"]
+
+
+def test_resampling_is_filtering_and_dropping():
+    x = np.random.default_rng(1).normal(size=1001)
+    whole = np.convolve(np.append(x, 0.0), audio.LOW_PASS)
+    assert np.allclose(audio.resample(x, audio.LOW_PASS), whole[1::2][:501])
+
+
+def test_segments_find_the_loud_part():
+    quiet, loud = bytes([128, 129] * 8000), bytes([0, 255, 10, 200] * 4000)
+    _, segments = audio.features(quiet + loud + quiet)
+    assert len(segments) == 1 and abs(segments[0][0] - 1.0) < 0.1 and abs(segments[0][1] - 2.0) < 0.1
+
+
+# 7
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><a href="/">Site of sites with a long name in its header</a></header>
+<nav><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></nav><div class="cookie-notice">We use cookies and other long things to tell you about.</div>
+<article><h1>Title &amp; more</h1><p>First   paragraph,\n with <b>bold</b> text &lt;here&gt; and enough of it.<br><p>Be.<aside>Aside of the article</aside><p>Last &copy one<script>x</script> of them.</article>
+<div id="comments"><p>A reader says a lot of things about the article here.</p></div><form><label>Name</label><input></form><footer>&copy; somebody and a long line of other text</footer></body></html>"""
+
+
+def test_main_text():
+    assert html.main_text(PAGE) == "Title & more\nFirst paragraph, with bold text <here> and enough of it.\nBe.\nLast © one of them."
+    plain = "<body><div>Menu</div><div>x</div>" + "".join(f"<p>{'word ' * 20}{i}</p>" for i in range(3)) + "<div>y</div></body>"
+    assert html.main_text(plain).count("word") == 60
+    for odd in ("", "<", "<p", "<!--", "<script>", "</p></p>", "plain text", "<b>&#x41;&am</b>"):
+        html.main_text(odd)
+    assert html.main_text("") == "" and html.main_text("<nav>only</nav>") == "" and html.main_text("<b>&#x41;&am</b>") == "A&am"
+    assert len(html.main_text("<article>" + "<p>some words here</p>" * 20_000 + "</article>").split("\n")) == 20_000
+
+
+def test_main_text_of_odd_rows(spark):
+    rows = [(None, None, None), (1, "u", ""), (2, None, PAGE), (2, None, PAGE)]
+    got = html.extract_main_text(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text long")).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 0), (2, len(html.main_text(PAGE))), (2, len(html.main_text(PAGE)))]
+
+
+def test_main_text_of_pages(spark):
+    from html import unescape
+
+    for r in html.extract_main_text(spark.read.parquet(f"{SF}/pages.parquet")).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", article)]
+        assert r["text"] == "\n".join(b for b in blocks if b)
+
+
+# 8
+
+
+def check_packed(rows, texts, capacity=2048):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = Counter()
+    for i, t in texts:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        for piece, at in enumerate(range(0, len(ids), capacity)):
+            own = ids[at : at + capacity]
+            want[i, piece, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(sequences)
+
+
+def test_packing(docs, sample):
+    check_packed(packing.pack_documents(docs, P.path("word_bpe_49k.json")).collect(), ROWS)
+    rows = packing.pack_documents(sample.repartition(7), P.path("word_bpe_49k.json")).collect()
+    n = check_packed(rows, [(r["doc_id"], r["text"]) for r in sample.collect()])
+    assert n <= 1 + math.ceil(1.02 * sum(r["length"] for r in rows) / 2048)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_best_fit_decreasing(seed):
+    r = random.Random(seed)
+    counts = {r.randrange(1, 65): r.randrange(1, 200) for _ in range(r.randrange(1, 40))}
+    plan = packing.plan_best_fit(counts, 64)
+    placed, fill = Counter(), {}
+    for length, lo, hi, first, offset in plan:
+        placed[length] += hi - lo
+        for i in range(hi - lo):
+            fill.setdefault(first + i, []).append((offset, length))
+    assert placed == counts
+    for own in fill.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 64
+    bins = []
+    for length in sorted(Counter(counts).elements(), reverse=True):
+        fits = [b for b in bins if b[0] >= length]
+        b = min(fits, default=None) if fits else None
+        if b is None:
+            bins.append([64 - length])
+        else:
+            b[0] -= length
+    assert len(fill) == len(bins)
+
+
+# 9
+
+
+def test_license_base(docs):
+    got = by_id(licenses.scan_licenses(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    want = []
+    for i, t in ROWS:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        at = [k for k in range(len(words)) for p in (["mit", "license"], ["apache", "license"], ["general", "public", "license"]) if words[k : k + len(p)] == p]
+        labels = {"mit": "mit", "apache": "apache", "general": "gpl"}
+        want.append((i, len(words), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted({labels[words[k]] for k in at}))))
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("Licensed under the Apache License, Version 2.0.", "apache"),
+        ("SPDX-License-Identifier: GPL-3.0-only", "gpl"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("licensed under the GNU Affero General Public License", "agpl,gpl"),
+        ("mit license and the apache\nlicense", "apache,mit"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+        ("We commit license plates", ""),
+        ("A. All rights reserved.", "proprietary"),
+        ("", ""),
+    ],
+)
+def test_license_labels(spark, text, labels):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert licenses.scan_licenses(df).first()["labels"] == labels
+
+
+def test_license_rules():
+    assert len(licenses.rules()) > 200
+    found = licenses.Scanner().detect("licensed under the gnu lesser general public license v3")
+    assert [licenses.Scanner().rules[i][1] for _, _, i in found] == ["lgpl"]
+
+
+# 10
+
+
+def test_warc(spark):
+    big, other = "<p>" + "é" * 100, "y" * 100
+    rows = [(5, "http://a/b c\r\nX: y", big), (3, None, big), (9, "u", big), (3, None, big), (4, "u", "small"), (1, "u", "small"), (None, "u", big), (7, "u", None), (8, "u", other), (None, "v", other)]
+    path = shared_path(spark, "warc-test")
+    warc.write_warc(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, payload long").repartition(3), path)
+    got = warc.read_warc(spark, path).collect()
+    assert len(got) == len(rows)
+    want = Counter((i, u, "revisit" if (h == big and i != 3) or (h == other and i is None) else "response") for i, u, h in rows)
+    assert Counter((r["page_id"], r["url"], r["record_type"]) for r in got) == want
+    for r in got:
+        if r["record_type"] == "response":
+            assert hashlib.sha256(bytes(r["payload"])).hexdigest() == r["payload_digest"] and len(r["payload"]) == r["payload_bytes"] and r["refers_to"] is None
+        else:
+            assert r["payload"] is None and r["refers_to"] in (3, 8)
+    some = warc.read_warc(spark, path, "page_id long, record_type string").where("record_type = 'response' and page_id >= 4")
+    assert sorted(r["page_id"] for r in some.collect()) == [4, 7, 8]
+
+
+def test_warc_reader_skips_payloads(tmp_path):
+    noise = random.Random(1).randbytes(20_000)
+    made = [warc.record(i, "u", None, len(noise), "d", noise) for i in range(3)]
+    made[1] = made[1][:-12] + b"\xff" * 12  # an unreadable payload end
+    (tmp_path / "a").write_bytes(b"".join(made))
+    with pa.OSFile(str(tmp_path / "a")) as source:
+        assert [r["page_id"] for r in warc.read_records(source, lambda r: r["page_id"] != 1, True)] == [0, 2]
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.read_records(source, lambda r: True, True))
+
+
+# Pipeline
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    first = pipeline.language_id(spark, docs, SF)
+    assert first.columns == docs.columns
+    assert ids(first) == {r["doc_id"] for r in language.identify(docs).collect() if not r["rejected"]}
+    second = pipeline.quality_rules(spark, docs, SF)
+    assert ids(second) == {r["doc_id"] for r in quality.judge(docs).collect() if r["kept"]} and second.columns == docs.columns
+    third = pipeline.near_dedup(spark, docs, SF)
+    want = plain_groups([(r["doc_id"], r["text"]) for r in docs.collect()], neardup.Near())
+    assert ids(third) == {i for i, (_, c) in want.items() if i == c} and third.columns == docs.columns
+    fourth = pipeline.surrogates(spark, docs, SF)
+    assert ids(fourth) == ids(docs) and fourth.columns == docs.columns
+    assert 0 < pipeline.run(spark, SF).select("doc_id").distinct().count() <= docs.count()
