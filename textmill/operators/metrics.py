@@ -60,11 +60,12 @@ def nearest_rank(df: DataFrame, by: str, value: str, shares: dict[str, float]) -
 
     Values are counted first, so that a group is as large as its number of distinct values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
-    lists = counts.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(value, "n"))).alias("v"), F.sum("n").alias("n"))
-    out = lists.select(by, "n", F.col("v"), F.aggregate("v", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint")) + x["n"]))).alias("upto"))
-    rank = lambda p: F.bround(F.lit(p) * (F.col("n") - 1)).cast("long")
-    pick = lambda p: F.get("v", F.size(F.filter("upto", lambda u: u <= rank(p))))[value]
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    lists = counts.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_v", "_n"))).alias("_l"), F.sum("_n").alias("_all"))
+    upto = F.aggregate("_l", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint")) + x["_n"])))
+    out = lists.select(by, "_all", "_l", upto.alias("_upto"))
+    rank = lambda p: F.bround(F.lit(p) * (F.col("_all") - 1)).cast("long")
+    pick = lambda p: F.get("_l", F.size(F.filter("_upto", lambda u: u <= rank(p))))["_v"]
     return out.select(by, *[pick(p).alias(name) for name, p in shares.items()])
 
 
