@@ -293,6 +293,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_main_text():
     assert html.main_text(PAGE) == "Title & more\nFirst paragraph, with bold text <here> and enough of it.\nBe.\nLast © one of them."
+    own = '<article><header class="entry-header"><h1>Head</h1></header><p>Text of it.</p></article><section><article class="comment-body"><p>Nice!</p></article></section>'
+    assert html.main_text(own) == "Head\nText of it."
     plain = "<body><div>Menu</div><div>x</div>" + "".join(f"<p>{'word ' * 20}{i}</p>" for i in range(3)) + "<div>y</div></body>"
     assert html.main_text(plain).count("word") == 60
     for odd in ("", "<", "<p", "<!--", "<script>", "</p></p>", "plain text", "<b>&#x41;&am</b>"):

@@ -35,23 +35,30 @@ BESIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|colophon|sidebar\w*|side|aside|widget\w*|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus\w*|respond|replies|reply|notice\w*|cookies?|consent|gdpr|alert|popup|modal|overlay|toolbar|newsletter|subscribe|signup|login|search\w*|form|pagination|pager|copyright|disclaimer|skip|complementary|contentinfo|navigation|hidden|toc)(?=$|[\s_-])",
     re.I,
 )
+COMMENT = re.compile(r"(?:class|id)\s*=\s*[\"']?[^\"'>]*comment", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ENDS = {name: re.compile(rf"</{name}\s*(?:>|$)", re.I) for name in RAW if name not in ("select", "option", "button", "svg", "math", "object", "audio", "video", "map", "canvas")}
 
 
-def beside(name: str, attributes: str) -> bool:
-    """Whether an element is something beside the article, by its name, class, id, role or style."""
+def beside(name: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element is something beside the article, by its name, class, id, role or style.
+
+    Inside an article, what is called a header is the article's own; an article that is called a
+    comment is one.
+    """
     if name in BOILERPLATE:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
+        return not (inside and name == "header")
+    if not attributes or name in ("html", "body", "main"):
         return False
+    if name == "article":
+        return bool(COMMENT.search(attributes))
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
-        if HIDDEN.search(value) if key == "style" else BESIDE.search(value):
+        if HIDDEN.search(value) if key == "style" else any(not inside or m[0].strip(" \t\n_-").lower() != "header" for m in BESIDE.finditer(value)):
             return True
     return False
 
@@ -110,8 +117,7 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
                     if stack[i][0] == name:
                         close(i)
                         break
-            heading = main and name in ("header", "hgroup")  # an article's own heading
-            was = name in RAW or (not heading and beside(name, m[3]))
+            was = name in RAW or beside(name, m[3], main > 0)
             stack.append((name, was))
             off += was
             main += name in MAIN
