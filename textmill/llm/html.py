@@ -134,11 +134,12 @@ def main_text(html: str) -> str:
         lines = [(text, skip or not own, own) for text, skip, own in lines]
     if not lines:
         return ""
+    named = any(own for _, skip, own in lines if not skip)
     sizes = np.array([0 if skip else len(text) for text, skip, _ in lines])
     sums = np.convolve(sizes, np.ones(WINDOW, int))[WINDOW - 1 :]  # of a line and those after it
     spans, i = [], 0
     while i < len(sizes):
-        if sizes[i] and (sums[i] >= SURGE or not spans):
+        if sizes[i] and (sums[i] >= SURGE or named or not spans):  # where the article is named, all of it counts
             # The dive: the first place from where a window holds no text.
             end = i
             while end < len(sizes) and sums[end] > 0:
@@ -148,9 +149,8 @@ def main_text(html: str) -> str:
         i += 1
     if not spans:
         return ""
-    if any(own for _, skip, own in lines if not skip):
-        keep = [(-a, b) for _, a, b in spans]
-        first, last = min(a for a, _ in keep), max(b for _, b in keep)
+    if named:
+        first, last = -spans[0][1], spans[-1][2]
     else:
         _, first, last = max(spans)
         first = -first
