@@ -54,19 +54,23 @@ def relative(vectors: DataFrame, pivots: DataFrame, id_col: str = "id", vec: str
     return rows.select(id_col, F.transform("pivots", lambda p: dot(F.col("unit"), p)).alias("rel"))
 
 
-#: Source vectors that a block holds; queries meet one block at a time.
-BLOCK = 4096
+#: Source vectors, and queries, that a block holds.
+BLOCK, QUERIES = 4096, 16_384
 
 
 def top2(queries: DataFrame, source: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, best_id, best_sim, second_id, second_sim): the two largest inner products; ties go to the smaller id.
 
-    Source vectors are gathered in blocks, each query is scored against each block by one matrix
-    product, and the blocks' best two are merged. Neither side is collected or broadcast.
+    Both sides are gathered in blocks, a pair of blocks is scored by matrix products in one task,
+    and the blocks' best two are merged. Neither side is collected or broadcast, and a task
+    holds one block of each, whatever their sizes.
     """
-    n_blocks = max(1, -(-source.count() // block))
-    held = source.select((F.pmod(F.xxhash64("id"), F.lit(n_blocks))).cast("int").alias("block"), F.col("id").alias("id"), F.col("vec").alias("vec"))
-    spread = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.col("id").alias("id"), F.col("vec").alias("vec"))
+    n_held, n_asked = max(1, -(-source.count() // block)), max(1, -(-queries.count() // QUERIES))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vectors = (F.col("id").alias("id"), F.col("vec").alias("vec"))
+    held = source.select(part(n_held).alias("block"), every(n_asked).alias("asked"), *vectors)
+    spread = queries.select(every(n_held).alias("block"), part(n_asked).alias("asked"), *vectors)
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"id": [], "cand": [], "sim": []}
@@ -85,7 +89,7 @@ def top2(queries: DataFrame, source: DataFrame, block: int = BLOCK) -> DataFrame
                         out["sim"].append(float(sims[i, j]))
         return pa.table({"id": pa.array(out["id"], pa.int64()), "cand": pa.array(out["cand"], pa.int64()), "sim": pa.array(out["sim"], pa.float64())})
 
-    some = spread.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(score, "id long, cand long, sim double")
+    some = spread.groupBy("block", "asked").cogroup(held.groupBy("block", "asked")).applyInArrow(score, "id long, cand long, sim double")
     ranked = some.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("s"), "cand"))), 1, 2).alias("t"))
     at = lambda i, name: F.get("t", F.lit(i))[name]
     return ranked.select("id", at(0, "cand").alias("best_id"), (-at(0, "s")).alias("best_sim"), at(1, "cand").alias("second_id"), (-at(1, "s")).alias("second_sim"))

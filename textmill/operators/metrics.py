@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.text import normalize_entity, strip
+from textmill.operators.budget import running_before
 
 
 def correct(pred: Column | str, label: Column | str) -> Column:
@@ -119,12 +120,11 @@ def bootstrap(df: DataFrame, base: str, adapted: str, order: str, samples: int =
     """delta_mean, ci_low, ci_high and p_value_two_sided of mean(adapted) - mean(base).
 
     Indices are drawn by md5(seed, sample, place), so that any engine can repeat them; the
-    Mersenne Twister's order can't be had in SQL. Rows are numbered by `order`. A sample's draws
+    Mersenne Twister's order can't be had in SQL. Rows are numbered by `order`, a whole number, range by range. A sample's draws
     are joined to the differences by number; both sides grow with the evaluated rows.
     """
-    from pyspark.sql import Window
-
-    numbered = df.select((F.row_number().over(Window.orderBy(order)) - 1).alias("i"), (F.col(adapted) - F.col(base)).cast("double").alias("d"))
+    ones = df.select(F.lit(0).alias("_g"), order, (F.col(adapted) - F.col(base)).cast("double").alias("d"), F.lit(1).alias("_one"))
+    numbered = running_before(ones, "_g", [order], "_one", "i").select("i", "d")
     n = numbered.count()
     spark = df.sparkSession
     if not n:
