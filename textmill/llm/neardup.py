@@ -22,6 +22,8 @@ from textmill.llm.common import materialize, steps, utf8
 
 #: Rows of a band, samples of a sketch and its bits.
 ROWS, SAMPLES, BITS = 4, 256, 512
+#: Bits of a set's own parity bitmap.
+SET_BITS = 1024
 #: How likely a link of just the wanted similarity may be to share no band.
 MISS = 1e-7
 #: Candidates are ruled out only if their sketches differ in more bits than this many standard
@@ -160,8 +162,16 @@ def odd_sketches(signature: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8).reshape(-1, BITS), axis=1).view(np.int64)
 
 
+def set_parities(sets: list[np.ndarray]) -> np.ndarray:
+    """The same of all of a set's hashes. Two sets differ in at least as many shingles as their bitmaps in bits."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    at = np.repeat(np.arange(len(sets)) * SET_BITS, sizes) + (np.concatenate(sets) % np.uint64(SET_BITS)).astype(np.int64)
+    counts = np.bincount(at, minlength=len(sets) * SET_BITS)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(-1, SET_BITS), axis=1).view(np.int64)
+
+
 def features(df: DataFrame, near: Near, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, sketch): all but doc_id depend on the set of shingles alone."""
+    """(doc_id, n_shingles, digest, bands, sketch, parity): all but doc_id depend on the set of shingles alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -175,18 +185,30 @@ def features(df: DataFrame, near: Near, id_col: str, text_col: str) -> DataFrame
                     "digest": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
                     "bands": lists(band_keys(signature, near.bands)),
                     "sketch": lists(odd_sketches(signature)),
+                    "parity": lists(set_parities(sets)),
                 }
             )
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>, parity array<long>")
+
+
+def differing(a: str, b: str, name: str, bits: int) -> Column:
+    """The population count of the XOR of two bitmaps."""
+    parts = [F.bit_count(F.col(f"{a}.{name}")[i].bitwiseXOR(F.col(f"{b}.{name}")[i])) for i in range(bits // 64)]
+    return sum(parts[1:], parts[0])
 
 
 def alike(a: str, b: str, near: Near) -> Column:
-    """Whether sizes and sketches of a and b leave a link possible."""
-    bits = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col(f"{a}.sketch")[0].bitwiseXOR(F.col(f"{b}.sketch")[0])))
+    """Whether a link of a and b is possible by their sizes, their sketches and their sets' parities.
+
+    The sketches estimate the similarity, whatever the sets' sizes. The parities give a lower
+    bound of the symmetric difference, which rules out no link at all and is sharp for all but
+    very long texts.
+    """
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (100 * n >= near.percent * m) & (100 * m >= near.percent * n) & (bits <= near.most_bits)
+    sizes = (100 * n >= near.percent * m) & (100 * m >= near.percent * n)
+    return sizes & (differing(a, b, "sketch", BITS) <= near.most_bits) & ((100 + near.percent) * differing(a, b, "parity", SET_BITS) <= (100 - near.percent) * (n + m))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
@@ -247,7 +269,7 @@ def near_duplicates(df: DataFrame, near: Near = Near(), id_col: str = "doc_id",
     sets where these leave a link possible. No bucket is capped.
     """
     seen = materialize(features(df, near, id_col, text_col), "near-features")
-    reps = seen.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles", "bands", "sketch").agg(F.min("doc_id").alias("rep"))
+    reps = seen.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles", "bands", "sketch", "parity").agg(F.min("doc_id").alias("rep"))
     reps = materialize(reps, "near-reps")
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     pivots = banded.groupBy("band", "key").agg(F.min_by("rep", F.struct(F.xxhash64("rep", "band"), "rep")).alias("pivot"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("band", "key", "pivot")
@@ -255,14 +277,14 @@ def near_duplicates(df: DataFrame, near: Near = Near(), id_col: str = "doc_id",
     ids = materialize(members.select("rep").distinct(), "near-ids")
     rows = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     texts = materialize(rows.join(few(ids), "rep", "left_semi"), "near-texts")
-    known = reps.join(few(ids), "rep", "left_semi").select("rep", "n_shingles", "sketch", "bands")
+    known = reps.join(few(ids), "rep", "left_semi").select("rep", "n_shingles", "sketch", "parity", "bands")
     known = materialize(known, "near-known")
     star = members.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     x, y = known.alias("x"), known.alias("y")
     star = star.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(alike("x", "y", near)).select("a", "b")
     links = materialize(confirm(star, texts, near), "near-links")
     labels = components(links)
-    named = known.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", "sketch", "bands", F.coalesce("label", "rep").alias("label"))
+    named = known.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", "sketch", "parity", "bands", F.coalesce("label", "rep").alias("label"))
     apart = materialize(members.select("band", "key", "rep").join(named, "rep"), "near-apart")
     # Buckets that the stars have connected are done.
     open_buckets = apart.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "key")
