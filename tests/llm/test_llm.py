@@ -170,6 +170,12 @@ def test_surrogates():
     assert k.replace(out) != (out, []) and pii.Keyed(b"other").replace(text)[0] != out
 
 
+def test_numbers_side_by_side_are_two():
+    k = pii.Keyed(b"key")
+    one, two = "2353820953013749", "4550997810720808"
+    assert k.replace(f"{one} {two}")[0] == f"{k.replace(one)[0]} {k.replace(two)[0]}"
+
+
 @pytest.mark.parametrize("n,radix", [(1, 10), (2, 10), (3, 10), (2, 26), (3, 16)])
 def test_permutation_is_a_bijection(n, radix):
     k = pii.Keyed(b"key")
