@@ -12,8 +12,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from textmill.llm.common import steps
 
 SPACE = "▁"
-#: Segments whose ids a Python worker remembers, and the longest of them; results don't depend on it.
-SEGMENTS, LONGEST = 350_000, 64
+#: Segments whose ids a Python worker remembers, twice, and the longest of them: when so many are
+#: known, those not met since the last time are forgotten. Results don't depend on it.
+SEGMENTS, LONGEST = 400_000, 64
 SCHEMA = "doc_id long, ids array<int>, decoded string, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -59,7 +60,11 @@ class PrefixTable:
         for p, i in self.id.items():
             self.left[i], self.right[i] = self.spine(p, halves, 0), self.spine(p, halves, 1)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.code = "H" if len(model.pieces) <= 1 << 16 else "I"
+        self.decimal = list(map(str, range(len(model.pieces))))
+        self.unknown = re.compile("[^" + re.escape("".join(p for p in self.id if len(p) == 1)) + "]").search
         # A segment has its spaces in front; no piece crosses the border of two segments.
         self.segments = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
 
@@ -128,6 +133,8 @@ class PrefixTable:
         return out[::-1]
 
     def encode_segment(self, segment: str) -> list[int]:
+        if not self.unknown(segment):
+            return self.encode_known(segment)
         out: list[int] = []
         start = 0
         for i, c in enumerate(segment):
@@ -138,23 +145,27 @@ class PrefixTable:
                 start = i + 1
         return out + self.encode_known(segment[start:]) if start < len(segment) else out
 
+    def encode_all(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        """Of each text the ids, and the ids as decimals joined by commas."""
+        parts = [self.segments(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
+        if len(self.known) > SEGMENTS:
+            self.known, self.older = {}, self.known
+        known, older, passing = self.known, self.older, []
+        for segment in set().union(*parts).difference(known):
+            own = older.get(segment)
+            known[segment] = array(self.code, self.encode_segment(segment)).tobytes() if own is None else own
+            if len(segment) > LONGEST:
+                passing.append(segment)
+        get, decimal, out = known.__getitem__, self.decimal.__getitem__, []
+        for own in parts:
+            ids = array(self.code, b"".join(map(get, own))).tolist()
+            out.append((ids, ",".join(map(decimal, ids))))
+        for segment in passing:
+            del known[segment]
+        return out
+
     def encode(self, text: str) -> tuple[list[int], str]:
-        """The ids, and the ids as decimals joined by commas."""
-        if not text:
-            return [], ""
-        found = []
-        known = self.known
-        for segment in self.segments(SPACE + text.replace(" ", SPACE)):
-            own = known.get(segment)
-            if own is None:
-                ids = self.encode_segment(segment)
-                own = (ids, ",".join(map(str, ids)))
-                if len(segment) <= LONGEST:
-                    if len(known) >= SEGMENTS:
-                        known.clear()
-                    known[segment] = own
-            found.append(own)
-        return list(chain.from_iterable([x[0] for x in found])), ",".join([x[1] for x in found])
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(2)
@@ -174,7 +185,7 @@ def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model)
         for batch in steps(batches, "text"):
-            made = [table.encode(x or "") for x in batch.column("text").to_pylist()]
+            made = table.encode_all([x or "" for x in batch.column("text").to_pylist()])
             texts = table.library.decode([x[0] for x in made], num_threads=1)
             sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
             yield pa.record_batch(
