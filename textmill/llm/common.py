@@ -7,12 +7,24 @@ import pyarrow as pa
 
 from textmill.plans.shared import materialize, shared_path
 
-__all__ = ["materialize", "shared_path", "steps", "utf8"]
+__all__ = ["held", "materialize", "shared_path", "steps", "utf8"]
+_held: dict = {}
 
 #: Bytes of text that one step of an Arrow operator works on; bounds a worker's memory.
 STEP_BYTES = 4 << 20
 
 
+def held(key: tuple, make):
+    """make()'s object, kept in a Python worker from task to task until one with another key is asked for.
+
+    A worker serves all stages of an application; so it holds one operator's memory at a time.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     if column.null_count:

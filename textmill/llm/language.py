@@ -6,7 +6,6 @@ whose dictionary gives the fewest bytes is chosen, and a choice by a narrow marg
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import steps
+from textmill.llm.common import held, steps
 
 #: The bounded sample that the dictionaries are made from: documents of a language, characters
 #: of each, bytes of a dictionary, and languages (those with the most documents).
@@ -67,9 +66,9 @@ class Classifier:
 
         self.by_lang = []
         for lang, content in dictionaries:
-            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=LEVEL)
-            self.by_lang.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False).compress))
+            prefix = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            prefix.precompute_compress(level=LEVEL)
+            self.by_lang.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=prefix, write_checksum=False, write_content_size=False, write_dict_id=False).compress))
 
     def sizes(self, text: str) -> list[tuple[int, str]]:
         """(bytes, language), fewest first; empty for a text without letters."""
@@ -78,11 +77,6 @@ class Classifier:
         return sorted((sum(len(compress(b)) for b in blocks), lang) for lang, compress in self.by_lang) if blocks else []
 
 
-@functools.lru_cache(2)
-def _classifier(dictionaries: tuple[tuple[str, bytes], ...]) -> Classifier:
-    return Classifier(dictionaries)
-
-
 def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", keep: tuple[str, ...] = (), margin: float = MARGIN) -> DataFrame:
     """Each row's columns `keep` with lang_pred, score and rejected, from its whole text.
 
@@ -92,11 +86,11 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
     rejected. One row out for each row in. The dictionaries are at most LANGUAGES times
     DICTIONARY_BYTES; no shuffle, a few MB of text at a time.
     """
-    held = tuple(sorted(dictionaries.items()))
+    known = tuple(sorted(dictionaries.items()))
     source = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = _classifier(held).sizes
+        sizes = held(("languages", known), lambda: Classifier(known)).sizes
         for batch in steps(batches, "_text"):
             langs, scores, rejected = [], [], []
             for text in batch.column("_text").to_pylist():

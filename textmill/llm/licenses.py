@@ -8,7 +8,6 @@ priority is suppressed. Lower numbers are higher priorities.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import steps, utf8
+from textmill.llm.common import held, steps, utf8
 
 # Label, keyword that every form of the name holds, name pattern, SPDX pattern.
 FAMILIES = [
@@ -110,11 +109,6 @@ def rules() -> list[tuple[str, str, str, int, float, re.Pattern]]:
     return made
 
 
-@functools.lru_cache(1)
-def scanner() -> "Scanner":
-    return Scanner()
-
-
 class Scanner:
     """The rules by keyword; one is built in each Python worker."""
 
@@ -168,7 +162,7 @@ def _gated(lowered: bytes, offsets: np.ndarray) -> np.ndarray:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own = scanner()
+    own = held(("licenses",), Scanner)
     kind = pa.list_(pa.struct([("label", pa.string()), ("rule", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in steps(batches, "text"):
         raw, offsets = utf8(batch.column("text"))

@@ -12,7 +12,6 @@ their length by partition, and looked up in the finished plan.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from array import array
@@ -25,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import materialize, steps
+from textmill.llm.common import held, materialize, steps
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers, twice: when so many are known, those not met since the last time are forgotten. Results don't depend on it.
-WORDS = 400_000
+WORDS = 300_000
 #: Letters with one closing mark or none; marks by themselves.
 SIMPLE = re.compile(r"([A-Za-z]+)([.,!?;:]?)").fullmatch
 MARKS = ("", ".", ",", "!", "?", ";", ":")
@@ -104,11 +103,6 @@ class WordIds:
         return [b"".join(map(get, own)) for own in parts]
 
 
-@functools.lru_cache(2)
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def tokenize(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of each document's ids, with the closing id 0: (doc_id, piece, start, length, ids_crc32, part, nth).
 
@@ -116,7 +110,7 @@ def tokenize(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = _word_ids(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encode, part, seen = held(("words", tokenizer), lambda: WordIds(tokenizer)), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in steps(batches, "text"):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode([x or "" for x in batch.column("text").to_pylist()]), strict=True):

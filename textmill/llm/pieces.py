@@ -9,7 +9,6 @@ table takes linear time, whatever order the merges would have come in.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from array import array
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import steps
+from textmill.llm.common import held, steps
 
 SPACE = "▁"
 #: Segments whose ids a Python worker remembers, twice, and the longest of them: when so many are
@@ -168,11 +167,6 @@ class PrefixTable:
         return self.encode_all([text])[0]
 
 
-@functools.lru_cache(2)
-def _table(path: str) -> PrefixTable:
-    return PrefixTable(path)
-
-
 def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """Each row's ids and what the library decodes them to, with digests of both.
 
@@ -183,7 +177,7 @@ def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model)
+        table = held(("pieces", model), lambda: PrefixTable(model))
         for batch in steps(batches, "text"):
             made = table.encode_all([x or "" for x in batch.column("text").to_pylist()])
             texts = table.library.decode([x[0] for x in made], num_threads=1)

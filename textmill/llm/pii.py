@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import steps
+from textmill.llm.common import held, steps
 
 #: Key epochs that are tried.
 EPOCHS = 8
@@ -153,7 +153,7 @@ class Keyed:
     def surrogate(self, kind: str, text: str, gender: str = "") -> str:
         found = self.known.get((kind, text, gender))
         if found is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             found = self.known[kind, text, gender] = self._surrogate(kind, text, gender)
         return found
@@ -216,16 +216,11 @@ class Keyed:
         return ENTITY.sub(swap, text), found
 
 
-@functools.lru_cache(4)
-def _keyed(key: bytes, epoch: int) -> Keyed:
-    return Keyed(key, epoch)
-
-
 def entities(df: DataFrame, key: bytes, epoch: int = 0, text_col: str = "text") -> DataFrame:
     """(type, original, surrogate), each once in each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replace = _keyed(key, epoch).replace
+        replace = held(("surrogates", key, epoch), lambda: Keyed(key, epoch)).replace
         for batch in steps(batches, "text"):
             own = sorted({e for text in batch.column("text").to_pylist() if text for e in replace(text)[1]})
             yield pa.record_batch([pa.array([e[i] for e in own], pa.string()) for i in range(3)], names=["type", "original", "surrogate"])
@@ -258,7 +253,7 @@ def pseudonymize(df: DataFrame, key: bytes, text_col: str = "text", keep: tuple[
     source = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replace = _keyed(key, epoch).replace
+        replace = held(("surrogates", key, epoch), lambda: Keyed(key, epoch)).replace
         for batch in steps(batches, "text"):
             made = [(None, []) if text is None else replace(text) for text in batch.column("text").to_pylist()]
             own = [batch.column(i) for i in range(len(keep))]
