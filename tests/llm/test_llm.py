@@ -309,6 +309,14 @@ def test_main_text():
     assert len(html.main_text("<article>" + "<p>some words here</p>" * 20_000 + "</article>").split("\n")) == 20_000
 
 
+def test_main_text_goes_on_behind_an_advert():
+    advert = '<div class="advert"><p>Buy</p><p>this</p><p>now</p></div>'
+    parts = [f"<div>{'word ' * n}end{n}.</div>" for n in (20, 2, 18)]
+    got = html.main_text(f"<body><nav><p>a<p>b<p>c</nav>{advert.join(parts)}{advert}<div>Imprint</div></body>")
+    assert [x.split()[-1] for x in got.split("\n")] == ["end20.", "end2.", "end18."]
+    assert html.main_text(f"<div>One.</div>{advert}<div>Two.</div>") == "One.\nTwo."
+
+
 def test_main_text_of_odd_rows(spark):
     rows = [(None, None, None), (1, "u", ""), (2, None, PAGE), (2, None, PAGE)]
     got = html.extract_main_text(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text long")).collect()

@@ -3,7 +3,8 @@
 Markup is stripped and the page becomes lines, one for each block of text. A line that stands
 in a menu, header, footer, sidebar, notice, advert, form or comment keeps its place but counts
 no text. The text lengths are summed over sliding windows of lines; a surge is where the sum
-rises over a mark, a dive where it falls back to nothing. The span with the most text is kept.
+rises over a mark, a dive where it falls back to nothing. What lies from the first span with a
+surge to the last one is kept, as only lines beside the article part them.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
 
 
 def main_text(html: str) -> str:
-    """The blocks between the surge and the dive, joined by line feeds."""
+    """The blocks from the first surge's span to the last dive, joined by line feeds."""
     lines = page_lines(html)
     if any(own for _, skip, own in lines if not skip):  # the page says itself where its article is
         lines = [(text, skip or not own, own) for text, skip, own in lines]
@@ -139,22 +140,19 @@ def main_text(html: str) -> str:
     sums = np.convolve(sizes, np.ones(WINDOW, int))[WINDOW - 1 :]  # of a line and those after it
     spans, i = [], 0
     while i < len(sizes):
-        if sizes[i] and (sums[i] >= SURGE or named or not spans):  # where the article is named, all of it counts
+        if sizes[i]:
             # The dive: the first place from where a window holds no text.
             end = i
             while end < len(sizes) and sums[end] > 0:
                 end += 1
-            spans.append((int(sizes[i:end].sum()), -i, end))
+            spans.append((i, end, bool(sums[i:end].max() >= SURGE)))
             i = end
         i += 1
-    if not spans:
+    # Where the article is named, all of it counts, as does a page without any surge.
+    kept = spans if named else [x for x in spans if x[2]] or spans
+    if not kept:
         return ""
-    if named:
-        first, last = -spans[0][1], spans[-1][2]
-    else:
-        _, first, last = max(spans)
-        first = -first
-    return "\n".join(text for text, skip, _ in lines[first:last] if not skip)
+    return "\n".join(text for text, skip, _ in lines[kept[0][0] : kept[-1][1]] if not skip)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +166,8 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     One row out for each row in: page_id, url, text, n_chars (code points). A null or empty html,
     and a page without text, give an empty text. Pages that name an article or main element keep
-    all surges within it; others keep the span with the most text, the earlier one on a tie.
+    all text within it; others keep all from the first span that reaches the surge mark to the
+    last one, or all spans if none does. Lines beside the article are left out everywhere.
     Null ids and urls are carried along, repeated rows stay, other columns are left out. No
     shuffle; a few MB of html at a time.
     """
