@@ -317,6 +317,25 @@ def test_main_text_goes_on_behind_an_advert():
     assert html.main_text(f"<div>One.</div>{advert}<div>Two.</div>") == "One.\nTwo."
 
 
+ARTICLE = f"<article><h1>Head</h1><p>{'word ' * 30}end.</p></article>"
+
+
+@pytest.mark.parametrize("frame", ["<form id=aspnetForm>{}</form>", "<div class='content no-sidebar'>{}</div>", "<div class='layout with-sidebar'>{}</div>", "<div class=has-menu>{}</div>", "<div class='search banner'>{}</div>", "<div class=sidebar><form><main>{}</main></form></div>"])
+def test_main_text_in_a_frame(frame):
+    rest = "<nav>Menu of the page</nav><aside><article>Teaser of another page.</article></aside><div class=site-footer>Footer</div>"
+    want = html.main_text(ARTICLE)
+    assert want.startswith("Head\nword") and want.endswith("end.")
+    assert html.main_text(f"<body><div>Site</div>{frame.format(ARTICLE + rest)}</body>") == want
+    assert html.main_text(f"<body>{frame.format(rest)}<div><div>{ARTICLE}</div></div></body>") == want
+
+
+def test_main_text_beside_marked_articles():
+    text = "<p>" + "word " * 30 + "</p>"
+    assert "Teaser" not in html.main_text(f"<div>{text}</div><aside class=related><article>Teaser of another.</article></aside>")
+    assert html.main_text(f"<div class='content no-sidebar'>{text}</div>").count("word") == 30
+    assert [html.marking(x) for x in ("site-footer", "widget-area", "cookie-notice", "no-sidebar", "has-menu", "social-science")] == ["footer", "widget", "notice", "", "", ""]
+
+
 def test_main_text_of_odd_rows(spark):
     rows = [(None, None, None), (1, "u", ""), (2, None, PAGE), (2, None, PAGE)]
     got = html.extract_main_text(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text long")).collect()

@@ -33,9 +33,12 @@ MAIN = frozenset("article main".split())
 CLOSES_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "li", "dd", "dt", "legend", "summary", "figcaption"} | {"li", "dd", "dt"}
 #: Words in an element's class, id or role that mark it as something beside the article.
 BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|colophon|sidebar\w*|side|aside|widget\w*|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus\w*|respond|replies|reply|notice\w*|cookies?|consent|gdpr|alert|popup|modal|overlay|toolbar|newsletter|subscribe|signup|login|search\w*|form|pagination|pager|copyright|disclaimer|skip|complementary|contentinfo|navigation|hidden|toc)(?=$|[\s_-])",
+    r"ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|colophon|sidebar\w*|side|aside|widget\w*|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus\w*|respond|replies|reply|notice\w*|cookies?|consent|gdpr|alert|popup|modal|overlay|toolbar|newsletter|subscribe|signup|login|search\w*|form|pagination|pager|copyright|disclaimer|skip|complementary|contentinfo|navigation|hidden|toc",
     re.I,
 )
+# Words that may stand behind the marking one in a compound, and words that make a compound tell about other elements.
+PARTS = frozenset("area bar block body bottom box button buttons container content count group holder icon icons inner item items left line link links list main menu message nav outer panel post posts primary right row secondary section slot text title top unit wrap wrapper".split())
+ABOUT = frozenset("no not non without with has have is hide hides show shows".split())
 COMMENT = re.compile(r"(?:class|id)\s*=\s*[\"']?[^\"'>]*comment", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -43,6 +46,21 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ENDS = {name: re.compile(rf"</{name}\s*(?:>|$)", re.I) for name in RAW if name not in ("select", "option", "button", "svg", "math", "object", "audio", "video", "map", "canvas")}
 
 
+def marking(token: str) -> str:
+    """The word by which a class, id or role marks its element, or nothing.
+
+    The token is such a word, or a compound of one: site-footer, widget-area. One that tells what
+    the element has or lacks, as no-sidebar or has-menu, marks nothing, nor does a word in front
+    of others, as in social-science.
+    """
+    words = [w for w in re.split("[-_]+", token.lower()) if w]
+    if ABOUT.intersection(words):
+        return ""
+    while words and not BESIDE.fullmatch(words[-1]) and (words[-1] in PARTS or words[-1].isdigit()):
+        words.pop()
+    return words[-1] if words and BESIDE.fullmatch(words[-1]) else ""
+
+
 def beside(name: str, attributes: str, inside: bool = False) -> bool:
     """Whether an element is something beside the article, by its name, class, id, role or style.
 
@@ -59,33 +77,40 @@ def beside(name: str, attributes: str, inside: bool = False) -> bool:
         key, value = key.lower(), a or b or c
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
-        if HIDDEN.search(value) if key == "style" else any(not inside or m[0].strip(" \t\n_-").lower() != "header" for m in BESIDE.finditer(value)):
+        if HIDDEN.search(value) if key == "style" else any((word := marking(x)) and not (inside and word == "header") for x in value.split()):
             return True
     return False
 
 
 def page_lines(html: str) -> list[tuple[str, bool, bool]]:
-    """(text, stands beside the article, stands in an article or main element) of each block, in page order."""
-    lines: list[tuple[str, bool, bool]] = []
+    """(text, stands beside the article, stands in an article or main element) of each block, in page order.
+
+    A form that holds an article, a main element or a menu is the page's frame and marks nothing.
+    An article or main element under other marks is set free of them if no more text stands free
+    on the page; of several, those under the fewest marks are.
+    """
+    lines: list[tuple[str, list, list, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements; whether each is beside the article
-    off = 0  # how many of them are
-    main = 0
-    at = 0
+    stack: list[tuple[str, list | None]] = []  # open elements; the mark of each that is beside the article
+    marks: list[list] = []  # the open marks; one that is emptied doesn't count
+    mains: list[int] = []  # of each open article or main element, how many marks are around it
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            lines.append((text, off > 0, main > 0))
+            at = mains[-1] if mains else 0
+            lines.append((text, marks[:at], marks[at:], bool(mains)))
 
     def close(upto: int) -> None:
-        nonlocal off, main
         while len(stack) > upto:
             name, was = stack.pop()
-            off -= was
-            main -= name in MAIN
+            if was is not None:
+                marks.pop()
+            if name in MAIN:
+                mains.pop()
 
+    at = 0
     while m := TOKEN.search(html, at):
         if m.start() > at:
             parts.append(html[at : m.start()])
@@ -118,14 +143,27 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
                     if stack[i][0] == name:
                         close(i)
                         break
-            was = name in RAW or beside(name, m[3], main > 0)
+            was = [name] if name in RAW or beside(name, m[3], bool(mains)) else None
+            if marks and (name == "nav" or (name in MAIN and was is None)):
+                for mark in marks:
+                    if mark == ["form"]:
+                        mark.clear()
+            if name in MAIN:
+                mains.append(len(marks))
+            if was is not None:
+                marks.append(was)
             stack.append((name, was))
-            off += was
-            main += name in MAIN
     if at < len(html):
         parts.append(html[at:])
     flush()
-    return lines
+    told = [(text, sum(map(bool, around)), any(own), main) for text, around, own, main in lines]
+    bound = [(n, len(text)) for text, n, own, main in told if main and not own]
+    least = min(bound, default=(0, 0))[0]
+    free = sum(len(text) for text, n, own, _ in told if not n and not own)
+    if least and free >= sum(size for n, size in bound if n == least):
+        least = 0
+    # Where a bound article is set free, what stands free around it isn't in an article and is left to main_text.
+    return [(text, own or n > (least if main else 0), main) for text, n, own, main in told]
 
 
 def main_text(html: str) -> str:
