@@ -41,6 +41,33 @@ def test_dedup_keeps_the_first(spark):
     assert dedup.exact_dedup(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_near_groups_link_rows_behind_an_unrelated_first(spark):
+    import random
+
+    # Near copies whose buckets mostly begin with an unrelated row.
+    r = random.Random(5)
+    rows = [(0, "common words alone"), (1, "common"), (2, "words")]
+    for i in range(40):
+        base = [f"w{r.randrange(60)}" for _ in range(12)] + ["common", "words"]
+        for j in range(r.randrange(1, 5)):
+            text = list(base)
+            for _ in range(r.randrange(3)):
+                text[r.randrange(12)] = f"w{r.randrange(60)}"
+            rows.append((len(rows), " ".join(text)))
+    rows += [(len(rows), rows[7][1]), (len(rows) + 1, ""), (len(rows) + 2, None)]
+    sets = {i: set(t.split()) for i, t in rows if t}
+    label = {i: i for i in sets}
+    links = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["group_id"] for r in dedup.near_groups(docs).collect()}
+    assert got == label
+    pairs = {(r["first"], r["other"]) for r in dedup.near_candidates(docs).collect()}
+    assert any((a, b) not in pairs for a, b in links)
+
+
 def test_greedy_near_dedup_compares_with_kept_rows(spark):
     docs = spark.createDataFrame([(0, "a b c d"), (1, "a b c d"), (2, "q r s t"), (3, ""), (4, "d c b a")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in dedup.greedy_near_dedup(docs).collect()) == [0, 2, 3]

@@ -67,7 +67,8 @@ def near_candidates(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
     """(first, other): each row that shares a band with an earlier one, and the first row of that bucket.
 
     The reference drops a row if a band collides with an earlier kept one; here a bucket's first
-    row stands for it, so that a bucket of any size gives as many pairs as it has rows.
+    row stands for it, so that a bucket of any size gives as many pairs as it has rows. Links
+    between its other rows are not among them; `near_groups` finds those too.
     """
     banded = band_rows(df, id_col, text, bands, rows)
     first = banded.groupBy("band", "key").agg(F.min(id_col).alias("first"))
@@ -82,6 +83,48 @@ def jaccard(pairs: DataFrame, df: DataFrame, id_col: str = "doc_id", text: str =
     return both.select("first", "other", (shared / (F.size("a") + F.size("b") - shared)).alias("similarity"))
 
 
+def components(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label): the smallest id that links (first, other) lead to, of each id. Labels also jump to their label's label, so chains take few rounds."""
+    edges = materialize(links.select("first", "other").union(links.select("other", "first")).distinct(), "links")
+    state = materialize(ids.select("id", F.col("id").alias("label")), "labels")
+    while True:
+        near = edges.join(state, F.col("other") == F.col("id")).groupBy("first").agg(F.min("label").alias("near"))
+        least = state.join(near, F.col("id") == F.col("first"), "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = state.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        made = materialize(least.join(jump, "label").select("id", "old", F.least("label", "next").alias("label")), "labels")
+        state = made.select("id", "label")
+        if made.where("old <> label").isEmpty():
+            return state
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, bands: int = 3, rows: int = 2) -> DataFrame:
+    """(id, group_id) of each text with a word; any two whose word sets are at least `percent` similar are in one group.
+
+    Equal sets are one row at first, and `near_candidates` links most copies to their bucket's first
+    row. Its buckets may hold unrelated first rows, so an exact step follows: two such sets
+    share one of their rarest words, so many that the others can't suffice; rows of different groups
+    that share one are compared. Groups are named by their smallest id; null ids are left out.
+    """
+    own = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"), word_set(text).alias("w")).where(F.size("w") > 0)
+    keyed = materialize(own.select("id", "text", F.sha2(F.array_join(F.array_sort("w"), " "), 256).alias("key")), "group-keys")
+    first = materialize(keyed.groupBy("key").agg(F.min("id").alias("rep")), "group-firsts")
+    some = materialize(keyed.join(first, F.col("id") == F.col("rep"), "left_semi").select("id", "text").dropDuplicates(["id"]), "group-rows")
+    ids = some.select("id")
+    close = lambda pairs: jaccard(pairs, some, "id").where(F.col("similarity") >= percent / 100).select("first", "other")
+    links = materialize(close(near_candidates(some, "id", "text", bands, rows)), "group-links")
+    label = components(ids, links)
+    each = materialize(some.select("id", F.explode(word_set("text")).alias("word")), "group-words")
+    ranked = each.join(each.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("w"))
+    rare = F.slice("w", F.lit(1), (F.size("w") - F.ceil((F.size("w") * percent) / 100) + 1).cast("int"))
+    rare = materialize(ranked.select("id", F.size("w").alias("size"), F.explode(rare).alias("x")).join(label, "id").select("id", "size", "label", F.col("x.word").alias("word")), "group-rare")
+    mixed = rare.join(rare.groupBy("word").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b"), "word", "left_semi")
+    a, b = (mixed.select("word", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "size", "label")]) for x in "ab")
+    pairs = a.join(b, "word").where(f"id_a < id_b and label_a <> label_b and 100 * size_a >= {percent} * size_b and 100 * size_b >= {percent} * size_a")
+    more = close(pairs.select(F.col("id_a").alias("first"), F.col("id_b").alias("other")).distinct())
+    label = components(ids, links.union(more))
+    return keyed.join(first, "key").join(label.select(F.col("id").alias("rep"), F.col("label").alias("group_id")), "rep").select(F.col("id").alias(id_col), "group_id")
+
+
 def greedy_near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", bands: int = 3, rows: int = 21) -> DataFrame:
     """Ids kept if rows come in order and each is dropped that shares a band with an earlier kept row.
 

@@ -157,6 +157,11 @@ def jaccard_verify(spark, sf_dir):
     return dedup.jaccard(pairs, docs).withColumn("similarity", F.round("similarity", 9))
 
 
+@query()
+def near_dup_groups(spark, sf_dir):
+    return dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 @query()
 def near_dup_greedy(spark, sf_dir):
     return dedup.greedy_near_dedup(table(spark, sf_dir, "documents"))
