@@ -448,6 +448,44 @@ def test_license_rules():
     assert [licenses.Scanner().rules[i][1] for _, _, i in found] == ["lgpl"]
 
 
+def spelled(parsed):
+    """Texts of a parsed pattern: each branch, option and character of a set, repeats once at most."""
+    from re import _constants as C
+
+    out = [""]
+    for op, arg in parsed:
+        if op is C.LITERAL:
+            own = [chr(arg)]
+        elif op is C.IN:
+            own = [chr(c) for k, v in arg if k in (C.LITERAL, C.RANGE) for c in ([v] if k is C.LITERAL else range(v[0], v[1] + 1))] or [" "]
+        elif op is C.BRANCH:
+            own = [x for branch in arg[1] for x in spelled(branch)]
+        elif op is C.SUBPATTERN:
+            own = spelled(arg[3])
+        elif op is C.MAX_REPEAT:
+            own = [*([""] if arg[0] == 0 else []), *spelled(arg[2])]
+        else:
+            assert op in (C.ASSERT_NOT, C.AT)
+            continue
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_license_gates_let_all_forms_through():
+    from re import _parser
+
+    for keys, _, name, _, _, pattern in licenses.rules():
+        for text in spelled(_parser.parse(pattern.pattern)):
+            assert pattern.search(text), (name, text)
+            assert any(k in text for k in keys.split("|")) and any(g in text for g in licenses.GATES), (name, text)
+
+
+@pytest.mark.parametrize("text,labels", [("licensed under the GNU Library General Public License", "gpl,lgpl"), ("Released under CC Zero", "cc0"), ("per the terms of MIT", "mit"), ("per the conditions of cc-by 4.0", "cc-by")])
+def test_license_labels_of_rare_forms(spark, text, labels):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert licenses.scan_licenses(df).first()["labels"] == labels
+
+
 # 10
 
 

@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from textmill.llm.common import held, steps, utf8
 
-# Label, keyword that every form of the name holds, name pattern, SPDX pattern.
+# Label, keywords of which every form of the name holds one, name pattern, SPDX pattern.
 FAMILIES = [
     ("mit", "mit", r"(?:the )?mit(?:/x11)?(?: licen[sc]e)?", r"mit"),
     ("apache", "apache", r"(?:the )?apache(?: software)? licen[sc]e(?:,? v(?:ersion |\.? ?)?[12](?:\.[01])?)?", r"apache-[12]\.[01]"),
     ("agpl", "affero", r"(?:the )?(?:gnu )?affero general public licen[sc]e(?:,? v(?:ersion )?3(?:\.0)?)?", r"agpl-[13]\.0(?:-only|-or-later)?"),
-    ("lgpl", "lesser", r"(?:the )?(?:gnu )?(?:lesser|library) general public licen[sc]e(?:,? v(?:ersion )?[23](?:\.[01])?)?", r"lgpl-[23]\.[01](?:-only|-or-later)?"),
+    ("lgpl", "lesser|library", r"(?:the )?(?:gnu )?(?:lesser|library) general public licen[sc]e(?:,? v(?:ersion )?[23](?:\.[01])?)?", r"lgpl-[23]\.[01](?:-only|-or-later)?"),
     ("gpl", "general public", r"(?:the )?(?:gnu )?general public licen[sc]e(?:,? v(?:ersion )?[123](?:\.0)?)?", r"gpl-[123]\.0(?:-only|-or-later)?"),
     ("mpl", "mozilla", r"(?:the )?mozilla public licen[sc]e(?:,? v(?:ersion |\. ?)?[12](?:\.[01])?)?", r"mpl-[12]\.[01]"),
     ("bsd-2-clause", "bsd", r"(?:the )?(?:2|two)[- ]clause bsd(?: licen[sc]e)?", r"bsd-2-clause"),
@@ -35,7 +35,7 @@ FAMILIES = [
     ("cc-by-nd", "cc", r"(?:cc[- ]by-nd|creative commons attribution-noderivatives)(?: [1-4]\.0)?", r"cc-by-nd-[1-4]\.0"),
     ("cc-by-sa", "cc", r"(?:cc[- ]by-sa|creative commons attribution-sharealike)(?: [1-4]\.0)?", r"cc-by-sa-[1-4]\.0"),
     ("cc-by", "cc", r"(?:cc[- ]by|creative commons attribution)(?: [1-4]\.0)?", r"cc-by-[1-4]\.0"),
-    ("cc0", "cc0", r"(?:cc0|cc zero)(?: 1\.0)?(?: universal)?", r"cc0-1\.0"),
+    ("cc0", "cc0|cc zero", r"(?:cc0|cc zero)(?: 1\.0)?(?: universal)?", r"cc0-1\.0"),
     ("epl", "eclipse", r"(?:the )?eclipse public licen[sc]e(?:,? v(?:ersion )?[12]\.0)?", r"epl-[12]\.0"),
     ("eupl", "european union", r"(?:the )?european union public licen[sc]e", r"eupl-1\.[12]"),
     ("isc", "isc", r"(?:the )?isc licen[sc]e", r"isc"),
@@ -94,7 +94,7 @@ LOWER[65:91] += 32
 IN_WORD = (LOWER >= 128) | ((LOWER >= 48) & (LOWER <= 57)) | ((LOWER >= 97) & (LOWER <= 122))
 
 #: Every rule's text holds one of these; they are the first, cheapest gate.
-GATES = ("licens", "licenc", "under ", "permission", "redistribution", "public domain", "rights reserved", "apache.org", "gnu.org", "creativecommons.org", "subject to", "governed by", "covered by", "compatible with", "see ", "copy of")
+GATES = ("licens", "licenc", "under ", "per the ", "permission", "redistribution", "public domain", "rights reserved", "apache.org", "gnu.org", "creativecommons.org", "subject to", "governed by", "covered by", "compatible with", "see ", "copy of")
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<label:string,rule:string,start:int,end:int>>"
 
 
