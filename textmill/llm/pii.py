@@ -6,6 +6,11 @@ surrogates, equal ones equal surrogates, in whatever document and order they com
 exception, as they are drawn from lists or made of syllables: the distinct entities of the whole
 input are checked for collisions, and a key epoch under which two of them collide is given up
 for the next one.
+
+A person is told by a title, by a given name of the lists with a family name, or by one alone behind
+a greeting; each word of the name is then replaced wherever the same text has it. Not told: a
+person whom a text never names so (a given name alone may be any word), and inflected forms
+(Webers).
 """
 
 from __future__ import annotations
@@ -48,6 +53,20 @@ _UPPER = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ]"
 _LOWER = r"[a-zß-öø-ÿа-яёα-ωάέήίόύώς]"
 _NAME = rf"{_UPPER}{_LOWER}+(?:-{_UPPER}{_LOWER}+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_KEYS = r"AKIA|gh[pousr]_|sk-|xox[abprs]-|AIza"
+#: Gender of each given name of the lists.
+GENDER = {name: sex for (sex, _), names in GIVEN.items() for name in names}
+#: What a given name alone stands behind: words that are spelled like one are no person.
+GREETING = re.compile(r"(?<!\w)(?:[Dd]ear|Hi|Hello|Hey|Liebe|Lieber|Hallo|Chère|Cher|Bonjour|Querida|Querido|Estimada|Estimado|Hola|Дорогая|Дорогой|Уважаемая|Уважаемый|Привет|Αγαπητή|Αγαπητέ),? $")
+# Capitalised words that aren't a family name.
+COMMON = frozenset("The A An And But Or If In On At To Of For From With By As He She It We They You I This That These Those Then There When Where Who What Why How Not No Yes So Is Was Are Were Has Had Have Will Would Can Could May Must Do Did Der Die Das Den Dem Des Ein Eine Und Oder Aber Wenn Als In Im Am Zu Mit Von Für Auf Aus Bei Nach Er Sie Es Wir Ihr Ich Nicht Ist War Hat Le La Les Un Une Des Et Ou Mais Dans De Du Il Elle Nous Vous Ils El Los Las Y O Pero En Con Por Para Que Se No Su И В На С По Но А Он Она Они Мы Вы Я Это Не Ο Η Το Οι Τα Και Στο Στη Με Για Από Δεν".split())
+_TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
+_LISTED = "|".join(sorted(GENDER, key=len, reverse=True))
+_FAMILY = rf"(?!(?:{'|'.join(sorted(COMMON, key=len, reverse=True))})(?!\w)){_NAME}(?!\w)"
+#: A given name of the lists, and what goes with it; not in Santa Maria or St. Paul.
+_UNTITLED = rf"(?<!\w)(?={_UPPER})(?<!San )(?<!Santa )(?<!Saint )(?<!St )(?<!St\. )(?:{_LISTED})(?!\w)(?:-{_UPPER}{_LOWER}+(?!\w))?(?: {_FAMILY}){{0,2}}"
+#: A word that may be a person's who was named elsewhere in the text.
+MENTION = re.compile(rf"(?<!\w){_UPPER}{_LOWER}+(?!\w)")
 #: In order: of two that begin at one place the earlier wins.
 ENTITY = re.compile(
     "|".join(
@@ -60,12 +79,13 @@ ENTITY = re.compile(
             r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])|(?<![\w.-])\d{3}-\d{4}(?![\w-]))",
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
             r"(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))",
-            rf"(?P<name>(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.? (?P<person>{_NAME}(?: {_NAME}){{0,2}}))",
+            rf"(?P<name>(?<!\w)(?P<title>{_TITLE})\b\.? (?P<person>{_NAME}(?: {_NAME}){{0,2}}))",
+            rf"(?P<untitled>{_UNTITLED})",
         ]
     )
 )
 #: Whatever ENTITY finds holds one of these.
-HINT = re.compile(rf"[@\d]|(?<!\w)(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b")
+HINT = re.compile(rf"[@\d]|(?<!\w)(?:(?:{_TITLE})\b|(?:{_LISTED})(?!\w)|{_KEYS}|[a-f]{{32}}|[A-F]{{32}})")
 
 
 def luhn(digits: str) -> int:
@@ -196,24 +216,61 @@ class Keyed:
         """The text with surrogates, and (type, canonical original, canonical surrogate) of each mention."""
         if not HINT.search(text):
             return text, []
+        matches = list(ENTITY.finditer(text))
         found: list[tuple[str, str, str]] = []
-
-        def swap(m: re.Match) -> str:
+        named: dict[str, tuple[str, str]] = {}  # (type, surrogate) of each word of a person named in the text
+        made: dict[int, str] = {}
+
+        def person(m: re.Match, own: str, new: str, types: list[str]) -> None:
+            # Each word is an entity of its own: Mr Paul Weber and Herr Weber share a surname.
+            for kind, a, b in zip(types, re.split(r"[ -]", own), re.split(r"[ -]", new), strict=True):
+                found.append((kind, a, b))
+                if a not in COMMON:
+                    named.setdefault(a, (kind, b))
+            made[m.start()] = m[0][: len(m[0]) - len(own)] + new
+
+        for m in matches:
             kind = m.lastgroup if m.lastgroup not in ("title", "person") else "name"
             if kind == "name":
                 gender, own = TITLES[m["title"]], m["person"]
-                made = self.surrogate("name", own, gender)
-                # Each word is an entity of its own: Mr Paul Weber and Herr Weber share a surname.
-                words, swapped = re.split(r"[ -]", own), re.split(r"[ -]", made)
-                found.extend(("family" if i == len(words) - 1 else f"given {gender}", a, b) for i, (a, b) in enumerate(zip(words, swapped, strict=True)))
-                return m[0][: m.start("person") - m.start()] + made
-            own = m[0].lower() if kind == "email" else m[0]
-            made = self.surrogate(kind, own)
-            plain = (lambda x: re.sub(r"[^\w+]", "", x)) if kind in ("phone", "card", "iban", "ssn") else str
-            found.append((kind, plain(own), plain(made)))
-            return made
-
-        return ENTITY.sub(swap, text), found
+                n = len(re.split(r"[ -]", own))
+                person(m, own, self.surrogate("name", own, gender), [f"given {gender}"] * (n - 1) + ["family"])
+            elif kind != "untitled":
+                own = m[0].lower() if kind == "email" else m[0]
+                new = self.surrogate(kind, own)
+                plain = (lambda x: re.sub(r"[^\w+]", "", x)) if kind in ("phone", "card", "iban", "ssn") else str
+                found.append((kind, plain(own), plain(new)))
+                made[m.start()] = new
+        for m in matches:  # with a family name first, as a given name alone is taken as there
+            if m.lastgroup == "untitled" and " " in m[0]:
+                words = re.split(r"([ -])", m[0])
+                gender, last = GENDER[words[0]], len(words) - 1
+                types = ["family" if i == last else f"given {gender}" for i in range(0, len(words), 2)]
+                new = "".join(w if w in " -" else named[w][1] if w in named else self.word(w, gender, types[i // 2].split(" ")[0]) for i, w in enumerate(words))
+                person(m, m[0], new, [named[w][0] if w in named else types[i] for i, w in enumerate(words[::2])])
+        for m in matches:
+            if m.lastgroup == "untitled" and " " not in m[0] and (GREETING.search(text[max(0, m.start() - 14) : m.start()]) or named.keys() & set(m[0].split("-"))):
+                words = re.split(r"(-)", m[0])
+                gender = GENDER[words[0]]
+                new = "".join(w if w == "-" else named[w][1] if w in named else self.word(w, gender, "given") for w in words)
+                person(m, m[0], new, [named[w][0] if w in named else f"given {gender}" for w in words[::2]])
+
+        def mention(m: re.Match) -> str:
+            if m[0] not in named:
+                return m[0]
+            kind, new = named[m[0]]
+            found.append((kind, m[0], new))
+            return new
+
+        out, at = [], 0
+        for m in matches:
+            if m.start() in made:
+                gap = text[at : m.start()]
+                out += [MENTION.sub(mention, gap) if named else gap, made[m.start()]]
+                at = m.end()
+        gap = text[at:]
+        out.append(MENTION.sub(mention, gap) if named else gap)
+        return "".join(out), found
 
 
 def entities(df: DataFrame, key: bytes, epoch: int = 0, text_col: str = "text") -> DataFrame:
