@@ -116,6 +116,23 @@ def test_alignment(spark):
     assert (blocks["best_id"], blocks["second_id"]) == (0, 2)
 
 
+def test_scores_read_whole_texts(spark, tmp_path):
+    from textmill.plans.queries import QUERIES
+
+    same, other = "a bb " * 300 + "Alpha Omega abcdefgh ", "a bb " * 300 + "Gamma Delta qrstuvwx "
+    spark.createDataFrame([(0, same * 2), (1, same + other)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    whole = QUERIES["ner_span_f1_whole"](spark, str(tmp_path)).first()
+    import re
+
+    from textmill.functions import text as T
+
+    sets = [({x.lower() for x in re.findall(T.ENTITY, a)}, {x.lower() for x in re.findall(T.ENTITY, b)}) for a, b in ((same, same), (same, other))]
+    tp, n = sum(len(a & b) for a, b in sets), sum(len(a) for a, _ in sets)
+    assert (whole["micro_p"], whole["micro_r"]) == (tp / n, tp / sum(len(b) for _, b in sets)) and 0 < tp < n
+    s = QUERIES["term_prf_whole"](spark, str(tmp_path)).first()
+    assert 0 < s["precision"] < 1 and 0 < s["recall"] < 1
+
+
 def test_terms(spark):
     docs = spark.createDataFrame([(0, "abcdefgh abcdefgh zz wxyz"), (1, "abcdefgh qrstuvwxy")], "doc_id long, text string")
     top = terms.select_terms(docs, 5, mode="frequency").collect()

@@ -282,7 +282,7 @@ def cooccur_window(spark, sf_dir):
 @query()
 def word2vec(spark, sf_dir):
     lines = table(spark, sf_dir, "conversations").select(T.words(F.lower("text")).alias("tokens"))
-    return terms.train_vectors(lines, size=16, window=5, epochs=1).select("token", F.size("vec").alias("size"))
+    return terms.train_vectors(lines, size=300, window=15, epochs=5).select("token", "vec")
 
 
 # Metrics
@@ -323,6 +323,24 @@ def term_prf(spark, sf_dir):
     return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
 
 
+def _halves(spark, sf_dir):
+    """The first and the second half of each whole text."""
+    half = F.ceil(F.length("text") / 2).cast("int")
+    return table(spark, sf_dir, "documents").select(F.substr("text", F.lit(1), half).alias("a"), F.substr("text", half + 1).alias("b"))
+
+
+@query()
+def ner_span_f1_whole(spark, sf_dir):
+    s = metrics.span_scores(_halves(spark, sf_dir).select(T.naive_entities("a").alias("pred"), T.naive_entities("b").alias("gold")))
+    return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
+
+
+@query()
+def term_prf_whole(spark, sf_dir):
+    s = metrics.set_scores(_halves(spark, sf_dir).select(T.terms("a").alias("p"), T.terms("b").alias("r")), "p", "r")
+    return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
+
+
 @query("select event_type, round(exp(avg(value / 100)), 6) as perplexity from events group by event_type")
 def perplexity(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
@@ -482,6 +500,13 @@ def bootstrap_diff(spark, sf_dir):
     return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
 
 
+@query()
+def bootstrap_diff_1000(spark, sf_dir):
+    """With the reference's number of resamples."""
+    s = metrics.bootstrap(table(spark, sf_dir, "labels"), "quality", "toxic", "doc_id", 1000, SEED)
+    return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
+
+
 @query(f"with {PREDICTED}, n as (select dataset as metric, avg((pred = label)::int) as value from p group by dataset), o as (select dataset as metric, avg(quality) as baseline from p group by dataset) select metric, round(value, 9) as value, round(baseline, 9) as baseline, round(value - baseline, 9) as delta from n join o using (metric)")
 def baseline_delta(spark, sf_dir):
     p = _predicted(spark, sf_dir)
