@@ -133,6 +133,27 @@ def test_scores_read_whole_texts(spark, tmp_path):
     assert 0 < s["precision"] < 1 and 0 < s["recall"] < 1
 
 
+def test_cascade_query_has_all_tiers(spark):
+    import numpy as np
+    from conftest import SF
+
+    from textmill.plans.queries import QUERIES
+
+    got = {r["tgt_id"]: r for r in QUERIES["align_cascade_vectors"](spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    pages = [r["page_id"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    assert len(got) == len(rows) + len(pages) and all(got[-1 - i]["method"] == "random" and 0 <= got[-1 - i]["src_id"] < len(rows) for i in pages)
+    ids, m = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], float)
+    for r, sims in zip(rows, np.round(m @ m.T, 9), strict=True):
+        own = got[r["vec_id"]]
+        if r["label"] != 0:
+            assert (own["src_id"], own["method"]) == (r["label"], "gold")
+        else:
+            a, b = np.argsort(-sims, kind="stable")[:2]
+            assert (own["src_id"], own["method"]) == (ids[b] if ids[a] == 0 else ids[a], "query") and abs(own["margin"] - (sims[a] - sims[b])) < 1e-6
+    assert {r["method"] for r in got.values()} == {"gold", "query", "random"}
+
+
 def test_terms(spark):
     docs = spark.createDataFrame([(0, "abcdefgh abcdefgh zz wxyz"), (1, "abcdefgh qrstuvwxy")], "doc_id long, text string")
     top = terms.select_terms(docs, 5, mode="frequency").collect()

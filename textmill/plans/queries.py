@@ -475,6 +475,16 @@ def align_cascade(spark, sf_dir):
     return align.align(rows.select(F.col("vec_id").alias("id")), gold, source.limit(0), source, rows.count()).select("tgt_id", "src_id", "method")
 
 
+@query()
+def align_cascade_vectors(spark, sf_dir):
+    """All tiers: gold where a label is known, hash-drawn for ids without a vector (made of the pages' ids), else the best or, behind the unknown id 0, second best inner product."""
+    rows = table(spark, sf_dir, "embeddings")
+    gold = rows.where("label <> 0").select(F.col("vec_id").alias("tgt_id"), F.col("label").cast("long").alias("src_id"))
+    vectors = materialize(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "cascade-vectors")
+    bare = table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("id"))
+    return align.align(vectors.select("id").union(bare), gold, vectors, vectors, rows.count(), unknown=0).withColumn("margin", F.round("margin", 9))
+
+
 @query("select a.vec_id as tgt_id, b.vec_id as src_id, round(b.embedding[1]::double, 6) as v0 from embeddings a join embeddings b on b.vec_id = a.label")
 def gather_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
