@@ -1,13 +1,12 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Tokenising is one pass without a shuffle. Packing is bulk-synchronous best fit: documents and
-gaps are kept range-sorted by length, each round matches a whole run of equally long documents
-with its successor among the gaps (the smallest that is long enough), documents that want the
-same gaps are told apart by rank, the gaps left over are put back in order, and the next round
-begins. As only the length matters, a run of any number of documents is one entry: the sorted
-axis has at most `capacity` entries on either side, so that a sweep over it takes no pass over
-the rows. The rows take part where they are many: they are counted by length, ranked within
-their length by partition, and looked up in the finished plan.
+Tokenising is one pass without a shuffle. The bulk-synchronous method (range-sort documents and
+gaps, distributed successor sweeps, conflicts by rank, repeat) is not run; it is replaced by a plan
+that the driver makes over the histogram of lengths. Equally long documents are alike to
+best fit, so at most `capacity` counts decide the packing: the driver takes them from the longest
+to the shortest and gives each run the smallest gap that is long enough, which is best-fit
+decreasing. There is no distributed sweep or round. Executors count the pieces by length, rank
+them within their length by partition, and look their place up in the finished plan.
 """
 
 from __future__ import annotations
@@ -129,7 +128,7 @@ def tokenize(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, end rank, first sequence, offset): where the pieces of each length go.
 
-    Rounds go from the longest run of documents to the shortest. Gaps are runs of sequences
+    A sequential loop on the driver, from the longest run of documents to the shortest. Gaps are runs of sequences
     that are filled alike: gaps[g] holds (first sequence, number) and `order` the sizes in use.
     """
     gaps: dict[int, list[tuple[int, int]]] = {}
