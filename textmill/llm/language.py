@@ -6,30 +6,34 @@ whose dictionary gives the fewest bytes is chosen, and a choice by a narrow marg
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import held, steps
+from textmill.llm.common import held, map_arrow, steps
 
-#: The bounded sample that the dictionaries are made from: documents of a language, characters
-#: of each, bytes of a dictionary, and languages (those with the most documents).
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LANGUAGES = 600, 500, 96 << 10, 256
+#: The bounded sample that the dictionaries are made from: documents of a language, characters of
+#: a span drawn from each, bytes of a dictionary, and bytes of all dictionaries together, which
+#: very many languages share evenly.
+SAMPLE_DOCS, SPAN, DICTIONARY_BYTES, ALL_BYTES = 600, 500, 96 << 10, 64 << 20
 #: Bytes encoded at once. Short blocks keep a long text from becoming its own dictionary.
 BLOCK = 4 << 10
 LEVEL = 6
 #: A choice is rejected if the second best needs less than this share of bytes more.
 MARGIN = 0.003
 UNKNOWN = "und"
-OTHER = re.compile(r"[\W\d_]+")
+OUTPUT = ("lang_pred", "score", "rejected")
+#: All but letters and the marks that belong to them.
+OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def normalized(text: str) -> bytes:
-    """Lower-case letters and combining marks' bases, with one space between words; empty if there is no letter."""
-    return OTHER.sub(" ", text.lower()).strip().encode()
+    """Lower-case letters with their marks, and one space between words; empty if there is no letter."""
+    return OTHER.sub(" ", text.lower()).strip().encode() if LETTER.search(text) else b""
 
 
 def held_out(doc_id):
@@ -40,24 +44,28 @@ def held_out(doc_id):
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary contents by language, from a bounded sample of the rows with a text and a language.
 
-    The sample is that of the smallest hashes of ids, cut to SAMPLE_CHARS; its size depends on the
-    parameters above only. Of equal texts one is used.
+    Every language that a row names is learned. The sample has the documents of the smallest hashes
+    of ids, and of each a span whose place in the whole text is drawn by hash too. Its size depends
+    on the parameters above only. Of equal spans one is used.
     """
-    rows = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = docs.where(F.col("id").isNotNull() & ~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
         return {}
-    span = 1 << 40
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, span * 2 * SAMPLE_DOCS // n)])
-    rank = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(span))
-    drawn = rows.where(rank < F.coalesce(F.element_at(share, F.col(lang_col)), F.lit(0)))
-    drawn = drawn.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"), rank.alias("rank"))
+    size = min(DICTIONARY_BYTES, ALL_BYTES // len(counts))
+    most = max(1, min(SAMPLE_DOCS, 3 * size // SPAN + 1))
+    whole = 1 << 40
+    shares = docs.sparkSession.createDataFrame([(lang, whole * 2 * most // n) for lang, n in counts.items()], "lang string, share long")
+    rank = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(whole))
+    place = F.pmod(F.xxhash64(F.lit("span"), F.col("id").cast("string")), F.greatest(F.length("text") - SPAN, F.lit(0)) + 1).cast("int") + 1
+    drawn = rows.join(shares, "lang").where(rank < F.col("share")).select("lang", F.substr("text", place, F.lit(SPAN)).alias("span"), rank.alias("rank"))
     texts: dict[str, dict[bytes, None]] = {}
-    for r in drawn.orderBy("rank", "lang", "text").limit(4 * SAMPLE_DOCS * len(counts)).collect():
+    for r in drawn.orderBy("rank", "lang", "span").limit(4 * most * len(counts)).collect():
         own = texts.setdefault(r["lang"], {})
-        if len(own) < SAMPLE_DOCS and (text := normalized(r["text"])):
+        if len(own) < most and (text := normalized(r["span"])):
             own[text] = None
-    return {lang: b" ".join(own)[:DICTIONARY_BYTES] for lang, own in sorted(texts.items()) if own}
+    return {lang: b" ".join(own)[:size] for lang, own in sorted(texts.items()) if own}
 
 
 class Classifier:
@@ -83,27 +91,29 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
     score is the share of bytes that the best language saves against the second best, 1 if only
     one language is known, 0 on a tie (the first by name is taken). A null text, one without
     letters, and any text if no language is known have lang_pred "und", score 0 and are
-    rejected. One row out for each row in. The dictionaries are at most LANGUAGES times
-    DICTIONARY_BYTES; no shuffle, a few MB of text at a time.
+    rejected. One row out for each row in, repeated ones alike; a column of `keep` that is named as
+    one of the three gives way to it. The dictionaries are at most ALL_BYTES; no shuffle; a batch
+    is bounded (common.BATCH_BYTES), a longer text is held whole.
     """
+    keep = tuple(c for c in keep if c not in OUTPUT)
     known = tuple(sorted(dictionaries.items()))
-    source = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"))
+    source = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = held(("languages", known), lambda: Classifier(known)).sizes
-        for batch in steps(batches, "_text"):
+        for batch in steps(batches, "_text_"):
             langs, scores, rejected = [], [], []
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column("_text_").to_pylist():
                 found = sizes(text or "")
                 score = 0.0 if not found else 1.0 if len(found) == 1 else 1 - found[0][0] / found[1][0]
                 langs.append(found[0][1] if found else UNKNOWN)
                 scores.append(score)
                 rejected.append(not found or score < margin)
             own = [batch.column(i) for i in range(len(keep))]
-            yield pa.record_batch([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
+            yield pa.record_batch([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, *OUTPUT])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kept}{', ' if kept else ''}lang_pred string, score double, rejected boolean")
+    return map_arrow(source, run, f"{kept}{', ' if kept else ''}lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
