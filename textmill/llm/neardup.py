@@ -3,7 +3,8 @@
 Texts become sets of word shingles; sets are hashed to MinHash samples, whose bands find
 candidates. The samples are also folded into a parity bitmap, the odd sketch: the population
 count of two bitmaps' XOR estimates their similarity, most precisely where it is high, and
-candidates that it rules out need no look at the sets. What is left is confirmed on full sets.
+candidates that it rules out need no look at the sets. What is left is confirmed on the full sets
+of words themselves.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import materialize, steps, utf8
+from textmill.llm.common import discard, few, held, map_arrow, materialize, steps
 
 #: Rows of a band, samples of a sketch and its bits.
 ROWS, SAMPLES, BITS = 4, 256, 512
@@ -29,10 +30,8 @@ MISS = 1e-7
 #: Candidates are ruled out only if their sketches differ in more bits than this many standard
 #: deviations above what is expected of a pair of just the wanted similarity.
 DEVIATIONS = 6
-#: Ids known by at most so many rows are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-#: Rounds that connected components may take.
-ROUNDS = 60
+#: Words whose hashes a Python worker remembers, and the longest of them. Results don't depend on it.
+WORDS, LONGEST = 100_000, 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,74 +65,83 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _seeds = np.arange(1, 4097, dtype=np.uint64) * MULTIPLIER
-BYTE_VALUES = mix(_seeds[:256])
-BYTE_VALUES[65:91] = BYTE_VALUES[97:123]  # A-Z as a-z
-BASE = int(_seeds[300]) | 1
-BACK = pow(BASE, -1, 1 << 64)
 PERM_A = mix(_seeds[400 : 400 + SAMPLES]) | np.uint64(1)
-IN_WORD = np.ones(256, bool)
-IN_WORD[[9, 10, 11, 12, 13, 32]] = False
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.ones(max(n, 1), np.uint64)
-    done, step = 1, np.uint64(base)
-    while done < n:
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * step
-        step = step * step
-        done += more
-    return out[:n]
-
-
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words before each text): words of all texts in order.
-
-    A word's hash is a polynomial in its lower-cased bytes' random values, made of prefix sums,
-    and mixed with its length.
-    """
-    inside = IN_WORD[raw]
-    first, after = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    after[:-1] &= ~inside[1:]
-    edge = offsets[:-1][np.diff(offsets) > 0]  # texts begin and end words
-    first[edge] = inside[edge]
-    last = (offsets[1:] - 1)[np.diff(offsets) > 0]
-    after[last] = inside[last]
-    start, end = np.flatnonzero(first), np.flatnonzero(after) + 1
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[raw] * powers(BASE, len(raw)), out=sums[1:])
-        hashed = mix((sums[end] - sums[start]) * powers(BACK, len(raw) + 1)[start] + (end - start).astype(np.uint64) * MULTIPLIER)
-    return hashed, np.searchsorted(start, offsets)
-
-
-def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
-    """Each text's distinct shingles as sorted 64-bit hashes; fewer words than a shingle make one."""
-    raw, offsets = utf8(column)
-    words, before = word_hashes(raw, offsets)
+#: A-Z as a-z, all other bytes as they are.
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: The key of the words' hashes; it only keeps texts from being made to collide.
+WORD_KEY = b"textmill word shingles"
+
+
+class Words:
+    """128-bit keyed BLAKE2b hashes of words, in two lanes of 64 bits."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.lanes = np.zeros((2, 1024), np.uint64)
+
+    def add(self, words: list[bytes]) -> None:
+        n, new = len(self.number), len(words)
+        if n + new > self.lanes.shape[1]:
+            grown = np.zeros((2, 2 * (n + new)), np.uint64)
+            grown[:, :n] = self.lanes[:, :n]
+            self.lanes = grown
+        made = b"".join([hashlib.blake2b(w, key=WORD_KEY, digest_size=16).digest() for w in words])
+        self.lanes[:, n : n + new] = np.frombuffer(made, "<u8").reshape(-1, 2).T
+        self.number.update(zip(words, range(n, n + new), strict=True))
+
+    def __call__(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Both lanes of all texts' words in order."""
+        if len(self.number) > WORDS:
+            self.__init__()
+        new = list(set().union(*texts).difference(self.number))
+        # Long words are known for this call only.
+        self.add([w for w in new if len(w) <= LONGEST])
+        rest = [w for w in new if len(w) > LONGEST]
+        self.add(rest)
+        get = self.number.__getitem__
+        at = np.fromiter((get(w) for own in texts for w in own), np.int64, sum(map(len, texts)))
+        out = self.lanes[:, at]
+        for w in rest:
+            del self.number[w]
+        return out
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The lower-cased words between characters of white space."""
+    return (text or "").encode().translate(LOWER).split()
+
+
+def shingle_sets(texts: list[str | None], size: int, words: Words) -> list[np.ndarray]:
+    """Each text's distinct shingles, sorted, as two lanes of hashes; fewer words than a shingle make one."""
+    split = [words_of(x) for x in texts]
+    lanes = words(split)
+    n = lanes.shape[1]
     with np.errstate(over="ignore"):
-        n = len(words)
-        shingles = np.zeros(n, np.uint64)
+        shingles = np.zeros((2, n), np.uint64)
         for i in range(size):
-            shingles[: n - i] += mix(words[i:] + np.uint64(i + 1) * MULTIPLIER)
+            shingles[:, : max(0, n - i)] += mix(lanes[:, i:] + np.uint64(i + 1) * MULTIPLIER)
         shingles = mix(shingles)
-    sets = []
-    for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
-        if b - a >= size:
-            sets.append(np.unique(shingles[a : b - size + 1]))
-        elif b > a:
-            with np.errstate(over="ignore"):
-                own = np.uint64(b - a)
-                for i, w in enumerate(words[a:b]):
-                    own = own + mix(np.array([w + np.uint64(i + 1) * MULTIPLIER]))[0]
-                sets.append(mix(np.array([own ^ np.uint64(0x5555555555555555)])))
-        else:
-            sets.append(np.zeros(0, np.uint64))
+        sets, a = [], 0
+        for own in split:
+            b = a + len(own)
+            if b - a >= size:
+                first, at = np.unique(shingles[0, a : b - size + 1], return_index=True)
+                sets.append(np.stack([first, shingles[1, a : b - size + 1][at]]))
+            elif b > a:  # told apart from the shingles of `size` words
+                terms = mix(lanes[:, a:b] + np.arange(1, b - a + 1, dtype=np.uint64) * MULTIPLIER)
+                sets.append(mix(terms.sum(axis=1, dtype=np.uint64) + np.uint64(b - a + 7919) * MULTIPLIER)[:, None])
+            else:
+                sets.append(np.zeros((2, 0), np.uint64))
+            a = b
     return sets
 
 
+def real_shingles(text: str | None, size: int) -> set[tuple[bytes, ...]]:
+    """The set itself, for the confirmation of links."""
+    words = words_of(text)
+    return set(zip(*[words[i:] for i in range(size)])) if len(words) >= size else {tuple(words)} if words else set()
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """MinHash samples, a row for each set; empty sets are taken as {0}."""
     sets = [x if len(x) else np.zeros(1, np.uint64) for x in sets]
@@ -171,18 +179,24 @@ def set_parities(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def features(df: DataFrame, near: Near, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, sketch, parity): all but doc_id depend on the set of shingles alone."""
+    """(doc_id, n_shingles, digest, bands, sketch, parity): all but doc_id depend on the set of shingles alone.
+
+    A row for each row, null texts and texts without words with no shingle. digest stands for the
+    set: it is made of 128 bits of each shingle. Sets are counted and compared by 64 of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held(("near-words",), Words)
         for batch in steps(batches, "text"):
-            sets = shingle_sets(batch.column("text"), near.shingle)
+            full = shingle_sets(batch.column("text").to_pylist(), near.shingle, words)
+            sets = [x[0] for x in full]
             signature = signatures(sets)
             lists = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel().view(np.int64)))
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
                     "n_shingles": pa.array(list(map(len, sets)), pa.int64()),
-                    "digest": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
+                    "digest": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in full], pa.binary()),
                     "bands": lists(band_keys(signature, near.bands)),
                     "sketch": lists(odd_sketches(signature)),
                     "parity": lists(set_parities(sets)),
@@ -190,7 +204,7 @@ def features(df: DataFrame, near: Near, id_col: str, text_col: str) -> DataFrame
             )
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>, parity array<long>")
+    return map_arrow(rows, run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def differing(a: str, b: str, name: str, bits: int) -> Column:
@@ -212,45 +226,45 @@ def alike(a: str, b: str, near: Near) -> Column:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
+    """Those of the pairs (a, b) whose full sets, the words themselves, are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text_a"):
             kept = []
-            for x, y in zip(shingle_sets(batch.column("text_a"), near.shingle), shingle_sets(batch.column("text_b"), near.shingle), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(100 * both >= near.percent * (len(x) + len(y) - both))
+            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                p, q = real_shingles(x, near.shingle), real_shingles(y, near.shingle)
+                both = len(p & q)
+                kept.append(100 * both >= near.percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     full = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return map_arrow(full.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of the edges (a, b) reaches.
+    """(node, label): the smallest node that each node of the edges (a, b) reaches; a written table.
 
-    Alternating large and small stars, each a minimum by node and a join; a node with very many
-    neighbours is summed in parts, and its join is one that AQE can split.
+    Alternating large and small stars until nothing changes, a number of rounds that grows with
+    the logarithm of the nodes. A node's neighbours are summed in parts, and the sums are written
+    before they join the edges again: both sides of that join then come straight from a shuffle or
+    the small one is broadcast, and AQE can split a node with very many neighbours.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
-    for _ in range(ROUNDS):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        edges = materialize(small, "edges")
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        root = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "root")
+        small = large.join(root, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(root.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        before, edges = edges, materialize(small, "edges")
+        discard(before, least, large, root)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            made = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            made._textmill_path = edges._textmill_path
+            return made
         state = now
-    raise RuntimeError("the components are not complete")
-
-
-def few(ids: DataFrame) -> DataFrame:
-    """ids, a written table, to be broadcast if its counted size allows it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def near_duplicates(df: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,7 +280,8 @@ def near_duplicates(df: DataFrame, near: Near = Near(), id_col: str = "doc_id",
     of a band all members are checked against one member, drawn by hash; what this connects is
     not compared again. Then members of different components that share a bucket are compared,
     each pair in the first bucket it shares: by size and sketch inside the join, and on full
-    sets where these leave a link possible. No bucket is capped.
+    sets where these leave a link possible. No bucket is capped. The result is a written table;
+    those made on the way are deleted.
     """
     seen = materialize(features(df, near, id_col, text_col), "near-features")
     reps = seen.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles", "bands", "sketch", "parity").agg(F.min("doc_id").alias("rep"))
@@ -277,25 +292,26 @@ def near_duplicates(df: DataFrame, near: Near = Near(), id_col: str = "doc_id",
     ids = materialize(members.select("rep").distinct(), "near-ids")
     rows = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     texts = materialize(rows.join(few(ids), "rep", "left_semi"), "near-texts")
-    known = reps.join(few(ids), "rep", "left_semi").select("rep", "n_shingles", "sketch", "parity", "bands")
-    known = materialize(known, "near-known")
+    known = materialize(reps.join(few(ids), "rep", "left_semi").select("rep", "n_shingles", "sketch", "parity", "bands"), "near-known")
     star = members.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     x, y = known.alias("x"), known.alias("y")
     star = star.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(alike("x", "y", near)).select("a", "b")
     links = materialize(confirm(star, texts, near), "near-links")
-    labels = components(links)
-    named = known.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", "sketch", "parity", "bands", F.coalesce("label", "rep").alias("label"))
+    starred = components(links)
+    named = known.join(starred, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", "sketch", "parity", "bands", F.coalesce("label", "rep").alias("label"))
     apart = materialize(members.select("band", "key", "rep").join(named, "rep"), "near-apart")
     # Buckets that the stars have connected are done.
     open_buckets = apart.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "key")
-    apart = materialize(apart.join(open_buckets, ["band", "key"], "left_semi"), "near-open")
-    x, y = apart.alias("x"), apart.alias("y")
+    still = materialize(apart.join(open_buckets, ["band", "key"], "left_semi"), "near-open")
+    x, y = still.alias("x"), still.alias("y")
     first = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
     cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & alike("x", "y", near) & first)
-    more = confirm(cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), texts, near)
+    more = materialize(confirm(cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), texts, near), "near-more")
     labels = components(links.unionByName(more))
     final = reps.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"))
     # Only sets are shared by many rows; the join is one that AQE can split.
     out = seen.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("label"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out = materialize(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")), "near-groups")
+    discard(seen, reps, members, ids, texts, known, links, starred, apart, still, more, labels)
+    return out
