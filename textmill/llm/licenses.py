@@ -1,9 +1,9 @@
 """License scan by ordered signature rules.
 
-A few hundred regular expressions, built from a table of license families and a table of phrase
-forms, are gated by keywords: a rule runs only on a text that holds its keyword, and most texts
-hold none. Where detections overlap, one that lies inside another of the same or a higher
-priority is suppressed. Lower numbers are higher priorities.
+A few hundred regular expressions (`signatures`), written by hand from license texts, notices,
+names and tags, are gated by keywords: a rule runs only on a text that holds one of its keywords,
+which an automaton finds in one pass. Where detections overlap, one that lies inside another of
+the same or a higher priority is suppressed. Lower numbers are higher priorities.
 """
 
 from __future__ import annotations
@@ -16,75 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import held, steps, utf8
-
-# Label, keywords of which every form of the name holds one, name pattern, SPDX pattern.
-FAMILIES = [
-    ("mit", "mit", r"(?:the )?mit(?:/x11)?(?: licen[sc]e)?", r"mit"),
-    ("apache", "apache", r"(?:the )?apache(?: software)? licen[sc]e(?:,? v(?:ersion |\.? ?)?[12](?:\.[01])?)?", r"apache-[12]\.[01]"),
-    ("agpl", "affero", r"(?:the )?(?:gnu )?affero general public licen[sc]e(?:,? v(?:ersion )?3(?:\.0)?)?", r"agpl-[13]\.0(?:-only|-or-later)?"),
-    ("lgpl", "lesser|library", r"(?:the )?(?:gnu )?(?:lesser|library) general public licen[sc]e(?:,? v(?:ersion )?[23](?:\.[01])?)?", r"lgpl-[23]\.[01](?:-only|-or-later)?"),
-    ("gpl", "general public", r"(?:the )?(?:gnu )?general public licen[sc]e(?:,? v(?:ersion )?[123](?:\.0)?)?", r"gpl-[123]\.0(?:-only|-or-later)?"),
-    ("mpl", "mozilla", r"(?:the )?mozilla public licen[sc]e(?:,? v(?:ersion |\. ?)?[12](?:\.[01])?)?", r"mpl-[12]\.[01]"),
-    ("bsd-2-clause", "bsd", r"(?:the )?(?:2|two)[- ]clause bsd(?: licen[sc]e)?", r"bsd-2-clause"),
-    ("bsd-3-clause", "bsd", r"(?:the )?(?:(?:3|three)[- ]clause|new|modified) bsd(?: licen[sc]e)?", r"bsd-3-clause"),
-    ("bsd", "bsd", r"(?:the )?bsd licen[sc]e", r"bsd"),
-    ("cc-by-nc-nd", "cc", r"(?:cc[- ]by-nc-nd|creative commons attribution-noncommercial-noderivatives)(?: [1-4]\.0)?", r"cc-by-nc-nd-[1-4]\.0"),
-    ("cc-by-nc-sa", "cc", r"(?:cc[- ]by-nc-sa|creative commons attribution-noncommercial-sharealike)(?: [1-4]\.0)?", r"cc-by-nc-sa-[1-4]\.0"),
-    ("cc-by-nc", "cc", r"(?:cc[- ]by-nc|creative commons attribution-noncommercial)(?: [1-4]\.0)?", r"cc-by-nc-[1-4]\.0"),
-    ("cc-by-nd", "cc", r"(?:cc[- ]by-nd|creative commons attribution-noderivatives)(?: [1-4]\.0)?", r"cc-by-nd-[1-4]\.0"),
-    ("cc-by-sa", "cc", r"(?:cc[- ]by-sa|creative commons attribution-sharealike)(?: [1-4]\.0)?", r"cc-by-sa-[1-4]\.0"),
-    ("cc-by", "cc", r"(?:cc[- ]by|creative commons attribution)(?: [1-4]\.0)?", r"cc-by-[1-4]\.0"),
-    ("cc0", "cc0|cc zero", r"(?:cc0|cc zero)(?: 1\.0)?(?: universal)?", r"cc0-1\.0"),
-    ("epl", "eclipse", r"(?:the )?eclipse public licen[sc]e(?:,? v(?:ersion )?[12]\.0)?", r"epl-[12]\.0"),
-    ("eupl", "european union", r"(?:the )?european union public licen[sc]e", r"eupl-1\.[12]"),
-    ("isc", "isc", r"(?:the )?isc licen[sc]e", r"isc"),
-    ("zlib", "zlib", r"(?:the )?zlib(?:/libpng)? licen[sc]e", r"zlib"),
-    ("bsl", "boost", r"(?:the )?boost software licen[sc]e", r"bsl-1\.0"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense"),
-    ("wtfpl", "want to public", r"(?:the )?do what the fuck you want to public licen[sc]e", r"wtfpl"),
-    ("artistic", "artistic", r"(?:the )?artistic licen[sc]e(?: [12]\.0)?", r"artistic-[12]\.0"),
-    ("cddl", "common development", r"(?:the )?common development and distribution licen[sc]e", r"cddl-1\.[01]"),
-    ("cpl", "common public", r"(?:the )?common public licen[sc]e", r"cpl-1\.0"),
-    ("gfdl", "free documentation", r"(?:the )?(?:gnu )?free documentation licen[sc]e", r"gfdl-1\.[1-3]"),
-    ("ofl", "open font", r"(?:the )?(?:sil )?open font licen[sc]e", r"ofl-1\.[01]"),
-    ("odbl", "open database", r"(?:the )?open database licen[sc]e", r"odbl-1\.0"),
-    ("postgresql", "postgresql", r"(?:the )?postgresql licen[sc]e", r"postgresql"),
-    ("python", "python", r"(?:the )?python software foundation licen[sc]e", r"psf-2\.0"),
-    ("php", "php", r"(?:the )?php licen[sc]e", r"php-3\.01?"),
-    ("ruby", "ruby", r"(?:the )?ruby licen[sc]e", r"ruby"),
-    ("openssl", "openssl", r"(?:the )?openssl licen[sc]e", r"openssl"),
-    ("vim", "vim", r"(?:the )?vim licen[sc]e", r"vim"),
-    ("ms-pl", "microsoft public", r"(?:the )?microsoft public licen[sc]e", r"ms-pl"),
-    ("llama", "llama", r"(?:the )?llama (?:[23] )?community licen[sc]e", r"llama"),
-    ("openrail", "openrail", r"(?:the )?(?:bigscience |creativeml )?openrail(?:-m)?(?: licen[sc]e)?", r"openrail"),
-]
-# Form name, priority, weight, pattern around {name} or {spdx}.
-FORMS = [
-    ("spdx", 0, 1.0, r"spdx-license-identifier:\s*{spdx}(?![\w.-])"),
-    ("grant", 1, 0.95, r"(?:licen[sc]ed|released|distributed|published|available|provided) under (?:the terms of )?{name}"),
-    ("terms", 1, 0.95, r"(?:under|per) the (?:terms|conditions|provisions) of {name}"),
-    ("subject", 2, 0.9, r"(?:subject to|governed by|covered by|compatible with) {name}"),
-    ("see", 2, 0.85, r"see {name} for (?:more )?details"),
-    ("field", 2, 0.85, r"licen[sc]e:\s*(?:{name}|{spdx})(?![\w.-])"),
-    ("copy", 3, 0.8, r"copy of {name}"),
-]
-# Rules on sentences of the license texts themselves: label, keyword, priority, weight, pattern.
-SENTENCES = [
-    ("mit", "permission is hereby granted", 1, 0.95, r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("isc", "permission to use", 1, 0.95, r"permission to use, copy, modify, and/?(?:or)? distribute this software"),
-    ("bsd", "redistribution and use", 1, 0.95, r"redistribution and use in source and binary forms, with or without modification"),
-    ("apache", "apache.org", 1, 0.95, r"https?://www\.apache\.org/licenses/license-[12]\.[01]"),
-    ("gpl", "gnu.org", 2, 0.9, r"https?://www\.gnu\.org/(?:licenses|copyleft)/gpl"),
-    ("lgpl", "gnu.org", 2, 0.9, r"https?://www\.gnu\.org/(?:licenses|copyleft)/lgpl"),
-    ("cc-by", "creativecommons.org", 2, 0.9, r"https?://creativecommons\.org/licenses/by/"),
-    ("cc-by-sa", "creativecommons.org", 2, 0.9, r"https?://creativecommons\.org/licenses/by-sa/"),
-    ("cc-by-nc", "creativecommons.org", 2, 0.9, r"https?://creativecommons\.org/licenses/by-nc/"),
-    ("cc0", "creativecommons.org", 2, 0.9, r"https?://creativecommons\.org/publicdomain/zero/"),
-    ("unlicense", "public domain", 1, 0.95, r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", "public domain", 4, 0.6, r"(?:in|into|to) the public domain"),
-    ("proprietary", "all rights reserved", 5, 0.5, r"all rights reserved"),
-]
+from textmill.llm.common import held, map_arrow, steps, utf8
+from textmill.llm.signatures import signatures
 
 #: The base phrases of the contract and their labels.
 BASE = [(("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl")]
@@ -93,32 +26,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IN_WORD = (LOWER >= 128) | ((LOWER >= 48) & (LOWER <= 57)) | ((LOWER >= 97) & (LOWER <= 122))
 
-#: Every rule's text holds one of these; they are the first, cheapest gate.
-GATES = ("licens", "licenc", "under ", "per the ", "permission", "redistribution", "public domain", "rights reserved", "apache.org", "gnu.org", "creativecommons.org", "subject to", "governed by", "covered by", "compatible with", "see ", "copy of")
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<label:string,rule:string,start:int,end:int>>"
 
 
-def rules() -> list[tuple[str, str, str, int, float, re.Pattern]]:
-    """(keyword, label, rule name, priority, weight, pattern) in order."""
-    made = []
-    for label, keyword, name, spdx in FAMILIES:
-        for form, priority, weight, pattern in FORMS:
-            key = "spdx-license" if form == "spdx" else "license:|licence:" if form == "field" else keyword if keyword != "cc" else "cc|creative commons"
-            made.append((key, label, f"{label}/{form}", priority, weight, re.compile(r"(?<!\w)" + pattern.format(name=f"(?:{name})", spdx=f"(?:{spdx})") + r"(?!\w)")))
-    made += [(key, label, f"{label}/text", priority, weight, re.compile(pattern)) for label, key, priority, weight, pattern in SENTENCES]
-    return made
-
-
 class Scanner:
     """The rules by keyword; one is built in each Python worker."""
 
     def __init__(self) -> None:
         import ahocorasick
 
-        self.rules = rules()
+        self.rules = signatures()
         by_key: dict[str, list[int]] = {}
         for i, rule in enumerate(self.rules):
-            for key in rule[0].split("|"):
+            for key in rule[0]:
                 by_key.setdefault(key, []).append(i)
         self.automaton = ahocorasick.Automaton()
         for key, own in by_key.items():
@@ -127,15 +47,24 @@ class Scanner:
 
     def detect(self, lowered: str) -> list[tuple[int, int, int]]:
         """(start, end, rule) of what is left after suppression, in order of place."""
-        due = sorted({i for _, own in self.automaton.iter(lowered) for i in own})
-        found = [(m.start(), m.end(), i) for i in due for m in self.rules[i][5].finditer(lowered) if m.end() > m.start()]
-        # By priority, then length, then rule order: a detection inside one already kept is suppressed.
-        found.sort(key=lambda x: (self.rules[x[2]][3], x[0] - x[1], x[2], x[0]))
-        kept: list[tuple[int, int, int]] = []
-        for start, end, i in found:
-            if not any(a <= start and end <= b for a, b, _ in kept):
+        due: set[int] = set()
+        for _, own in self.automaton.iter(lowered):
+            due.update(own)
+        return self.suppressed([(m.start(), m.end(), i) for i in sorted(due) for m in self.rules[i][5].finditer(lowered) if m.end() > m.start()])
+
+    def suppressed(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Without those that lie inside another one of their own or a higher priority; of equal ones the first rule stays.
+
+        One sweep by start: what may hold a detection starts no later, so the furthest end of each
+        priority so far decides.
+        """
+        priority = lambda i: self.rules[i][3]
+        furthest, kept = [-1] * 6, []
+        for start, end, i in sorted(found, key=lambda x: (x[0], -x[1], priority(x[2]), x[2])):
+            if max(furthest[: priority(i) + 1]) < end:
                 kept.append((start, end, i))
-        return sorted(kept)
+            furthest[priority(i)] = max(furthest[priority(i)], end)
+        return kept
 
 
 def base_places(lowered: str) -> list[tuple[int, str]]:
@@ -144,23 +73,6 @@ def base_places(lowered: str) -> list[tuple[int, str]]:
     return [(i, label) for i, word in enumerate(words) for phrase, label in BASE if word == phrase[0] and tuple(words[i : i + len(phrase)]) == phrase]
 
 
-def _gated(lowered: bytes, offsets: np.ndarray) -> np.ndarray:
-    """The rows whose text holds a gate. A hit over the border of two rows gates both, which costs only time."""
-    hits = []
-    for gate in GATES:
-        key, at, end = gate.encode(), lowered.find(gate.encode()), len(lowered)
-        while at >= 0:
-            row = int(np.searchsorted(offsets, at, "right")) - 1
-            hits.append(row)
-            last = int(np.searchsorted(offsets, at + len(key) - 1, "right")) - 1
-            if last != row:
-                hits.append(last)
-            at = lowered.find(key, max(int(offsets[row + 1]), at + 1)) if row + 1 < len(offsets) else end
-            if at >= end:
-                break
-    return np.unique(np.array(hits, np.int64))
-
-
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = held(("licenses",), Scanner)
     kind = pa.list_(pa.struct([("label", pa.string()), ("rule", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -176,7 +88,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lowered = LOWER[raw].tobytes()
         base: dict[int, list] = {}
         found: dict[int, list] = {}
-        for row in _gated(lowered, offsets):
+        for row in range(n):
             text = lowered[offsets[row] : offsets[row + 1]].decode("utf-8", "replace")
             if "license" in text and (places := base_places(text)):
                 base[row] = places
@@ -206,6 +118,6 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     One row out for each row in, repeated rows included; other columns are left out, so their
     names can't clash. A null or empty text has no word, no label and score 0; a null id stays
     null. An empty table gives an empty result. Ties between rules at one place go to the
-    earlier rule. No shuffle; a worker holds a few MB of text at a time.
+    earlier rule. No shuffle; batches are bounded, a longer text is held whole.
     """
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan, SCHEMA)
+    return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), _scan, SCHEMA)
