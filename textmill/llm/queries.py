@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from textmill.llm import audio, common, html, language, licenses, neardup, oracles, packing, pieces, pii, quality, warc
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Stands for the secret that a production run takes from its own key store.
-SURROGATE_KEY = b"textmill surrogate key"
+#: The session's setting that has the secret key of surrogates, and what stands for it where none is set, as in tests.
+SURROGATE_SETTING, TEST_KEY = "spark.textmill.surrogate.key", "textmill surrogate key"
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(SURROGATE_SETTING, TEST_KEY).encode()
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -27,7 +31,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +64,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    read = warc.read_warc(spark, path)
-    # A revisit has its payload's size and digest in its header; a response's are taken from what was read back.
-    return read.select("page_id", F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"), F.coalesce(F.sha2("payload", 256), "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+    # A response's size and digest are taken from the payload that was read back; of revisits only the headers are read.
+    responses = warc.read_warc(spark, path, "page_id long, record_type string, refers_to long, payload binary").where("record_type = 'response'")
+    responses = responses.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+    revisits = warc.read_warc(spark, path, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string").where("record_type = 'revisit'")
+    return responses.unionByName(revisits.select(*responses.columns))
 
 
 QUERIES = {

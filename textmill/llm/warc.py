@@ -1,8 +1,9 @@
 """WARC archives as a PySpark Python data source, and a writer that deduplicates payloads.
 
-Records are gzip members of their own. Each member's extra field holds its compressed and full
-length (subfield "sl"), so that a reader which has parsed the headers, and finds the record
-unwanted, seeks to the next member without inflating the payload.
+The reader takes plain and gzip-compressed archives of any writer. It parses headers first, and of
+records that the pushed predicates rule out it doesn't decode the payload: in a plain file it
+seeks past the block, in a compressed one it inflates without keeping anything, or not at all
+where this module wrote it: its members hold their length in the extra field (subfield "sl").
 """
 
 from __future__ import annotations
@@ -16,88 +17,234 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from textmill.llm.common import shared_path
+from textmill.llm.common import discard, few, materialize, ship
 
-SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+SCHEMA = "page_id long, url string, record_id string, record_type string, refers_to long, refers_to_id string, payload_bytes long, payload_digest string, payload binary"
 #: Payloads shorter than this are never revisits.
 LEAST_BYTES = 100
 #: A file is closed once it holds this much; a read partition takes files up to this much.
 FILE_BYTES = 64 << 20
-#: Duplicate payloads known by at most so many rows are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes of an archive that are read at once.
+CHUNK = 64 << 10
 HEAD = struct.Struct("<2sBBIBB H2sHII")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INTEGERS = {"page_id", "refers_to", "payload_bytes"}
 
 
-def record(page_id: int | None, url: str | None, refers_to: int | None, size: int, digest: str, payload: bytes | None) -> bytes:
+def record_id(page_id: int | None, digest: str, own: str = "") -> str:
+    """The id of a page's record: the same whenever it is written again. Pages without an id tell their records by own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{own}')}>"
+
+
+def record(page_id: int | None, url: str | None, refers_to: int | None, size: int, digest: str, payload: bytes | None, own: str = "") -> bytes:
     """One gzip member with one WARC record; payload None makes a revisit."""
     block = HTTP % size + (payload or b"")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if payload is not None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if payload is not None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest, own if page_id is None or payload is None else '')}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=-._~')}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if payload is None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}", f"WARC-Profile: {PROFILE}"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     whole = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     squeeze = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = squeeze.compress(whole) + squeeze.flush()
-    return HEAD.pack(b"\x1f\x8b", 8, 4, 0, 0, 255, 12, b"sl", 8, HEAD.size + len(body) + 8, len(whole) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(whole), len(whole) & 0xFFFFFFFF)
-
-
-def header_fields(head: bytes) -> dict:
-    """The data source's columns, but for the payload, from a record's header lines."""
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])
-    number = lambda text: int(text) if text is not None else None
-    refers = fields.get("WARC-Refers-To")
+    tail = struct.pack("<II", zlib.crc32(whole), len(whole) & 0xFFFFFFFF)
+    length = HEAD.size + len(body) + 8
+    if length > 0xFFFFFFFF:  # too long for the subfield: an ordinary member
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + tail
+    return HEAD.pack(b"\x1f\x8b", 8, 4, 0, 0, 255, 12, b"sl", 8, length, len(whole) & 0xFFFFFFFF) + body + tail
+
+
+def named_fields(head: bytes) -> dict[str, str]:
+    """A record's header lines by their lower-cased names; folded lines are joined, of a repeated name the first counts."""
+    lines: list[str] = []
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + line.strip()
+        elif line:
+            lines.append(line)
+    fields: dict[str, str] = {}
+    for line in lines:
+        name, _, value = line.partition(":")
+        fields.setdefault(name.strip().lower(), value.strip())
+    return fields
+
+
+def header_fields(fields: dict[str, str]) -> dict:
+    """The data source's columns, but for the payload. page_id, refers_to and payload_bytes are known of this module's records only."""
+    number = lambda text: int(text) if text is not None and text.lstrip("-").isdigit() else None
+    uri = fields.get("warc-target-uri")
     return {
-        "page_id": number(fields.get("X-Page-ID")),
-        "url": unquote(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None,
-        "record_type": fields.get("WARC-Type"),
-        "refers_to": int(refers[len("<urn:page:") : -1]) if refers else None,
-        "payload_bytes": number(fields.get("X-Payload-Length")),
-        "payload_digest": fields.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None,
+        "page_id": number(fields.get("x-page-id")),
+        "url": unquote(uri.strip("<>")) if uri is not None else None,
+        "record_id": fields.get("warc-record-id"),
+        "record_type": fields.get("warc-type"),
+        "refers_to": number(fields.get("x-refers-to-page-id")),
+        "refers_to_id": fields.get("warc-refers-to"),
+        "payload_bytes": number(fields.get("x-payload-length")),
+        "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha256:") or None,
     }
 
 
-def read_records(source, wants, decode: bool) -> Iterator[dict]:
-    """Records of an open archive whose headers satisfy wants; payloads of others are not inflated."""
-    at, end = 0, source.size()
-    while at < end:
-        source.seek(at)
-        fixed = HEAD.unpack(source.read(HEAD.size))
-        if fixed[0] != b"\x1f\x8b" or fixed[7] != b"sl":
-            raise ValueError(f"no record with a skip length at byte {at}")
-        length, body_length = fixed[9], fixed[9] - HEAD.size - 8
-        inflate = zlib.decompressobj(-15)
-        packed = source.read(min(2048, body_length))
-        taken = len(packed)
-        head = inflate.decompress(packed, 4096)
-        while b"\r\n\r\n" not in head and not inflate.eof:
-            more = inflate.unconsumed_tail
+def payload_of(fields: dict[str, str], block: bytes) -> bytes:
+    """The block without the HTTP header, if it has one."""
+    if "application/http" in fields.get("content-type", ""):
+        for gap in (b"\r\n\r\n", b"\n\n"):
+            if (at := block.find(gap)) >= 0:
+                return block[at + len(gap) :]
+        return b""
+    return block
+
+
+class Plain:
+    """A buffered view of an open file: read, and skip by seeking."""
+
+    def __init__(self, source) -> None:
+        self.source, self.held, self.at = source, b"", 0
+
+    def more(self) -> bytes:
+        return self.source.read(CHUNK)
+
+    def until(self, *ends: bytes) -> bytes:
+        """The bytes through the earliest of the ends, or all that is left."""
+        start = 0
+        while True:
+            found = [(i, e) for e in ends if (i := self.held.find(e, start)) >= 0]
+            if found:
+                i, e = min(found)
+                return self.take(i + len(e))
+            start = max(0, len(self.held) - 4)
+            more = self.more()
             if not more:
-                more = source.read(min(2048, body_length - taken))
-                taken += len(more)
-            head += inflate.decompress(more, 4096)
-        cut = head.index(b"\r\n\r\n")
-        row = header_fields(head[:cut])
-        if wants(row):
-            if decode and row["record_type"] == "response":
-                rest = inflate.unconsumed_tail + source.read(body_length - taken)
-                whole = head + inflate.decompress(rest) + inflate.flush()
-                if struct.unpack("<II", source.read(8)) != (zlib.crc32(whole), len(whole) & 0xFFFFFFFF):
-                    raise ValueError(f"the record at byte {at} is damaged")
-                start = whole.index(b"\r\n\r\n", cut + 4) + 4
-                row["payload"] = whole[start:-4]
+                return self.take(len(self.held))
+            self.held += more
+
+    def take(self, n: int) -> bytes:
+        parts, have = [self.held[:n]], min(n, len(self.held))
+        self.held = self.held[n:]
+        while have < n and (more := self.more()):
+            parts.append(more[: n - have])
+            self.held = more[n - have :]
+            have += len(parts[-1])
+        return b"".join(parts)
+
+    def skip(self, n: int) -> None:
+        if n > len(self.held):
+            self.source.seek(self.source.tell() + n - len(self.held))
+            self.held = b""
+        else:
+            self.held = self.held[n:]
+
+
+class Inflated(Plain):
+    """The same of a file of gzip members, or of the one of a known length; what is skipped is inflated, but not kept."""
+
+    def __init__(self, source, length: int | None = None) -> None:
+        super().__init__(source)
+        self.inflate, self.packed, self.left = zlib.decompressobj(31), b"", length
+        self.chunk = CHUNK if length is None else 2048  # a header's worth at first
+
+    def packed_more(self) -> bytes:
+        got = self.source.read(self.chunk if self.left is None else min(self.chunk, self.left))
+        self.chunk = CHUNK
+        if self.left is not None:
+            self.left -= len(got)
+        return got
+
+    def more(self) -> bytes:
+        while True:
+            if self.inflate.eof:  # the next member begins where this one ended
+                self.packed, self.inflate = self.inflate.unused_data or self.packed, zlib.decompressobj(31)
+            if not self.packed:
+                self.packed = self.packed_more()
+                if not self.packed:
+                    return b""
+            out = self.inflate.decompress(self.packed, CHUNK)
+            self.packed = self.inflate.unconsumed_tail
+            if out:
+                return out
+
+    def skip(self, n: int) -> None:
+        while n > 0:
+            gone = min(n, len(self.held)) if self.held else 0
+            if gone:
+                self.held, n = self.held[gone:], n - gone
+            elif not (more := self.more()):
+                return
+            else:
+                self.held = more
+
+
+def member_length(head: bytes) -> int:
+    """The length that this module's members hold in their extra field; 0 of others."""
+    if len(head) < HEAD.size:
+        return 0
+    fixed = HEAD.unpack(head[: HEAD.size])
+    return fixed[9] if fixed[0] == b"\x1f\x8b" and fixed[2] & 4 and fixed[7] == b"sl" and fixed[8] == 8 else 0
+
+
+def one_record(stream: Plain, wants, decode: bool, alone: bool = False) -> dict | bool:
+    """The next record's row, True if it isn't wanted, False at the end; leaves the stream behind the record, unless it is alone in it."""
+    line = stream.until(b"\n")
+    while line and not line.strip():
+        line = stream.until(b"\n")
+    if not line:
+        return False
+    if not line.startswith(b"WARC/"):
+        raise ValueError(f"no WARC record begins with {line[:20]!r}")
+    fields = named_fields(line + stream.until(b"\r\n\r\n", b"\n\n"))
+    row, length = header_fields(fields), int(fields.get("content-length", 0))
+    if not wants(row):
+        if not alone:
+            stream.skip(length)
+        return True
+    if decode and row["record_type"] != "revisit":
+        block = stream.take(length)
+        if len(block) < length:
+            raise ValueError(f"the record {row['record_id']} is cut off")
+        row["payload"] = payload_of(fields, block)
+        if alone:
+            stream.skip(5)  # through the member's end, where zlib tests its checksum
+    elif not alone:
+        stream.skip(length)
+    return row
+
+
+def read_records(source, wants, decode: bool) -> Iterator[dict]:
+    """Records of an open archive, plain or of gzip members, whose headers satisfy wants."""
+    source.seek(0)
+    head = source.read(HEAD.size)
+    source.seek(0)
+    if not head.startswith(b"\x1f\x8b"):
+        stream = Plain(source)
+    elif not member_length(head):
+        stream = Inflated(source)
+    else:
+        at, end = 0, source.size()
+        while at < end:
+            source.seek(at)
+            length = member_length(source.read(HEAD.size))
+            source.seek(at)
+            if not length:
+                break
+            row = one_record(Inflated(source, length), wants, decode, True)
+            if isinstance(row, dict):
+                yield row
+            at += length
+        if at >= end:
+            return
+        stream = Inflated(source)
+    while row := one_record(stream, wants, decode):
+        if isinstance(row, dict):
             yield row
-        at += length
 
 
 @dataclass
@@ -125,8 +272,9 @@ class WarcReader(DataSourceReader):
                 yield test
 
     def partitions(self):
+        """Files are grouped by size and not split: a gzip stream can't be entered in its midst. The writer ends a file at FILE_BYTES."""
         fs, root = pafs.FileSystem.from_uri(self.path)
-        files = sorted((f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".warc.gz"))
+        files = sorted((f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith((".warc", ".warc.gz")))
         groups: list[Files] = []
         room = 0
         for path, size in files:
@@ -163,23 +311,25 @@ class WarcReader(DataSourceReader):
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options) -> None:
-        self.path = options["path"]
+        self.path, self.job = options["path"], uuid.uuid4().hex
 
     def write(self, iterator) -> Written:
         """Each task writes under names of its own; only commit() makes them part of the archive."""
         fs, root = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(root, recursive=True)
         paths: list[str] = []
-        out, size = None, 0
+        out, size, nth = None, 0, 0
+        part = TaskContext.get().partitionId()
         for batch in iterator:
             columns = [batch.column(name) for name in ("page_id", "url", "refers_to", "payload_bytes", "payload_digest", "payload")]
             for i in range(batch.num_rows):
                 if out is None or size >= FILE_BYTES:
                     if out is not None:
                         out.close()
-                    paths.append(f"{root}/{uuid.uuid4().hex}.warc.gz")
+                    paths.append(f"{root}/{self.job}-{uuid.uuid4().hex}.warc.gz")
                     out, size = fs.open_output_stream(f"{paths[-1]}.part"), 0
-                made = record(*(column[i].as_py() for column in columns))
+                made = record(*(column[i].as_py() for column in columns), f"{part}:{nth}")
+                nth += 1
                 out.write(made)
                 size += len(made)
         if out is not None:
@@ -187,14 +337,19 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(paths)
 
     def commit(self, messages) -> None:
-        fs, _ = pafs.FileSystem.from_uri(self.path)
+        fs, root = pafs.FileSystem.from_uri(self.path)
         for path in (p for m in messages if m is not None for p in m.paths):
             fs.move(f"{path}.part", path)
+        self.clear(fs, root)
 
     def abort(self, messages) -> None:
-        fs, _ = pafs.FileSystem.from_uri(self.path)
-        for path in (p for m in messages if m is not None for p in m.paths):
-            fs.delete_file(f"{path}.part")
+        self.clear(*pafs.FileSystem.from_uri(self.path))
+
+    def clear(self, fs, root: str) -> None:
+        """Removes what tasks of this job left behind, killed ones included."""
+        for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if f.base_name.startswith(self.job) and f.base_name.endswith(".part"):
+                fs.delete_file(f.path)
 
 
 class WarcDataSource(DataSource):
@@ -215,11 +370,14 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes format("warc") known to the session; lets Spark push filters to Python sources unless the session says otherwise."""
+    ship(spark)
+    if "spark.sql.python.filterPushdown.enabled" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> None:
+def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
     """Archives pages (page_id, url, html): a payload of least_bytes or more is stored once.
 
     The row with the smallest page_id of equal payloads is the response, the others revisit it;
@@ -227,23 +385,26 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, broa
     html is an empty payload; null urls and ids leave their header out. Other columns are
     ignored. An empty table writes no file. Only digests are grouped, with partial sums, so a
     payload that a third of the rows share is no hot key; html is shuffled only if the
-    duplicated digests are too many to broadcast, and then by a join that AQE can split.
+    duplicated digests are too large to broadcast, and then by a join that AQE can split.
     """
-    spark = pages.sparkSession
-    register(spark)
+    register(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     firsts = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("payload_digest", "first")
-    path_firsts = shared_path(spark, "warc-firsts")
-    firsts.write.parquet(path_firsts)
-    firsts = spark.read.schema("payload_digest string, first long").parquet(path_firsts)
-    if firsts.count() <= broadcast_rows:
-        firsts = F.broadcast(firsts)
+    firsts = materialize(firsts, "warc-firsts")
     copy = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    out = rows.join(firsts, "payload_digest", "left").select("page_id", "url", F.when(copy, F.col("first")).alias("refers_to"), "payload_bytes", "payload_digest", F.when(~copy, F.col("payload")).alias("payload"))
+    out = rows.join(few(firsts), "payload_digest", "left").select("page_id", "url", F.when(copy, F.col("first")).alias("refers_to"), "payload_bytes", "payload_digest", F.when(~copy, F.col("payload")).alias("payload"))
     out.write.format("warc").mode("append").save(path)
+    discard(firsts)
 
 
 def read_warc(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFrame:
+    """The records of the archives (.warc, .warc.gz) in a folder and those below it; a URI that pyarrow can open.
+
+    One row for each record, whatever its type. payload is null for revisits, and not decoded
+    at all if `columns` leaves it out. Records of other writers have null page_id, refers_to and
+    payload_bytes. A missing header gives a null, a folder without archives no row; a damaged or
+    cut record stops the read. Equal records give equal rows.
+    """
     register(spark)
     return spark.read.format("warc").schema(columns).load(path)
