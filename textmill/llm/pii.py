@@ -1,33 +1,38 @@
 """Surrogates for personal data: keyed, of the same type, gender, script and format.
 
-Digits and letters are permuted by a keyed Feistel cipher within the alphabet they are from, so
-that on texts of one format the replacement is a bijection: different originals have different
-surrogates, equal ones equal surrogates, in whatever document and order they come. Names are the
-exception, as they are drawn from lists or made of syllables: the distinct entities of the whole
-input are checked for collisions, and a key epoch under which two of them collide is given up
-for the next one.
+A surrogate depends on the key and on the entity alone, not on the document, its order or the way
+the entity is written: digits and letters are permuted by a keyed Feistel cipher within the
+alphabet they are from, a bijection of the texts of one format; a word of a name is permuted as a
+number among all words and spelled in syllables, or exchanged for another given name of its list.
+So different originals have different surrogates by construction, and equal ones equal surrogates.
+The entities of the whole input are checked for that all the same, and those that collide or
+stand for themselves are drawn again, by rank, until none does.
 
 A person is told by a title, by a given name of the lists with a family name, or by one alone behind
-a greeting; each word of the name is then replaced wherever the same text has it. Not told: a
-person whom a text never names so (a given name alone may be any word), and inflected forms
-(Webers).
+a greeting; each word of the name is then replaced wherever the same text has it. Gender goes by the
+name, so that a title doesn't change the surrogate. Not told: a person whom a text never names so
+(a given name alone may be any word), and inflected forms (Webers).
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
+from datetime import date, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import held, steps
+from textmill.llm.common import held, map_arrow, steps
 
-#: Key epochs that are tried.
-EPOCHS = 8
+#: Entities that may have to be drawn again; their surrogates are sent along with the tasks. By
+#: construction hardly any collide, so more of them are a fault.
+MOST_REPAIRS = 100_000
+OUTPUT = ("text", "n_entities", "types")
 
 # Given names by gender and script; a known name is replaced by another of its list.
 GIVEN = {
@@ -48,12 +53,16 @@ SYLLABLES = {
     "greek": "βα βε βι γα γε δα δε δι ζα θα θε κα κε κι λα λε λι μα με μι να νε νι πα πε πι ρα ρε ρι σα σε σι τα τε τι φα φε χα χε".split(),
 }
 ALPHABET_OF = {c: k for k, alphabet in enumerate(ALPHABETS) for c in alphabet}
+#: The letters of a name by script, and the endings of made names by what the name's own ending tells.
+LETTERS = {"latin": ALPHABETS[1] + ALPHABETS[3] + "œšžčćěřňťďľőűąęłńśźżğışā", "cyrillic": ALPHABETS[5], "greek": ALPHABETS[7]}
+FEMALE, ENDINGS = {"latin": "aáà", "cyrillic": "ая", "greek": "αάηή"}, {"latin": ("nn", "nna"), "cyrillic": ("нн", "нна"), "greek": ("ννος", "ννα")}
+#: Country calling codes of one and two digits; all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 _UPPER = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ]"
 _LOWER = r"[a-zß-öø-ÿа-яёα-ωάέήίόύώς]"
 _NAME = rf"{_UPPER}{_LOWER}+(?:-{_UPPER}{_LOWER}+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_KEYS = r"AKIA|gh[pousr]_|sk-|xox[abprs]-|AIza"
 #: Gender of each given name of the lists.
 GENDER = {name: sex for (sex, _), names in GIVEN.items() for name in names}
 #: What a given name alone stands behind: words that are spelled like one are no person.
@@ -75,8 +84,11 @@ ENTITY = re.compile(
             r"(?P<key>(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z_-]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{30,})(?!\w))",
             r"(?P<hex>(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w))",
             r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?(?!\w))",
+            r"(?P<birth>(?:(?<!\w)(?=[BbDdGgNnFf])(?i:born(?: on)?|date of birth|d\.?o\.?b\.?|geboren(?: am)?|geb\.|née?(?: le)?|nacid[oa](?: el)?|fecha de nacimiento|date de naissance)[:,]? )(?:\d{4}-\d\d?-\d\d?|\d\d?[./-]\d\d?[./-]\d{4})(?!\w))",
+            r"(?P<passport>(?<!\w)(?=[PpRr])(?i:passport|reisepass|passeport|pasaporte)(?: (?i:no\.?|number|nr\.?|nummer|n°|nº|núm\.?))?:? [A-Z0-9]{1,3}\d{5,8}(?!\w))",
+            r"(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){1,6}[0-9A-Fa-f]{1,4})(?![\w:]|\.\d))",
             rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d))",
-            r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])|(?<![\w.-])\d{3}-\d{4}(?![\w-]))",
+            r"(?P<phone>(?=[+(\d])(?:(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?\(0\)[ .-]?\d{2,5}(?:[ .-]?\d{2,8}){1,3}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])|(?<![\w.-])\d{3}-\d{4}(?![\w-])|(?<![\w.+-])00[1-9]\d{0,2}(?:[ -]\d{2,8}){2,5}(?!\w)|(?<![\w.+-])\(?0[1-9]\d{1,4}\)?[ /-]\d{4,8}(?:[ -]\d{2,4})?(?![\w-])))",
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
             r"(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))",
             rf"(?P<name>(?<!\w)(?P<title>{_TITLE})\b\.? (?P<person>{_NAME}(?: {_NAME}){{0,2}}))",
@@ -85,7 +97,7 @@ ENTITY = re.compile(
     )
 )
 #: Whatever ENTITY finds holds one of these.
-HINT = re.compile(rf"[@\d]|(?<!\w)(?:(?:{_TITLE})\b|(?:{_LISTED})(?!\w)|{_KEYS}|[a-f]{{32}}|[A-F]{{32}})")
+HINT = re.compile(rf"[@\d]|(?<!\w)(?:(?={_UPPER}|гос|κύρ)(?:(?:{_TITLE})\b|(?:{_LISTED})(?!\w)|AKIA|AIza|[A-F]{{32}})|gh[pousr]_|sk-|xox[abprs]-|[a-f]{{32}})")
 
 
 def luhn(digits: str) -> int:
@@ -99,11 +111,12 @@ def script(word: str) -> str:
 
 
 class Keyed:
-    """The replacement functions under one key and epoch."""
+    """The replacement functions under one key. repairs: the draw of entities whose first one collides."""
 
-    def __init__(self, key: bytes, epoch: int = 0) -> None:
-        self.key = hashlib.blake2b(epoch.to_bytes(4, "big"), key=key[:64], digest_size=32).digest()
-        self.known: dict[tuple[str, str, str], str] = {}
+    def __init__(self, key: bytes, repairs: dict[tuple[str, str], int] | None = None) -> None:
+        self.key = hashlib.blake2b(b"textmill", key=key[:64], digest_size=32).digest()
+        self.repairs = repairs or {}
+        self.known: dict[tuple[str, str], str] = {}
 
     def number(self, *of: object) -> int:
         return int.from_bytes(hashlib.blake2b(repr(of).encode(), key=self.key, digest_size=16).digest(), "big")
@@ -149,68 +162,133 @@ class Keyed:
             out[i] = str(v)
         return "".join(out)
 
-    def word(self, word: str, gender: str, kind: str) -> str:
-        """A name for a name: of its list if it is known, else made of syllables."""
-        own = script(word)
-        for sex in (gender,) if gender else ("f", "m"):
-            names = GIVEN[sex, own]
-            if kind == "given" and word in names:
-                order = sorted(names, key=lambda x: self.number("given", sex, own, x))
-                return order[(order.index(word) + 1) % len(names)]
-        syllables, x = SYLLABLES[own], self.number(kind, gender if kind == "given" else "", word)
+    def word(self, word: str, epoch: int = 0) -> str:
+        """A name for a word of a name, whatever the case it is written in: of its list if it is one, else made of syllables."""
+        own, folded = script(word), word.lower()
+        listed = GENDER.get(folded.capitalize())
+        if listed and not epoch:
+            names = GIVEN[listed, own]
+            order = sorted(names, key=lambda x: self.number("given", own, x))
+            return order[(order.index(folded.capitalize()) + 1) % len(names)]
+        letters, syllables = LETTERS[own], SYLLABLES[own]
+        known = [letters.index(c) for c in folded if c in letters]
+        moved = self.permute(known, len(letters), ("name", own, epoch)) if known else []
+        # As a number among all words: those of fewer letters come first.
+        n = functools.reduce(lambda x, v: x * len(letters) + v + 1, moved, 0)
         made = []
-        for _ in range(7):
-            x, i = divmod(x, len(syllables))
+        while n:
+            n, i = divmod(n - 1, len(syllables))
             made.append(syllables[i])
-        end = {"latin": {"f": "na", "m": "n"}, "cyrillic": {"f": "на", "m": "н"}, "greek": {"f": "να", "m": "νος"}}[own].get(gender, "") if kind == "given" else ""
-        return ("".join(made) + end).capitalize()
+        rest = "".join(c for c in folded if c not in letters)  # letters of no alphabet here stay
+        return ("".join(made[::-1]) + rest + ENDINGS[own][folded[-1] in FEMALE[own]]).capitalize()
 
-    def person(self, text: str, gender: str) -> str:
-        words = re.split(r"([ -])", text)
-        last = len(words) - 1 if len(words) > 1 else 0
-        return "".join(w if w in " -" else self.word(w, gender, "family" if i == last else "given") for i, w in enumerate(words))
+    def person(self, text: str) -> str:
+        return "".join(w if w in " -" else self.surrogate("name", w.lower()) for w in re.split(r"([ -])", text))
 
-    def surrogate(self, kind: str, text: str, gender: str = "") -> str:
-        found = self.known.get((kind, text, gender))
+    def surrogate(self, kind: str, text: str, epoch: int | None = None) -> str:
+        """Of a canonical original; epoch 0 unless the entity was to be drawn again."""
+        found = self.known.get((kind, text)) if epoch is None else None
         if found is None:
             if len(self.known) > 50_000:
                 self.known.clear()
-            found = self.known[kind, text, gender] = self._surrogate(kind, text, gender)
+            found = self._surrogate(kind, text, self.repairs.get((kind, text), 0) if epoch is None else epoch)
+            if epoch is None:
+                self.known[kind, text] = found
         return found
 
-    def _surrogate(self, kind: str, text: str, gender: str) -> str:
+    def _surrogate(self, kind: str, text: str, epoch: int) -> str:
+        if kind == "name":
+            return self.word(text, epoch)
         if kind == "email":
             local, _, domain = text.rpartition("@")
             host, _, top = domain.rpartition(".")
-            # Case doesn't tell addresses apart: the lower-case form is replaced.
-            return f"{self.formatted(local.lower(), 'local')}@{self.formatted(host.lower(), 'host')}.{top}"
+            return f"{self.formatted(local, ('local', epoch))}@{self.formatted(host, 'host')}.{top}"
         if kind == "ip":
-            return ".".join(map(str, self.permute([int(x) for x in text.split(".")], 256, "ip")))
+            return ".".join(map(str, self.permute([int(x) for x in text.split(".")], 256, ("ip", epoch))))
+        if kind == "ip6":  # the first group stays: it tells what kind of address it is
+            return text[:4] + "".join("0123456789abcdef"[v] for v in self.permute([int(c, 16) for c in text[4:]], 16, ("ip6", epoch)))
         if kind == "hex":
             alphabet = "0123456789ABCDEF" if text.upper() == text else "0123456789abcdef"
-            return "".join(alphabet[v] for v in self.permute([int(c, 16) for c in text], 16, "hex"))
+            return "".join(alphabet[v] for v in self.permute([int(c, 16) for c in text], 16, ("hex", epoch)))
         if kind == "card":
-            own = [c for c in text if c.isdigit()]
-            off = (int(own[-1]) - luhn("".join(own[:-1]))) % 10
-            out = self.digits(text, 1, len(own) - 1, "card")
-            return out[:-1] + str((luhn("".join(c for c in out if c.isdigit())[:-1]) + off) % 10)
-        if kind == "phone":
-            country = re.match(r"\+(1|7|\d{1,3})(?=[ .(-])|\+([17]|\d\d)", text)
-            keep = len(country[1] or country[2]) if country else 0
-            # The national number alone decides, so that it is replaced alike with and without the country's.
-            at = [i for i, c in enumerate(text) if c.isdigit()][keep:]
-            out = list(text)
-            for i, v in zip(at, self.permute([int(text[i]) for i in at], 10, "phone"), strict=True):
-                out[i] = str(v)
-            return "".join(out)
-        if kind == "name":
-            return self.person(text, gender)
+            own = text
+            off = (int(own[-1]) - luhn(own[:-1])) % 10
+            out = self.digits(text, 1, len(own) - 1, ("card", epoch))
+            return out[:-1] + str((luhn(out[:-1]) + off) % 10)
+        if kind == "phone":  # the area's first two digits stay
+            return self.digits(text, 2, len(text), ("phone", epoch)) if len(text) > 5 else self.digits(text, 0, len(text), ("phone", epoch))
+        if kind == "birth":  # another day of the same ten years
+            day = date.fromisoformat(text).toordinal()
+            first, x = day // 3652 * 3652, day % 3652
+            while True:  # walks the cycle of a permutation of 4096 until it is back among the days
+                a, b = self.permute([x // 64, x % 64], 64, ("birth", first, epoch))
+                x = 64 * a + b
+                if x < 3652:
+                    return date.fromordinal(first + x).isoformat()
         if kind == "key":
             prefix = re.match(r"AKIA|gh\w_|sk-|xox\w-|AIza", text)[0]
-            return prefix + self.formatted(text[len(prefix) :], "key")
+            return prefix + self.formatted(text[len(prefix) :], ("key", epoch))
         if kind == "iban":
-            return text[:2] + self.formatted(text[2:], "iban")
-        return self.formatted(text, kind)
+            return text[:2] + self.formatted(text[2:], ("iban", epoch))
+        return self.formatted(text, (kind, epoch))
+
+    def written(self, kind: str, text: str) -> tuple[str, str, str] | None:
+        """(the mention with its surrogate, canonical original, canonical surrogate) of a mention other than a name."""
+        if kind in ("birth", "passport"):
+            at = re.search(r"\S+$", text).start()
+            head, own = text[:at], text[at:]
+            if kind == "passport":
+                new = self.surrogate(kind, own)
+                return head + new, own, new
+            parts = [int(x) for x in re.split(r"\D", own)]
+            year_first = parts[0] > 31
+            month_first = not year_first and "/" in own and parts[1] > 12  # else the day comes first, as most write it
+            y, m, d = parts if year_first else (parts[2], parts[0], parts[1]) if month_first else (parts[2], parts[1], parts[0])
+            try:
+                plain = date(y, m, d).isoformat()
+            except ValueError:
+                return None
+            new = self.surrogate(kind, plain)
+            ny, nm, nd = new.split("-")
+            order = [ny, nm, nd] if year_first else [nm, nd, ny] if month_first else [nd, nm, ny]
+            for a, b in zip(re.findall(r"\d+", own), order, strict=True):
+                head += str(int(b)) if len(a) < 2 else b
+                head += re.search(r"\D", own)[0]
+            return head[:-1], plain, new
+        if kind == "ip6":
+            try:
+                plain = ipaddress.IPv6Address(text).exploded.replace(":", "")
+            except ValueError:
+                return None
+            new = self.surrogate(kind, plain)
+            shown = str(ipaddress.IPv6Address(int(new, 16)))
+            return shown.upper() if text.upper() == text != text.lower() else shown, plain, new
+        if kind == "phone":
+            digits = [i for i, c in enumerate(text) if c.isdigit()]
+            plain, keep = "".join(text[i] for i in digits), 0
+            if text.startswith("+") or plain.startswith("00"):
+                keep = 2 * (not text.startswith("+"))
+                spelled = re.match(r"(?:\+|00)(\d{1,3})(?=[ .(-])", text)
+                keep += len(spelled[1]) if spelled else next((n for n in (1, 2) if plain[keep : keep + n] in SHORT_CODES), 3)
+            if plain[keep : keep + 1] == "0":
+                keep += 1  # the trunk prefix of national numbers
+            # The national number alone decides, so that it is replaced alike with and without the country's.
+            own = plain[keep:]
+            if not own:
+                return None
+            new, out = self.surrogate(kind, own), list(text)
+            for i, c in zip(digits[keep:], new, strict=True):
+                out[i] = c
+            return "".join(out), own, new
+        if kind in ("card", "iban", "ssn"):
+            marks = r"[ -]"
+            plain = re.sub(marks, "", text)
+            new = self.surrogate(kind, plain)
+            chars = iter(new)
+            return "".join(c if re.match(marks, c) else next(chars) for c in text), plain, new
+        own = text.lower() if kind == "email" else text  # case doesn't tell addresses apart
+        new = self.surrogate(kind, own)
+        return new, own, new
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, str, str]]]:
         """The text with surrogates, and (type, canonical original, canonical surrogate) of each mention."""
@@ -218,49 +296,37 @@ class Keyed:
             return text, []
         matches = list(ENTITY.finditer(text))
         found: list[tuple[str, str, str]] = []
-        named: dict[str, tuple[str, str]] = {}  # (type, surrogate) of each word of a person named in the text
+        named: dict[str, str] = {}  # the surrogate of each word of a person named in the text
         made: dict[int, str] = {}
 
-        def person(m: re.Match, own: str, new: str, types: list[str]) -> None:
+        def person(m: re.Match, own: str) -> None:
             # Each word is an entity of its own: Mr Paul Weber and Herr Weber share a surname.
-            for kind, a, b in zip(types, re.split(r"[ -]", own), re.split(r"[ -]", new), strict=True):
-                found.append((kind, a, b))
+            new = self.person(own)
+            for a, b in zip(re.split(r"[ -]", own), re.split(r"[ -]", new), strict=True):
+                found.append(("name", a.lower(), b))
                 if a not in COMMON:
-                    named.setdefault(a, (kind, b))
+                    named.setdefault(a, b)
             made[m.start()] = m[0][: len(m[0]) - len(own)] + new
 
         for m in matches:
             kind = m.lastgroup if m.lastgroup not in ("title", "person") else "name"
             if kind == "name":
-                gender, own = TITLES[m["title"]], m["person"]
-                n = len(re.split(r"[ -]", own))
-                person(m, own, self.surrogate("name", own, gender), [f"given {gender}"] * (n - 1) + ["family"])
-            elif kind != "untitled":
-                own = m[0].lower() if kind == "email" else m[0]
-                new = self.surrogate(kind, own)
-                plain = (lambda x: re.sub(r"[^\w+]", "", x)) if kind in ("phone", "card", "iban", "ssn") else str
-                found.append((kind, plain(own), plain(new)))
-                made[m.start()] = new
+                person(m, m["person"])
+            elif kind != "untitled" and (own := self.written(kind, m[0])):
+                made[m.start()] = own[0]
+                found.append((kind, *own[1:]))
         for m in matches:  # with a family name first, as a given name alone is taken as there
             if m.lastgroup == "untitled" and " " in m[0]:
-                words = re.split(r"([ -])", m[0])
-                gender, last = GENDER[words[0]], len(words) - 1
-                types = ["family" if i == last else f"given {gender}" for i in range(0, len(words), 2)]
-                new = "".join(w if w in " -" else named[w][1] if w in named else self.word(w, gender, types[i // 2].split(" ")[0]) for i, w in enumerate(words))
-                person(m, m[0], new, [named[w][0] if w in named else types[i] for i, w in enumerate(words[::2])])
+                person(m, m[0])
         for m in matches:
             if m.lastgroup == "untitled" and " " not in m[0] and (GREETING.search(text[max(0, m.start() - 14) : m.start()]) or named.keys() & set(m[0].split("-"))):
-                words = re.split(r"(-)", m[0])
-                gender = GENDER[words[0]]
-                new = "".join(w if w == "-" else named[w][1] if w in named else self.word(w, gender, "given") for w in words)
-                person(m, m[0], new, [named[w][0] if w in named else f"given {gender}" for w in words[::2]])
+                person(m, m[0])
 
         def mention(m: re.Match) -> str:
             if m[0] not in named:
                 return m[0]
-            kind, new = named[m[0]]
-            found.append((kind, m[0], new))
-            return new
+            found.append(("name", m[0].lower(), named[m[0]]))
+            return named[m[0]]
 
         out, at = [], 0
         for m in matches:
@@ -273,49 +339,76 @@ class Keyed:
         return "".join(out), found
 
 
-def entities(df: DataFrame, key: bytes, epoch: int = 0, text_col: str = "text") -> DataFrame:
-    """(type, original, surrogate), each once in each Arrow batch."""
+def entities(df: DataFrame, key: bytes, repairs: dict[tuple[str, str], int] | None = None, text_col: str = "text") -> DataFrame:
+    """(type, original, surrogate), each once in each step of an Arrow batch.
+
+    Null and empty texts have none, nor has an empty table; repeated rows have the same.
+    """
+    own_repairs = tuple(sorted((repairs or {}).items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replace = held(("surrogates", key, epoch), lambda: Keyed(key, epoch)).replace
+        replace = held(("surrogates", key, own_repairs), lambda: Keyed(key, dict(own_repairs))).replace
         for batch in steps(batches, "text"):
             own = sorted({e for text in batch.column("text").to_pylist() if text for e in replace(text)[1]})
             yield pa.record_batch([pa.array([e[i] for e in own], pa.string()) for i in range(3)], names=["type", "original", "surrogate"])
 
-    return df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "type string, original string, surrogate string")
+    return map_arrow(df.select(F.col(text_col).cast("string").alias("text")), run, "type string, original string, surrogate string")
 
 
 def collisions(found: DataFrame) -> DataFrame:
     """(type, surrogate) that stand for two originals or more, or for themselves."""
-    return found.groupBy("type", "surrogate").agg(F.min("original").alias("a"), F.max("original").alias("b")).where("a <> b or a = surrogate")
-
+    return found.groupBy("type", "surrogate").agg(F.min("original").alias("a"), F.max("original").alias("b")).where("a <> b or lower(a) = lower(surrogate)").select("type", "surrogate")
 
-def free_epoch(df: DataFrame, key: bytes, text_col: str = "text") -> int:
-    """The first epoch of the key under which no two entities of the whole input share a surrogate."""
-    for epoch in range(EPOCHS):
-        if collisions(entities(df, key, epoch, text_col)).isEmpty():
-            return epoch
-    raise ValueError(f"each of {EPOCHS} key epochs has colliding surrogates")
 
+def repairs(df: DataFrame, key: bytes, text_col: str = "text") -> dict[tuple[str, str], int]:
+    """(type, original): the draw under which every entity of the whole input has a surrogate of its own, where it isn't the first.
 
-def pseudonymize(df: DataFrame, key: bytes, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), epoch: int | None = None) -> DataFrame:
+    Of those that share one, the first by order keeps it and the others are drawn again, by their
+    rank; one that stands for itself is drawn again too. All is checked again until it holds.
+    """
+    known: dict[tuple[str, str], int] = {}
+    while True:
+        found = entities(df, key, known, text_col)
+        again = _few_collisions(found)
+        if again is None:
+            return known
+        shared = found.join(F.broadcast(again), ["type", "surrogate"])
+        rank: dict[tuple[str, str], int] = {}
+        for r in shared.distinct().orderBy("type", "surrogate", "original").collect():  # MOST_REPAIRS at most
+            place = rank.get((r["type"], r["surrogate"]), 0)
+            rank[r["type"], r["surrogate"]] = place + 1
+            if place or r["original"].lower() == r["surrogate"].lower():
+                known[r["type"], r["original"]] = known.get((r["type"], r["original"]), 0) + max(1, place)
+
+
+def _few_collisions(found: DataFrame) -> DataFrame | None:
+    rows = collisions(found).limit(MOST_REPAIRS + 1).collect()
+    if len(rows) > MOST_REPAIRS:
+        raise ValueError(f"more than {MOST_REPAIRS} surrogates collide")
+    return found.sparkSession.createDataFrame(rows, "type string, surrogate string") if rows else None
+
+
+def pseudonymize(df: DataFrame, key: bytes, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), drawn: dict[tuple[str, str], int] | None = None) -> DataFrame:
     """Columns `keep` of each row, its text with surrogates, n_entities and their types.
 
     One row out for each row in, in whatever order. A null text stays null, an empty one empty;
     texts without personal data are unchanged. Repeated rows are replaced alike. Only the named
-    columns are read, so others can't clash. Without an epoch, the input is read a first time to
-    check that surrogates are distinct; that check groups distinct entities, with partial sums.
+    columns are read, and one that is named as an output gives way to it, so none can clash. An
+    empty table gives an empty result. Unless `drawn` (from repairs()) is given, the input is read
+    a first time to check that surrogates are distinct; that check groups distinct entities, with
+    partial sums. Batches are bounded, a longer text is held whole.
     """
-    epoch = free_epoch(df, key, text_col) if epoch is None else epoch
+    keep = tuple(c for c in keep if c not in OUTPUT)
+    own_repairs = tuple(sorted((repairs(df, key, text_col) if drawn is None else drawn).items()))
     source = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replace = held(("surrogates", key, epoch), lambda: Keyed(key, epoch)).replace
+        replace = held(("surrogates", key, own_repairs), lambda: Keyed(key, dict(own_repairs))).replace
         for batch in steps(batches, "text"):
             made = [(None, []) if text is None else replace(text) for text in batch.column("text").to_pylist()]
             own = [batch.column(i) for i in range(len(keep))]
-            types = [",".join(sorted({e[0].split(" ")[0] for e in x[1]})) for x in made]
-            yield pa.record_batch([*own, pa.array([x[0] for x in made], pa.string()), pa.array([len(x[1]) for x in made], pa.int64()), pa.array(types, pa.string())], names=[*keep, "text", "n_entities", "types"])
+            types = [",".join(sorted({e[0] for e in x[1]})) for x in made]
+            yield pa.record_batch([*own, pa.array([x[0] for x in made], pa.string()), pa.array([len(x[1]) for x in made], pa.int64()), pa.array(types, pa.string())], names=[*keep, *OUTPUT])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kept}{', ' if kept else ''}text string, n_entities long, types string")
+    return map_arrow(source, run, f"{kept}{', ' if kept else ''}text string, n_entities long, types string")
