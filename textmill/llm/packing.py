@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import held, materialize, steps
+from textmill.llm.common import discard, held, local_file, map_arrow, materialize, shipped_file, steps
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers, twice: when so many are known, those not met since the last time are forgotten. Results don't depend on it.
@@ -105,11 +105,14 @@ class WordIds:
 def tokenize(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of each document's ids, with the closing id 0: (doc_id, piece, start, length, ids_crc32, part, nth).
 
-    part is the partition and nth the piece's number among the part's pieces of that length.
+    part is the partition and nth the piece's number among the part's pieces of that length. A null
+    or empty text is the id 0 alone; null ids, repeated rows and empty tables are as in
+    pack_documents(). The tokenizer's file is sent to the executors.
     """
+    name = shipped_file(df.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = held(("words", tokenizer), lambda: WordIds(tokenizer)), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encode, part, seen = held(("words", name), lambda: WordIds(local_file(name))), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in steps(batches, "text"):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode([x or "" for x in batch.column("text").to_pylist()]), strict=True):
@@ -122,7 +125,7 @@ def tokenize(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, PIECES)
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import held, steps
+from textmill.llm.common import held, local_file, map_arrow, shipped_file, steps
 
 SPACE = "▁"
 #: Segments whose ids a Python worker remembers, twice, and the longest of them: when so many are
@@ -173,11 +173,13 @@ def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     One row out for each row in. A null or empty text has no ids and decodes to an empty text.
     Null ids of rows are carried along, repeated rows stay, other columns are left out. With
     ids=False the ids and the decoded text are left null, for queries that need the digests
-    alone. No shuffle; a text is held whole, a few MB of texts at a time.
+    alone. An empty table gives an empty result. No shuffle; batches are bounded, a longer text is
+    held whole. The model's file is sent to the executors.
     """
+    name = shipped_file(df.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held(("pieces", model), lambda: PrefixTable(model))
+        table = held(("pieces", name), lambda: PrefixTable(local_file(name)))
         for batch in steps(batches, "text"):
             made = table.encode_all([x or "" for x in batch.column("text").to_pylist()])
             texts = table.library.decode([x[0] for x in made], num_threads=1)
@@ -193,4 +195,4 @@ def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
                 }
             )
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SCHEMA)
