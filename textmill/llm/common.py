@@ -45,13 +45,13 @@ def _libc():
 
 
 def lean() -> None:
-    """Makes a worker return large blocks to the system as soon as they are freed."""
+    """Makes a worker return very large blocks to the system as soon as they are freed; give_back() does so for the rest."""
     global _lean
     if _lean or (libc := _libc()) is None:
         return
     _lean = True
-    libc.mallopt(-3, 256 << 10)  # M_MMAP_THRESHOLD; setting it also keeps it from growing
-    libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD; setting it also keeps it from growing
+    libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
     pa.set_memory_pool(pa.system_memory_pool())
 
 
