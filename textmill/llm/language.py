@@ -56,10 +56,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     size = min(DICTIONARY_BYTES, ALL_BYTES // len(counts))
     most = max(1, min(SAMPLE_DOCS, 3 * size // SPAN + 1))
     whole = 1 << 40
+    # A row for each language, as many as have just come to the driver.
     shares = docs.sparkSession.createDataFrame([(lang, whole * 2 * most // n) for lang, n in counts.items()], "lang string, share long")
     rank = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(whole))
     place = F.pmod(F.xxhash64(F.lit("span"), F.col("id").cast("string")), F.greatest(F.length("text") - SPAN, F.lit(0)) + 1).cast("int") + 1
-    drawn = rows.join(shares, "lang").where(rank < F.col("share")).select("lang", F.substr("text", place, F.lit(SPAN)).alias("span"), rank.alias("rank"))
+    drawn = rows.join(F.broadcast(shares), "lang").where(rank < F.col("share")).select("lang", F.substr("text", place, F.lit(SPAN)).alias("span"), rank.alias("rank"))
     texts: dict[str, dict[bytes, None]] = {}
     for r in drawn.orderBy("rank", "lang", "span").limit(4 * most * len(counts)).collect():
         own = texts.setdefault(r["lang"], {})
