@@ -10,6 +10,7 @@ of words themselves.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -72,37 +73,36 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORD_KEY = b"textmill word shingles"
 
 
-class Words:
-    """128-bit keyed BLAKE2b hashes of words, in two lanes of 64 bits."""
+class Words(dict):
+    """The number of each word met, and 128-bit keyed BLAKE2b hashes of the words by number, in two lanes of 64 bits."""
 
     def __init__(self) -> None:
-        self.number: dict[bytes, int] = {}
+        super().__init__()
+        self.new: list[bytes] = []
         self.lanes = np.zeros((2, 1024), np.uint64)
 
-    def add(self, words: list[bytes]) -> None:
-        n, new = len(self.number), len(words)
-        if n + new > self.lanes.shape[1]:
-            grown = np.zeros((2, 2 * (n + new)), np.uint64)
-            grown[:, :n] = self.lanes[:, :n]
-            self.lanes = grown
-        made = b"".join([hashlib.blake2b(w, key=WORD_KEY, digest_size=16).digest() for w in words])
-        self.lanes[:, n : n + new] = np.frombuffer(made, "<u8").reshape(-1, 2).T
-        self.number.update(zip(words, range(n, n + new), strict=True))
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
 
     def __call__(self, texts: list[list[bytes]]) -> np.ndarray:
         """Both lanes of all texts' words in order."""
-        if len(self.number) > WORDS:
-            self.__init__()
-        new = list(set().union(*texts).difference(self.number))
-        # Long words are known for this call only.
-        self.add([w for w in new if len(w) <= LONGEST])
-        rest = [w for w in new if len(w) > LONGEST]
-        self.add(rest)
-        get = self.number.__getitem__
-        at = np.fromiter((get(w) for own in texts for w in own), np.int64, sum(map(len, texts)))
+        if len(self) > WORDS:
+            self.clear()
+        n = len(self)
+        at = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        if self.new:
+            if len(self) > self.lanes.shape[1]:
+                grown = np.zeros((2, 2 * len(self)), np.uint64)
+                grown[:, :n] = self.lanes[:, :n]
+                self.lanes = grown
+            made = b"".join([hashlib.blake2b(w, key=WORD_KEY, digest_size=16).digest() for w in self.new])
+            self.lanes[:, n : len(self)] = np.frombuffer(made, "<u8").reshape(-1, 2).T
         out = self.lanes[:, at]
-        for w in rest:
-            del self.number[w]
+        if any(len(w) > LONGEST for w in self.new):  # long words are known for this call only
+            self.clear()
+        self.new = []
         return out
 
 
@@ -147,11 +147,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     sets = [x if len(x) else np.zeros(1, np.uint64) for x in sets]
     flat = np.concatenate(sets)
     at = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), SAMPLES), np.uint64)
+    out, moved = np.empty((len(sets), SAMPLES), np.uint64), np.empty_like(flat)
     with np.errstate(over="ignore"):
         for k, a in enumerate(PERM_A):
             # Multiplying by an odd number permutes the hashes; their upper bits are well mixed.
-            out[:, k] = np.minimum.reduceat(flat * a, at)
+            out[:, k] = np.minimum.reduceat(np.multiply(flat, a, out=moved), at)
     return out
 
 
