@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from textmill.operators import align, budget, dedup, events, metrics, preflight, terms, tokens
@@ -35,6 +36,79 @@ def test_rows_beyond_a_budget_free_their_hash(spark):
     assert got(options) == 1 and got(budget.Build(least_chars=5, drop_blocklist=True)) == 2
 
 
+def plain_build(rows, sources, options, have, block, bands):
+    """One row after another, as a build without Spark would."""
+    from textmill.functions.text import hash_of
+
+    seen, near, kept, counts = set(block), set(), [], {}
+    left = None if options.total_bytes is None else options.total_bytes - sum(have.values())
+    for name, target in sources:
+        room, own, n = max(0, target - have.get(name, 0)), 0, 0
+        room = room if left is None else min(room, max(0, left))
+        for i, text, source in rows:
+            if source != name or own >= room:
+                continue
+            n += 1
+            if len(text) < options.least_chars or hash_of(text) in seen or (options.near_dup and near & bands[i]):
+                continue
+            seen.add(hash_of(text))
+            near |= bands[i]
+            own += len(f'{{"text": "{text}", "source": "{name}"}}')
+            kept.append(i)
+        counts[name] = (n, own)
+        left = None if left is None else left - own
+    return kept, counts
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("options", [budget.Build(least_chars=12), budget.Build(least_chars=12, near_dup=True, total_bytes=2600), budget.Build(least_chars=1, near_dup=True)])
+def test_build_is_as_one_row_after_another(spark, seed, options):
+    import random
+
+    from textmill.functions.text import hash_of
+
+    r = random.Random(seed)
+    texts = [" ".join(r.choice("ab cd ef gh ij kl".split()) for _ in range(r.randrange(1, 9))) for _ in range(25)]
+    rows = [(i, r.choice(texts), r.choice("abc")) for i in range(120)]
+    sources, have = [("b", 900), ("a", 1500), ("c", 700)], {"a": 300, "c": 50}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bands = {i: set() for i, _, _ in rows}
+    for x in dedup.band_rows(docs, "doc_id", "text", 3, 21, True).collect():
+        bands[x["doc_id"]].add((x["band"], x["key"]))
+    table = spark.createDataFrame([(s, i, t) for i, (s, t) in enumerate(sources)], "source string, ord int, target_bytes long")
+    existing = spark.createDataFrame(list(have.items()), "source string, bytes long")
+    bench, store = spark.createDataFrame([(texts[0],)], "text string"), spark.createDataFrame([(hash_of(texts[1]),)], "h string")
+    built = budget.build_corpus(docs, bench, table, options, existing, store)
+    kept, counts = plain_build(rows, sources, options, have, {hash_of(texts[0]), hash_of(texts[1])}, bands)
+    assert sorted(x["doc_ord"] for x in built.collect()) == sorted(kept)
+    got = {x["source"]: (x["seen"], x["bytes"], x["total_bytes"]) for x in budget.build_summary(docs, built, table, options, existing).collect()}
+    assert got == {s: (n, b, b + have.get(s, 0)) for s, (n, b) in counts.items()}
+
+
+def test_running_sums_of_uneven_groups(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [("hot" if i % 3 else f"g{i % 7}", r.randrange(10**12), i, r.randrange(100)) for i in range(3000)] + [(None, 5, 1, 2), (None, 4, 2, 3)]
+    df = spark.createDataFrame(rows, "g string, a long, b long, v long").repartition(7)
+    want, sums = {}, {}
+    for g, a, b, v in sorted(rows, key=lambda x: (str(x[0]), x[1], x[2])):
+        want[g, a, b] = sums.get(g, 0)
+        sums[g] = sums.get(g, 0) + v
+    assert {(x["g"], x["a"], x["b"]): x["s"] for x in budget.running_before(df, "g", ["a", "b"], "v", "s").collect()} == want
+
+
+def test_nearest_rank_of_many_values(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(f"g{i % 3}", r.choice([r.random(), 0.5, None])) for i in range(2000)]
+    got = {x["g"]: (x["p0"], x["p50"], x["p90"], x["p100"]) for x in metrics.nearest_rank(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"p0": 0.0, "p50": 0.5, "p90": 0.9, "p100": 1.0}).collect()}
+    for g in ("g0", "g1", "g2"):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g] == tuple(own[round(p * (len(own) - 1))] for p in (0.0, 0.5, 0.9, 1.0))
+
+
 def test_dedup_keeps_the_first(spark):
     docs = spark.createDataFrame([(3, "x y z"), (1, "X, y z"), (2, "other"), (4, None)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in dedup.exact_dedup(docs, ["doc_id"]).collect()) == [1, 2, 4]
@@ -117,19 +191,19 @@ def test_alignment(spark):
 
 
 def test_scores_read_whole_texts(spark, tmp_path):
-    from textmill.plans.queries import QUERIES
+    from textmill.plans.catalog import QUERIES
 
     same, other = "a bb " * 300 + "Alpha Omega abcdefgh ", "a bb " * 300 + "Gamma Delta qrstuvwx "
     spark.createDataFrame([(0, same * 2), (1, same + other)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    whole = QUERIES["ner_span_f1_whole"](spark, str(tmp_path)).first()
+    whole = QUERIES["ner_span_f1"](spark, str(tmp_path)).first()
     import re
 
     from textmill.functions import text as T
 
     sets = [({x.lower() for x in re.findall(T.ENTITY, a)}, {x.lower() for x in re.findall(T.ENTITY, b)}) for a, b in ((same, same), (same, other))]
     tp, n = sum(len(a & b) for a, b in sets), sum(len(a) for a, _ in sets)
-    assert (whole["micro_p"], whole["micro_r"]) == (tp / n, tp / sum(len(b) for _, b in sets)) and 0 < tp < n
-    s = QUERIES["term_prf_whole"](spark, str(tmp_path)).first()
+    assert (whole["micro_p"], whole["micro_r"]) == (round(tp / n, 9), round(tp / sum(len(b) for _, b in sets), 9)) and 0 < tp < n
+    s = QUERIES["term_prf"](spark, str(tmp_path)).first()
     assert 0 < s["precision"] < 1 and 0 < s["recall"] < 1
 
 
@@ -137,13 +211,14 @@ def test_cascade_query_has_all_tiers(spark):
     import numpy as np
     from conftest import SF
 
-    from textmill.plans.queries import QUERIES
+    from textmill.plans.catalog import QUERIES
 
-    got = {r["tgt_id"]: r for r in QUERIES["align_cascade_vectors"](spark, SF).collect()}
+    got = {r["tgt_id"]: r for r in QUERIES["align_cascade"](spark, SF).collect()}
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
     pages = [r["page_id"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
     assert len(got) == len(rows) + len(pages) and all(got[-1 - i]["method"] == "random" and 0 <= got[-1 - i]["src_id"] < len(rows) for i in pages)
     ids, m = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
     for r, sims in zip(rows, np.round(m @ m.T, 9), strict=True):
         own = got[r["vec_id"]]
         if r["label"] != 0:
@@ -154,6 +229,33 @@ def test_cascade_query_has_all_tiers(spark):
     assert {r["method"] for r in got.values()} == {"gold", "query", "random"}
 
 
+def test_gold_and_model_types(spark):
+    gold = align.normalize_gold(spark.createDataFrame([("3", "5", 0), (" 3", "7", 1), ("3", "x", 2)], "key string, value string, o int"), "o")
+    assert [tuple(r) for r in gold.collect()] == [(3, 7)]
+    assert "mistral" in align.EMBEDDING_ROWS and set(align.EMBEDDING_ROWS) == set(align.HEAD_ROWS)
+    with pytest.raises(ValueError):
+        align.remap(spark.createDataFrame([], "tensor string, row_id long, vec array<double>"), spark.createDataFrame([], "tgt_id long, src_id long"), "unknown")
+    wide = spark.createDataFrame([("tok " + "0.5 " * 1_200_000,)], "value string").select(F.trim("value").alias("value"))
+    assert align.parse_vectors(wide).select(F.size("vec")).first()[0] == 1_200_000
+
+
+def test_bleu_and_rouge(spark):
+    rows = spark.createDataFrame([("The cat sat, on the mat.", "The cat sat on the mat!"), ("one", "two words")], "p string, r string")
+    tokens_of = lambda t: [x["x"] for x in spark.createDataFrame([(t,)], "t string").select(metrics.tokens_13a("t").alias("x")).collect()][0]
+    assert tokens_of("It's 3.5, 1,000-a (b) &amp; c.") == ["It's", "3.5", ",", "1,000", "-", "a", "(", "b", ")", "&", "c", "."]
+    # Eight tokens against seven: 6, 4 and 2 n-grams are shared, of four words none.
+    got = metrics.bleu(rows.limit(1), "p", "r").first()["bleu"]
+    want = 100 * math.exp(sum(map(math.log, [6 / 8, 4 / 7, 2 / 6, 1 / (2 * 5)])) / 4)
+    assert abs(got - want) < 1e-9
+    short = spark.createDataFrame([("a b c d e", "a x b y c")], "p string, r string")
+    assert abs(metrics.bleu(short, "p", "r").first()["bleu"] - 100 * math.exp(sum(map(math.log, [3 / 5, 1 / 8, 1 / 12, 1 / 16])) / 4)) < 1e-9
+    assert metrics.bleu(rows.limit(0), "p", "r").first()["bleu"] == 0.0
+    stems = "caresses:caress ponies:poni cats:cat agreed:agre plastered:plaster motoring:motor hopping:hop falling:fall filing:file happy:happi relational:relat digitizer:digit operator:oper hopeful:hope adjustment:adjust adoption:adopt rate:rate controlling:control sky:sky"
+    assert {a: metrics.stem(a) for a, _ in (x.split(":") for x in stems.split())} == dict(x.split(":") for x in stems.split())
+    assert metrics.common_length("a b c d e".split(), "b x d a e".split()) == 3 and metrics.common_length([], ["a"]) == 0
+    assert metrics.rouge_l(spark.createDataFrame([("The cats running", "the cat runs")], "p string, r string"), "p", "r").first()["rouge_l"] == 1.0
+
+
 def test_terms(spark):
     docs = spark.createDataFrame([(0, "abcdefgh abcdefgh zz wxyz"), (1, "abcdefgh qrstuvwxy")], "doc_id long, text string")
     top = terms.select_terms(docs, 5, mode="frequency").collect()
@@ -176,6 +278,34 @@ def test_tokens(spark):
     assert tokens.mean_nll(losses, "row").first()["mean_nll"] == 2.0
 
 
+def test_benchmarks_are_staged_and_found(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "q")], "id long, question string")
+
+    def fetch(candidate, split):
+        if candidate != "tner/bc5cdr":
+            raise LookupError(candidate)
+        return rows
+
+    folder = f"file://{tmp_path}"
+    report = readers.stage_benchmarks(spark, fetch, folder, {k: readers.BENCHMARKS[k] for k in ("bc5cdr", "mmlu")})
+    assert {(r["name"], r["split"]): (r["candidate"], r["rows"]) for r in report.collect()} == {("bc5cdr", s): ("tner/bc5cdr", 1) for s in ("train", "validation", "test")} | {("mmlu", "test"): (None, 0)}
+    assert readers.benchmark(spark, folder, "bc5cdr", "test", "id long, question string").collect() == rows.collect()
+    assert readers.benchmark(spark, folder + "/none", "bc5cdr", "test", "id long", fetch).count() == 1
+    with pytest.raises(FileNotFoundError):
+        readers.benchmark(spark, folder, "mmlu", "test", "id long", fetch)
+    with pytest.raises(LookupError):
+        readers.stage_benchmarks(spark, fetch, folder, {"mmlu": readers.BENCHMARKS["mmlu"]}, ("mmlu",))
+    assert readers.config('{"a": 1}') == {"a": 1}
+
+
+def test_tables_are_discarded(spark):
+    from textmill.plans import shared
+
+    kept, gone = (shared.materialize(spark.range(3), "t") for _ in range(2))
+    shared.discard(gone, None)
+    assert kept.count() == 3 and not shared.exists(spark, gone._textmill_path) and shared.exists(spark, kept._textmill_path)
+
+
 def test_event_times(spark):
     rows = spark.createDataFrame([("2025-11-07T08:52:08Z",), ("20251107T085208Z",), ("x",)], "t string")
     got = [r["x"] for r in rows.select(events.event_time("t").alias("x")).collect()]
@@ -208,7 +338,7 @@ def test_files(spark, tmp_path):
     sinks.corpus_lines(rows, str(tmp_path / "c"))
     sinks.corpus_lines(rows, str(tmp_path / "c"))
     assert spark.read.json(str(tmp_path / "c")).count() == 2
-    sinks.corpus_summary(rows, str(tmp_path / "s"), 5, 10)
+    sinks.corpus_summary(spark.createDataFrame([("s", 3, 1, 7, 17)], "source string, seen long, kept long, bytes long, total_bytes long"), str(tmp_path / "s"), 5)
     got = spark.read.json(str(tmp_path / "s")).first()
     assert (got["added_bytes"], got["total_bytes"], got["complete"]) == (7, 17, True)
     fields = spark.createDataFrame([(1, "q", ["c", "d"])], "i int, question string, context array<string>")

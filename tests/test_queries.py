@@ -1,7 +1,7 @@
 import pytest
 from conftest import SF
 
-from textmill.plans.queries import ORACLES, QUERIES
+from textmill.plans.catalog import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

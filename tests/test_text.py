@@ -27,11 +27,6 @@ def hash_3gram(t):
     return hashlib.sha1(b"".join(hashlib.md5(" ".join(k[i : i + 3]).encode()).digest() for i in range(len(k) - 2))).hexdigest()
 
 
-def chunks(s, most):
-    step = most - min(200, most // 10)
-    return [s] if len(s) <= most else [s[i : i + most] for i in range(0, len(s), step)]
-
-
 def test_norm_text(spark):
     assert many(spark, T.norm_text("t"), [" a \t\n b ", None, "", "x 　y\x1c", "\x85"]) == ["a b", "", "", "x y", ""]
 
@@ -39,14 +34,28 @@ def test_norm_text(spark):
 def test_hash_3gram(spark):
     texts = ["A, b", "a b", "", "x y z", "The quick, brown fox. " * 50, "é ü", "one two three four"]
     got = many(spark, T.hash_3gram("t"), texts)
+    assert many(spark, T.hash_3gram_native("t"), texts) == got
     assert got == [hash_3gram(t) for t in texts]
     assert got[0] == got[1] == hashlib.sha1(b"a b").hexdigest()
 
 
 def test_chunks(spark):
-    texts = ["x" * 250, "y" * 185, "z" * 100, "", "q"]
-    assert many(spark, T.chunks("t", 100), texts) == [chunks(t, 100) for t in texts]
-    assert [len(x) for x in many(spark, T.chunks("t", 100), ["x" * 185])[0]] == [100, 95, 5]
+    # Of 100 characters at most: an overlap of 10, so pieces start at 0, 90, 180.
+    letters = "".join(chr(97 + i % 26) for i in range(250))
+    got = many(spark, T.chunks("t", 100), [letters, letters[:185], letters[:100], "", "q"])
+    assert got == [[letters[:100], letters[90:190], letters[180:]], [letters[:100], letters[90:185], letters[180:185]], [letters[:100]], [""], ["q"]]
+    assert [len(x) for x in many(spark, T.chunks("t", 5000), ["x" * 10_000])[0]] == [5000, 5000, 400]
+
+
+def test_nested_fields(spark):
+    row = spark.range(1).select(F.expr("named_struct('a', 'x', 'n', 3, 'l', array('y', '', null))").alias("one"), F.expr("array(named_struct('t', 'p', 'n', 1), null, named_struct('t', 'q', 'n', 2))").alias("many"), F.expr("map('k', 'v', 'm', 'w')").alias("map"), F.expr("array(1, 2)").alias("numbers"), F.lit(7).alias("number"), F.expr("cast(null as string)").alias("none"))
+    first = lambda *names: row.select(T.first_text(row, *names).alias("x")).first()["x"]
+    assert [first("none", "one"), first("absent", "many"), first("map"), first("numbers", "number"), first("none")] == ["x\ny", "p\nq", "v\nw", "7", ""]
+
+
+def test_cache_keys_differ(spark):
+    rows = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a|b", None, None), ("a", "-", "b"), (None, "a", "b"), ("", "a", "b")], "x string, y string, z string")
+    assert rows.select(T.cache_key("x", "y", "z").alias("k")).distinct().count() == 6
 
 
 def test_json_bytes(spark):

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.text import blank_to_null, strip
+from textmill.functions.text import first_text, strip
 
-# The prompts' texts.
+# The prompts' texts; the names of fields and their order in the functions below are fixed too.
 EXAM = "You are a medical exam assistant. Choose A, B, C, or D and justify briefly.\n"
 LETTER = "Answer (just the letter): "
 YES_NO = "You are a medical QA assistant. Answer yes/no/maybe.\n"
@@ -15,10 +15,8 @@ NLI = "You are a clinical NLI assistant. Predict entailment, contradiction, or n
 
 
 def first_of(df: DataFrame, *names: str) -> Column:
-    """The first of the named fields that the table has and that isn't empty; arrays are joined by line feeds."""
-    types = dict(df.dtypes)
-    have = [F.array_join(n, "\n") if types[n].startswith("array") else F.col(n).cast("string") for n in names if n in types]
-    return F.coalesce(*map(blank_to_null, have), F.lit(""))
+    """The first of the named fields that the table has and that isn't empty; lists are joined by line feeds."""
+    return first_text(df, *names)
 
 
 def raw_answer(df: DataFrame, *names: str) -> Column:

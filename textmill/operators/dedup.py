@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.text import hash_3gram, norm_text, words
+from textmill.functions.text import hash_3gram, let, norm_text, words
 from textmill.plans.shared import materialize
 
 
@@ -49,10 +51,21 @@ def word_set(x: Column | str) -> Column:
     return F.array_distinct(words(F.lower(F.col(x) if isinstance(x, str) else x)))
 
 
+#: Word hashes and their permutations are numbers below this prime, so that their products fit 64 bits.
+PRIME = (1 << 31) - 1
+
+
+def permutations(n: int) -> list[tuple[int, int]]:
+    """Factor and summand of n permutations of the numbers below PRIME."""
+    draw = lambda name, i: int(hashlib.md5(f"{name}{i}".encode()).hexdigest()[:8], 16) % (PRIME - 1)
+    return [(1 + draw("a", i), draw("b", i)) for i in range(n)]
+
+
 def minhash(word_array: Column, seeds: int, fast: bool = False) -> Column:
-    """For each seed the smallest hash of the words: the first 15 hex digits of md5(seed, word), which SQL engines share, or xxhash64."""
-    value = (lambda s: lambda w: F.xxhash64(F.lit(s), w)) if fast else lambda s: lambda w: F.conv(F.substring(F.md5(F.concat(F.lit(f"{s}:"), w).cast("binary")), 1, 15), 16, 10).cast("long")
-    return F.array(*[F.array_min(F.transform(word_array, value(s))) for s in range(seeds)])
+    """For each permutation the smallest word hash: of the first 8 hex digits of md5, which SQL engines share, or of xxhash64."""
+    value = (lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME))) if fast else lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long")
+    moved = lambda a, b: lambda v: (v * F.lit(a) + F.lit(b)) % F.lit(PRIME)
+    return let(F.transform(word_array, value), lambda v: F.array(*[F.array_min(F.transform(v, moved(a, b))) for a, b in permutations(seeds)]))
 
 
 def band_rows(df: DataFrame, id_col: str, text: str, bands: int, rows: int, fast: bool = False) -> DataFrame:

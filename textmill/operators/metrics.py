@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.text import normalize_entity, strip
 from textmill.operators.budget import running_before
+from textmill.plans.shared import materialize
 
 
 def correct(pred: Column | str, label: Column | str) -> Column:
@@ -59,56 +64,163 @@ def perplexity(nll: Column | str) -> Column:
 def nearest_rank(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
     """Values at the ranks round(p * (n - 1)), halves to the even one, of each group.
 
-    Values are counted first, so that a group is as large as its number of distinct values.
+    Distinct values are counted, the counts summed in order of the values by ranges, and the
+    values that hold a wanted rank picked. No group is gathered, however many values it has.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    lists = counts.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_v", "_n"))).alias("_l"), F.sum("_n").alias("_all"))
-    upto = F.aggregate("_l", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint")) + x["_n"])))
-    out = lists.select(by, "_all", "_l", upto.alias("_upto"))
-    rank = lambda p: F.bround(F.lit(p) * (F.col("_all") - 1)).cast("long")
-    pick = lambda p: F.get("_l", F.size(F.filter("_upto", lambda u: u <= rank(p))))["_v"]
-    return out.select(by, *[pick(p).alias(name) for name, p in shares.items()])
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    upto = running_before(counts, "_by", ["_v"], "_n", "_before")
+    sizes = upto.groupBy("_by").agg(F.sum("_n").alias("_all"))
+    ranks = F.array(*[F.bround(F.lit(p) * (F.col("_all") - 1)).cast("long") for p in shares.values()])
+    hit = upto.join(sizes.select(F.col("_by").alias("_b"), ranks.alias("_ranks")), F.col("_by").eqNullSafe(F.col("_b")))
+    inside = lambda i: (F.get("_ranks", F.lit(i)) >= F.col("_before")) & (F.get("_ranks", F.lit(i)) < F.col("_before") + F.col("_n"))
+    return hit.groupBy(F.col("_by").alias(by)).agg(*[F.max(F.when(inside(i), F.col("_v"))).alias(name) for i, name in enumerate(shares)])
 
 
 def bleu_1(df: DataFrame, pred: str, ref: str) -> DataFrame:
-    """Clipped unigram precision of two arrays of tokens over all rows, times the brevity penalty."""
+    """Clipped unigram precision of two arrays of tokens over all rows, times the brevity penalty; 0 to 100."""
     clipped = F.aggregate(F.array_distinct(F.col(pred)), F.lit(0), lambda a, t: a + F.least(F.size(F.filter(pred, lambda x: x == t)), F.size(F.filter(ref, lambda x: x == t))))
     s = df.agg(F.sum(clipped).alias("hit"), F.sum(F.size(pred)).alias("c"), F.sum(F.size(ref)).alias("r"))
     penalty = F.when(F.col("c") >= F.col("r"), F.lit(1.0)).otherwise(F.exp(1 - F.col("r") / F.col("c")))
-    return s.select(F.when(F.col("c") > 0, penalty * F.col("hit") / F.col("c")).otherwise(0.0).alias("bleu_1"))
+    return s.select(F.when(F.col("c") > 0, 100 * penalty * F.col("hit") / F.col("c")).otherwise(0.0).alias("bleu_1"))
+
+
+# What the usual tokenizer of corpus BLEU (mteval 13a) puts spaces around, in order.
+TOKENS_13A = [(r"([\{-~\[-` -&\(-\+:-@/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")]
+ENTITIES_13A = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
+
+
+def tokens_13a(x: Column | str) -> Column:
+    out = F.trim(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")))
+    for a, b in [("<skipped>", ""), ("-\n", ""), ("\n", " "), *ENTITIES_13A]:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    out = F.concat(F.lit(" "), out, F.lit(" "))
+    for pattern, put in TOKENS_13A:
+        out = F.regexp_replace(out, pattern, put)
+    return F.array_remove(F.split(out, r"[\x09-\x0D\x1C-\x20]+"), "")
 
 
 def bleu(df: DataFrame, pred: str, ref: str, most: int = 4) -> DataFrame:
-    """Corpus BLEU of two texts split at white space, 0 to 100: clipped n-gram precisions, geometric mean, brevity penalty."""
-    grams = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    rows = df.select(F.array_remove(F.split(F.trim(pred), r"\s+"), "").alias("p"), F.array_remove(F.split(F.trim(ref), r"\s+"), "").alias("r"))
-    own = rows.select(F.size("p").alias("c"), F.size("r").alias("q"), *[grams(F.col(x), n).alias(f"{x}{n}") for x in "pr" for n in range(1, most + 1)])
-    hit = lambda n: F.aggregate(F.array_distinct(f"p{n}"), F.lit(0), lambda a, t: a + F.least(F.size(F.filter(f"p{n}", lambda x: x == t)), F.size(F.filter(f"r{n}", lambda x: x == t))))
-    s = own.agg(F.sum("c").alias("c"), F.sum("q").alias("q"), *[F.sum(hit(n)).alias(f"h{n}") for n in range(1, most + 1)], *[F.sum(F.size(f"p{n}")).alias(f"t{n}") for n in range(1, most + 1)])
-    logs = sum((F.log(F.col(f"h{n}") / F.col(f"t{n}")) for n in range(2, most + 1)), F.log(F.col("h1") / F.col("t1")))
+    """Corpus BLEU of two texts, 0 to 100: clipped n-gram precisions of 13a tokens, exponential smoothing, geometric mean, brevity penalty.
+
+    N-grams are counted by row and side, joined by row and n-gram and summed, so a long text is
+    no long array.
+    """
+    rows = df.select(F.monotonically_increasing_id().alias("row"), tokens_13a(pred).alias("p"), tokens_13a(ref).alias("r"))
+    rows = materialize(rows, "bleu-rows")
+    grams = lambda side: rows.select("row", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.when(F.size(side) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(side) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(side, i, n), " "))).otherwise(F.array().cast("array<string>")).alias("g")) for n in range(1, most + 1)])).alias("x")).select("row", "x.n", F.explode("x.g").alias("g")).groupBy("row", "n", "g").count()
+    hits = grams("p").join(grams("r").withColumnRenamed("count", "have"), ["row", "n", "g"], "left").groupBy("n").agg(F.sum(F.least("count", F.coalesce("have", F.lit(0)))).alias("hit"), F.sum("count").alias("total"))
+    one = hits.agg(F.map_from_entries(F.collect_list(F.struct("n", "hit"))).alias("hits"), F.map_from_entries(F.collect_list(F.struct("n", "total"))).alias("totals"))  # four rows
+    s = rows.agg(F.coalesce(F.sum(F.size("p")), F.lit(0)).alias("c"), F.coalesce(F.sum(F.size("r")), F.lit(0)).alias("q")).crossJoin(one)
+    logs, misses = F.lit(0.0), F.lit(0)
+    for n in range(1, most + 1):
+        hit, total = (F.coalesce(F.try_element_at(c, F.lit(n)), F.lit(0)) for c in (F.col("hits"), F.col("totals")))
+        misses = misses + (hit == 0).cast("int")
+        logs = logs + F.log(F.when(hit > 0, hit / total).otherwise(1 / (F.pow(F.lit(2.0), misses) * total)))
     penalty = F.when(F.col("c") >= F.col("q"), F.lit(1.0)).otherwise(F.exp(1 - F.col("q") / F.col("c")))
-    return s.select(F.coalesce(100 * penalty * F.exp(logs / most), F.lit(0.0)).alias("bleu"))
+    whole = (F.coalesce(F.try_element_at("totals", F.lit(most)), F.lit(0)) > 0) & (F.coalesce(F.try_element_at("hits", F.lit(1)), F.lit(0)) > 0)
+    return s.select(F.when(whole, 100 * penalty * F.exp(logs / most)).otherwise(0.0).alias("bleu"))
+
+
+VOWELS = "aeiou"
+# The suffixes of the Porter stemmer's second, third and fourth steps and what takes their place.
+STEP_2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"), ("logi", "log")]
+STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEP_4 = [(s, "") for s in "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()]
+
+
+@functools.lru_cache(100_000)
+def stem(word: str) -> str:
+    """The Porter stem of a lower-case word."""
+
+    def shape(w: str) -> str:
+        out = ""
+        for i, c in enumerate(w):
+            out += "v" if c in VOWELS or (c == "y" and i and out[-1] == "c") else "c"
+        return out
+
+    measure = lambda w: len(re.findall("v+c+", shape(w)))
+    short = lambda w: shape(w).endswith("cvc") and w[-1] not in "wxy"
+
+    def step(w: str, table: list[tuple[str, str]], least: int) -> str:
+        for end, put in sorted(table, key=lambda x: -len(x[0])):
+            if w.endswith(end):
+                own = w[: len(w) - len(end)]
+                return own + put if measure(own) > least and not (end == "ion" and own[-1:] not in ("s", "t")) else w
+        return w
+
+    w = word
+    if len(w) <= 2:
+        return w
+    if w.endswith("s"):
+        w = w[:-2] if w.endswith(("sses", "ies")) and not (w.endswith("ies") and len(w) == 4) else w[:-1] if w.endswith("ies") or not w.endswith("ss") else w
+    if w.endswith("eed"):
+        w = w[:-1] if measure(w[:-3]) > 0 else w
+    elif (end := "ed" if w.endswith("ed") else "ing" if w.endswith("ing") else "") and "v" in shape(w[: -len(end)]):
+        w = w[: -len(end)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif len(w) > 1 and w[-1] == w[-2] and shape(w)[-1] == "c" and w[-1] not in "lsz":
+            w = w[:-1]
+        elif measure(w) == 1 and short(w):
+            w += "e"
+    if w.endswith("y") and len(w) > 2 and shape(w[:-1])[-1] == "c":
+        w = w[:-1] + "i"
+    w = step(step(step(w, STEP_2, 0), STEP_3, 0), STEP_4, 1)
+    if w.endswith("e") and (measure(w[:-1]) > 1 or (measure(w[:-1]) == 1 and not short(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and measure(w[:-1]) > 1 else w
+
+
+def common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, by bit vectors: a bit for each place of a, a step for each word of b."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for y in b:
+        met = row & places.get(y, 0)
+        row = ((row + met) | (row - met)) & whole
+    return len(a) - row.bit_count()
 
 
 def rouge_l(df: DataFrame, pred: str, ref: str) -> DataFrame:
-    """Mean F of the longest common subsequence of words, without stemming."""
-
-    def lcs(a: list[str], b: list[str]) -> int:
-        row = [0] * (len(b) + 1)
-        for x in a:
-            last = 0
-            for j, y in enumerate(b):
-                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
-        return row[-1]
+    """Mean F of the longest common subsequence of stemmed words; words of three letters or fewer stay."""
 
     @F.pandas_udf("double")
     def score(p: pd.Series, r: pd.Series) -> pd.Series:
-        both = [(x.lower().split(), y.lower().split()) for x, y in zip(p.fillna(""), r.fillna(""), strict=True)]
-        return pd.Series([2 * lcs(x, y) / (len(x) + len(y)) if x and y else 0.0 for x, y in both])
+        words = lambda t: [stem(w) if len(w) > 3 else w for w in re.sub("[^a-z0-9]+", " ", t.lower()).split()]
+        both = [(words(x), words(y)) for x, y in zip(p.fillna(""), r.fillna(""), strict=True)]
+        return pd.Series([2 * common_length(x, y) / (len(x) + len(y)) if x and y else 0.0 for x, y in both])
 
     return df.select(score(pred, ref).alias("f")).agg(F.coalesce(F.avg("f"), F.lit(0.0)).alias("rouge_l"))
 
 
+def mean_similarity(df: DataFrame, scorer: Callable[[], Callable[[list[str], list[str]], list[float]]], pred: str, ref: str) -> DataFrame:
+    """Mean of a model's similarity of two texts, a hook: scorer() is called once in each Python worker."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        own = scorer()
+        for p, r in batches:
+            yield pd.Series(own(p.fillna("").tolist(), r.fillna("").tolist()), dtype="float64")
+
+    return df.select(score(pred, ref).alias("f")).agg(F.avg("f").alias("mean_similarity"))
+
+
+def suffix_likelihoods(df: DataFrame, scorer: Callable[[], Callable[[list[str], list[str]], list[float]]], row: str = "row", prompt: str = "prompt", letters: str = "ABCD") -> DataFrame:
+    """(row, letter, variant, ll) of each letter's spellings behind each prompt, a hook for a model's likelihoods; best_variant() decides."""
+    spellings = F.array(*[F.struct(F.lit(x).alias("letter"), F.lit(v).alias("variant")) for x in letters for v in (f" {x}", x)])
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        own = scorer()
+        for p, v in batches:
+            yield pd.Series(own(p.fillna("").tolist(), v.tolist()), dtype="float64")
+
+    return df.select(row, prompt, F.explode(spellings).alias("x")).select(row, "x.letter", "x.variant", score(prompt, "x.variant").alias("ll"))
+
+
 def best_variant(df: DataFrame, row: str = "row", letter: str = "letter", ll: str = "ll") -> DataFrame:
     """(row, choice): the letter whose best variant has the largest likelihood; the first on a tie, empty if all are -inf."""
     best = df.groupBy(row, letter).agg(F.max(ll).alias("ll"))
@@ -125,11 +237,12 @@ def bootstrap(df: DataFrame, base: str, adapted: str, order: str, samples: int =
     """
     ones = df.select(F.lit(0).alias("_g"), order, (F.col(adapted) - F.col(base)).cast("double").alias("d"), F.lit(1).alias("_one"))
     numbered = running_before(ones, "_g", [order], "_one", "i").select("i", "d")
-    n = numbered.count()
+    n = df.count()
     spark = df.sparkSession
     if not n:
         return spark.createDataFrame([(float("nan"), float("nan"), float("nan"), 1.0)], "delta_mean double, ci_low double, ci_high double, p_value_two_sided double")
     draws = spark.range(samples * n).select((F.col("id") / n).cast("long").alias("b"), F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "id").cast("binary")), 1, 12), 16, 10).cast("long"), F.lit(n)).alias("i"))
+    numbered = materialize(numbered, "bootstrap-rows")
     deltas = draws.join(numbered, "i").groupBy("b").agg((F.sum("d") / n).alias("d"))
     own = deltas.agg(F.sort_array(F.collect_list("d")).alias("s"), F.avg((F.col("d") <= 0).cast("double")).alias("le"), F.avg((F.col("d") >= 0).cast("double")).alias("ge"))
     at = lambda p: F.get("s", F.lit(int(p * (samples - 1))))
@@ -146,4 +259,4 @@ def paired(base: DataFrame, adapted: DataFrame) -> DataFrame:
     """(dataset, idx, base, adapted) of the datasets (dataset, idx, score) that both have, in equal numbers."""
     sizes = base.groupBy("dataset").agg(F.count("*").alias("n")).join(adapted.groupBy("dataset").agg(F.count("*").alias("m")), "dataset").where("n = m").select("dataset")
     both = base.select("dataset", "idx", F.col("score").alias("base")).join(adapted.select("dataset", "idx", F.col("score").alias("adapted")), ["dataset", "idx"])
-    return both.join(F.broadcast(sizes), "dataset", "left_semi")
+    return both.join(sizes, "dataset", "left_semi")

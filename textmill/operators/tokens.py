@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from textmill.functions.text import naive_entities, word_count
 from textmill.operators.budget import running_before
 from textmill.operators.metrics import nearest_rank
+from textmill.plans.shared import materialize
 
 #: make() is called once in each Python worker and returns encode(texts) -> lists of ids.
 Make = Callable[[], Callable[[list[str]], list[list[int]]]]
@@ -29,21 +33,29 @@ def ids_of(text: Column | str, make: Make, most: int | None = None) -> Column:
     return encode(F.col(text) if isinstance(text, str) else text)
 
 
-def tokenizer_file(path: str) -> Make:
-    """Make for a tokenizers JSON file that every executor can open."""
+def tokenizer_file(spark: SparkSession, path: str) -> Make:
+    """Make for a tokenizers JSON file of the driver's, which is sent to the executors with the application."""
+    name = os.path.basename(path)
+    if name not in {os.path.basename(p) for p in spark.sparkContext.listFiles}:
+        spark.sparkContext.addFile(path)
 
     def make():
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
+        own = Tokenizer.from_file(SparkFiles.get(name))
         return lambda texts: [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
 
     return make
 
 
+def word_lengths() -> Callable[[list[str]], list[list[int]]]:
+    """A Make that SQL can repeat: a token for each four characters of a white-space word, its number of characters the id."""
+    return lambda texts: [[len(w[i : i + 4]) for w in t.split() for i in range(0, len(w), 4)] for t in texts]
+
+
 def tokens_per_word(docs: DataFrame, make: Make, by: str, text: str = "text") -> DataFrame:
     """Average, p50 and p90 (nearest rank) of tokens per white-space word, of texts with a word."""
-    n = docs.select(by, word_count(text).alias("w"), F.size(ids_of(text, make)).alias("t")).where("w > 0").withColumn("r", F.col("t") / F.col("w"))
+    n = materialize(docs.select(by, word_count(text).alias("w"), F.size(ids_of(text, make)).alias("t")).where("w > 0").withColumn("r", F.col("t") / F.col("w")), "tokens-per-word")
     return n.groupBy(by).agg(F.avg("r").alias("avg")).join(nearest_rank(n, by, "r", {"p50": 0.5, "p90": 0.9}), by)
 
 
@@ -67,13 +79,37 @@ def id_corpus(docs: DataFrame, make: Make, order: str, byte_cap: int, most: int
     return running_before(sized, "_g", [order], "nbytes", "before").where(F.col("before") < byte_cap).select(order, "line")
 
 
+def two_id_corpora(docs: DataFrame, base: Make, adapted: Make, order: str, byte_cap: int, fallback: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """The id corpora of two tokenizers over the same texts, half of the byte cap each.
+
+    The fallback's texts (order, text) are taken only if the first ones give no line at all.
+    """
+    made = tuple(materialize(id_corpus(docs, make, order, byte_cap // 2, **options), "id-corpus") for make in (base, adapted))
+    if fallback is not None and all(x.isEmpty() for x in made):
+        return two_id_corpora(fallback, base, adapted, order, byte_cap, **options)
+    return made
+
+
 def line_stats(lines: DataFrame, order: str, first: int = 10_000, least: int = 15) -> DataFrame:
     """Number, average, p50 and p90 of the lengths of the first lines with `least` tokens or more."""
     n = lines.select(order, F.size(F.split("line", " ")).alias("n")).where(F.col("n") >= least).orderBy(order).limit(first).select(F.lit(0).alias("_g"), "n")
+    n = materialize(n, "line-lengths")
     stats = n.groupBy("_g").agg(F.count("*").alias("lines"), F.avg("n").alias("avg"))
     return stats.join(nearest_rank(n, "_g", "n", {"p50": 0.5, "p90": 0.9}), "_g").drop("_g")
 
 
+def analysis(docs: DataFrame, terms: DataFrame, base: Make, adapted: Make, order: str) -> DataFrame:
+    """(metric, tokenizer, value): tokens per word, atomic coverage and fragmentation of two tokenizers, one report."""
+    rows = []
+    for name, make in (("base", base), ("adapted", adapted)):
+        own = tokens_per_word(docs.withColumn("_all", F.lit(0)), make, "_all")
+        rows.append(own.select(F.explode(F.create_map(*[x for m in ("avg", "p50", "p90") for x in (F.lit(f"tokens_per_word_{m}"), F.col(m).cast("double"))])).alias("metric", "value"), F.lit(name).alias("tokenizer")))
+        rows.append(atomic_coverage(docs, make, order).select(F.lit("atomic_coverage").alias("metric"), F.col("coverage").alias("value"), F.lit(name).alias("tokenizer")))
+    cut = materialize(fragmentation(terms, base, adapted), "fragmentation")
+    rows += [cut.agg(F.avg(f"{name}_len").alias("value")).select(F.lit("term_tokens").alias("metric"), "value", F.lit(name).alias("tokenizer")) for name in ("base", "adapted")]
+    return functools.reduce(DataFrame.unionByName, rows).select("metric", "tokenizer", "value")
+
+
 def mean_nll(rows: DataFrame, by: str, nll: str = "nll", mask: str = "mask") -> DataFrame:
     """Mean of masked token losses (arrays) by row, an interface for logits that a model elsewhere made."""
     kept = F.filter(F.arrays_zip(nll, mask), lambda x: x[mask] == 1)

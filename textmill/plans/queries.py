@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import prompts
 from textmill.functions import text as T
 from textmill.operators import align, budget, dedup, events, metrics, preflight, terms, tokens
+from textmill.plans.registry import query, table
 from textmill.plans.shared import materialize, shared_path
 from textmill.streaming import incremental
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-TARGET, TOTAL, SEED, SAMPLES, WINDOW_S = 50_000, 600_000, 17, 300, "15 seconds"
+TARGET, TOTAL, SEED, SAMPLES, WINDOW_S = 50_000, 600_000, 17, 1000, "15 seconds"
 SOURCES = [f"src{i}" for i in range(20)]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # SQL of the scalar functions.
 
 
@@ -78,6 +59,11 @@ def hash_3gram(spark, sf_dir):
     return dedup.hashed(table(spark, sf_dir, "documents")).select("doc_id", "h")
 
 
+@query(f"with {hashed_sql('x', docs_sql())} select doc_id, h from x")
+def hash_3gram_native(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.hash_3gram_native(T.norm_text("text")).alias("h"))
+
+
 @query(f"with d as {docs_sql()} select doc_id, chunk_ix, piece from ({pieces_sql(1000)})")
 def chunk_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", T.norm_text("text").alias("whole"))
@@ -90,9 +76,15 @@ def min_len_filter(spark, sf_dir):
 
 
 @query("""select doc_id, case when coalesce(lang, '') <> '' then lang else coalesce(source, '') end as first_field,
-    trim(concat_ws(' ', nullif(lang, ''), nullif(source, ''))) as all_fields from documents""")
+    trim(concat_ws(' ', nullif(lang, ''), nullif(source, ''))) as all_fields,
+    concat_ws(chr(10), nullif(lang, ''), nullif(source, '')) as listed, concat_ws(chr(10), nullif(source, ''), nullif(lang, ''), nullif(source, '')) as structured,
+    concat_ws(chr(10), nullif(lang, ''), nullif(lang, ''), nullif(source, '')) as many from documents""")
 def text_fields(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.coalesce_text("lang", "source").alias("first_field"), T.concat_text("lang", "source").alias("all_fields"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.array("lang", "source").alias("list"))
+    docs = docs.withColumn("one", F.struct("source", "n_chars", F.col("list").alias("own"))).withColumn("many", F.array(F.struct("lang", "n_chars"), F.lit(None).cast("struct<lang:string,n_chars:bigint>"), F.struct("lang", "n_chars")))
+    docs = docs.withColumn("mixed", F.array(F.struct("lang", F.array("lang", "source").alias("own"))))
+    first = T.coalesce_text("lang", "source").alias("first_field")
+    return docs.select("doc_id", first, T.concat_text("lang", "source").alias("all_fields"), T.first_text(docs, "absent", "list").alias("listed"), T.first_text(docs, "one").alias("structured"), T.first_text(docs, "mixed").alias("many"))
 
 
 @query(f"select doc_id, len({words_sql('text')}) as n_words from documents")
@@ -134,26 +126,27 @@ def backfill_hashes(spark, sf_dir):
 
 MINHASH = """
     w as (select doc_id, list_distinct({words}) as w from documents),
-    s as (select doc_id, w, [{mins}] as s from w where len(w) > 0),
+    v as (select doc_id, w, list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 8))::bigint) as v from w where len(w) > 0),
+    s as (select doc_id, w, [{mins}] as s from v),
     b as (select doc_id, unnest([{bands}], recursive := true) from s),
     f as (select band, key, min(doc_id) as first from b group by band, key),
     c as (select distinct first, doc_id as other from b join f using (band, key) where doc_id > first)"""
 MINHASH = MINHASH.format(
     words=words_sql("lower(text)"),
-    mins=", ".join(f"list_min(list_transform(w, lambda v: ('0x' || substr(md5('{i}:' || v), 1, 15))::bigint))" for i in range(6)),
-    bands=", ".join(f"{{'band': {b}, 'key': concat_ws('-', s[{2 * b + 1}], s[{2 * b + 2}])}}" for b in range(3)),
+    mins=", ".join(f"list_min(list_transform(v, lambda x: ({a} * x + {b}) % {dedup.PRIME}))" for a, b in dedup.permutations(63)),
+    bands=", ".join("{'band': %d, 'key': concat_ws('-', %s)}" % (b, ", ".join(f"s[{21 * b + r + 1}]" for r in range(21))) for b in range(3)),
 )
 
 
 @query(f"with {MINHASH} select first, other from c")
 def minhash_candidates(spark, sf_dir):
-    return dedup.near_candidates(table(spark, sf_dir, "documents"))
+    return dedup.near_candidates(table(spark, sf_dir, "documents"), bands=3, rows=21)
 
 
 @query(f"with {MINHASH} select first, other, round(len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), 9) as similarity from c join w x on x.doc_id = first join w y on y.doc_id = other")
 def jaccard_verify(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    pairs = materialize(dedup.near_candidates(docs), "near-pairs")
+    pairs = materialize(dedup.near_candidates(docs, bands=3, rows=21), "near-pairs")
     return dedup.jaccard(pairs, docs).withColumn("similarity", F.round("similarity", 9))
 
 
@@ -205,28 +198,62 @@ def corpus_summary(spark, sf_dir):
     return budget.summary(budget.within_budget(_sized(spark, sf_dir), _targets(spark).drop("ord"), ["doc_id"]))
 
 
-def _build_sql() -> str:
-    o = budget.Build()
+HAVE = {"src1": 100_000, "src3": 500_000}
+
+
+def _build_sql(total: int | None = None, have: dict[str, int] | None = None) -> str:
+    """CTEs k0, k1, ... of the rows that each source keeps, and their union `built`."""
+    o, have = budget.Build(), have or {}
     parts = [f"d as {docs_sql()}", f"p as (select source, doc_id, chunk_ix, piece, piece as whole from ({pieces_sql(o.most_chars, '(select source, doc_id, whole from d)')}) where length(piece) >= {o.least_chars})", hashed_sql("q", "p"), hashed_sql("b", docs_sql(tab="benchmark"))]
     parts.append(f"a as materialized (select source, doc_id, chunk_ix, h, {NBYTES} as nbytes from q where h not in (select h from b))")
     parts.append("u as materialized (select *, row_number() over (partition by source, h order by doc_id, chunk_ix) as n from a)")
     for i, source in enumerate(SOURCES):
         block = "".join(f" and h not in (select h from k{j})" for j in range(i))
-        parts.append(f"k{i} as materialized (select * from (select *, coalesce(sum(nbytes) over (order by doc_id, chunk_ix rows between unbounded preceding and 1 preceding), 0) as before from u where n = 1 and source = '{source}'{block}) where before < {o.target_bytes})")
-    every = " union all ".join(f"select * from k{i}" for i in range(len(SOURCES)))
-    return f"with {', '.join(parts)} select source, count(distinct doc_id) as docs, count(*) as kept, sum(nbytes)::bigint as bytes from ({every}) group by source"
+        most = str(max(0, o.target_bytes - have.get(source, 0)))
+        if total is not None:
+            earlier = "".join(f" - coalesce((select sum(nbytes) from k{j}), 0)" for j in range(i))
+            most = f"least({most}, greatest(0, {total - sum(have.values())}{earlier}))"
+        parts.append(f"k{i} as materialized (select * from (select *, coalesce(sum(nbytes) over (order by doc_id, chunk_ix rows between unbounded preceding and 1 preceding), 0) as before from u where n = 1 and source = '{source}'{block}) where before < {most})")
+        parts.append(f"l{i} as (select '{source}' as source, {most} as most)")
+    every = lambda k, what: " union all ".join(f"select {what} from {k}{i}" for i in range(len(SOURCES)))
+    return f"{', '.join(parts)}, built as materialized ({every('k', 'source, doc_id, chunk_ix, h, nbytes')}), limits as ({every('l', 'source, most')})"
+
+
+def _built(spark, sf_dir, options=budget.Build(), existing=None):
+    sources = _targets(spark, options.target_bytes)
+    docs = table(spark, sf_dir, "documents")
+    return docs, sources, budget.build_corpus(docs, table(spark, sf_dir, "benchmark"), sources, options, existing)
 
 
-@query(_build_sql())
+@query(f"with {_build_sql()} select source, doc_id as doc_ord, chunk_ix, h, nbytes::bigint as nbytes from built")
 def corpus_build(spark, sf_dir):
-    sources = _targets(spark, budget.Build().target_bytes)
-    built = budget.build_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), sources)
-    return built.groupBy("source").agg(F.countDistinct("doc_ord").alias("docs"), F.count("*").alias("kept"), F.sum("nbytes").alias("bytes"))
+    return _built(spark, sf_dir)[2].select("source", "doc_ord", "chunk_ix", "h", "nbytes")
+
+
+@query(f"with {_build_sql(2_000_000, HAVE)} select source, doc_id as doc_ord, chunk_ix, h from built")
+def corpus_build_resumed(spark, sf_dir):
+    """With a cap on all sources together and bytes that earlier runs wrote."""
+    existing = spark.createDataFrame(list(HAVE.items()), "source string, bytes long")
+    return _built(spark, sf_dir, budget.Build(total_bytes=2_000_000), existing)[2].select("source", "doc_ord", "chunk_ix", "h")
+
+
+@query(f"""with {_build_sql(2_000_000, HAVE)}, t as (select l.source, most, count(h) as kept, coalesce(sum(nbytes), 0)::bigint as bytes, max(doc_id) as last from limits l left join built b using (source) group by l.source, most)
+    select t.source, (select count(*) from documents d where d.source = t.source and most > 0 and (bytes < most or d.doc_id <= last)) as seen, kept, bytes, (bytes + case t.source when 'src1' then 100000 when 'src3' then 500000 else 0 end)::bigint as total_bytes from t""")
+def corpus_build_counts(spark, sf_dir):
+    options, existing = budget.Build(total_bytes=2_000_000), spark.createDataFrame(list(HAVE.items()), "source string, bytes long")
+    docs, sources, built = _built(spark, sf_dir, options, existing)
+    return budget.build_summary(docs, built, sources, options, existing)
 
 
 @query()
+def corpus_build_near_dup(spark, sf_dir):
+    """With near duplicates dropped."""
+    return _built(spark, sf_dir, budget.Build(near_dup=True))[2].select("source", "doc_ord", "chunk_ix", "h")
+
+
+@query("""select * from (values ('documents', 'parquet', true, 'ok', 'text'), ('pages', 'parquet', true, 'ok', 'html'), ('benchmark', 'parquet', true, 'ok', 'text'), ('region', 'parquet', false, 'no requested column', '')) t(source, split, ok, reason, fields_present)""")
 def preflight_report(spark, sf_dir):
-    specs = [{"name": n, "paths": [f"{sf_dir}/{n}.parquet"], "text_fields": ["text", "html"]} for n in ("documents", "pages", "benchmark")]
+    specs = [{"name": n, "paths": [f"{sf_dir}/{n}.parquet"], "text_fields": ["text", "html"]} for n in ("documents", "pages", "benchmark", "region")]
     return preflight.check_sources(spark, specs).withColumn("fields_present", F.concat_ws(",", "fields_present"))
 
 
@@ -300,43 +327,30 @@ def accuracy_by_dataset(spark, sf_dir):
     return metrics.accuracy(_predicted(spark, sf_dir), "dataset").withColumn("accuracy", F.round("accuracy", 9))
 
 
-ENT = f"regexp_extract_all({{}}, '{T.ENTITY}')"
-SPANS = f"""s as (select list_distinct(list_transform({ENT.format('substring(text, 1, 300)')}, lambda x: lower(x))) as p, list_distinct(list_transform({ENT.format('substring(text, 101, 300)')}, lambda x: lower(x))) as g from documents),
+HALVES = "hv as (select text[1:ceil(length(text) / 2)::int] as a, text[ceil(length(text) / 2)::int + 1:] as b from documents)"
+ENT = lambda x: f"list_distinct(list_transform(regexp_extract_all({x}, '{T.ENTITY}'), lambda x: regexp_replace(lower(x), '{T.WS}+', ' ', 'g')))"
+SPANS = f"""{HALVES}, s as (select {ENT('a')} as p, {ENT('b')} as g from hv),
     n as (select len(list_intersect(p, g)) as tp, len(p) - len(list_intersect(p, g)) as fp, len(g) - len(list_intersect(p, g)) as fn from s),
     m as (select sum(tp) / sum(tp + fp) as p, sum(tp) / sum(tp + fn) as r, avg(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 1.0 end) as macro from n)"""
 
 
-@query(f"with {SPANS} select round(p, 9) as micro_p, round(r, 9) as micro_r, round(2 * p * r / (p + r), 9) as micro_f1, round(macro, 9) as macro_f1 from m")
-def ner_span_f1(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select(*[T.naive_entities(F.substring("text", start, 300)).alias(name) for name, start in (("pred", 1), ("gold", 101))])
-    s = metrics.span_scores(own)
-    return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
-
-
-TERMSETS = f"s as (select list_distinct(regexp_extract_all(text[1:400], '{T.TERM}')) as p, list_distinct(regexp_extract_all(text[201:600], '{T.TERM}')) as g from documents)"
-
-
-@query(f"with {TERMSETS}, n as (select sum(len(list_intersect(p, g))) as tp, sum(len(p)) as np, sum(len(g)) as ng from s), m as (select tp / np as p, tp / ng as r from n) select round(p, 9) as precision, round(r, 9) as recall, round(2 * p * r / (p + r), 9) as f1 from m")
-def term_prf(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select(T.terms(F.substring("text", 1, 400)).alias("p"), T.terms(F.substring("text", 201, 400)).alias("r"))
-    s = metrics.set_scores(own, "p", "r")
-    return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
-
-
 def _halves(spark, sf_dir):
     """The first and the second half of each whole text."""
     half = F.ceil(F.length("text") / 2).cast("int")
     return table(spark, sf_dir, "documents").select(F.substr("text", F.lit(1), half).alias("a"), F.substr("text", half + 1).alias("b"))
 
 
-@query()
-def ner_span_f1_whole(spark, sf_dir):
+@query(f"with {SPANS} select round(p, 9) as micro_p, round(r, 9) as micro_r, round(2 * p * r / (p + r), 9) as micro_f1, round(macro, 9) as macro_f1 from m")
+def ner_span_f1(spark, sf_dir):
     s = metrics.span_scores(_halves(spark, sf_dir).select(T.naive_entities("a").alias("pred"), T.naive_entities("b").alias("gold")))
     return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
 
 
-@query()
-def term_prf_whole(spark, sf_dir):
+TERMSETS = f"{HALVES}, s as (select list_distinct(list_filter(regexp_extract_all(a, '{T.TERM}'), lambda t: length(t) <= 64)) as p, list_distinct(list_filter(regexp_extract_all(b, '{T.TERM}'), lambda t: length(t) <= 64)) as g from hv)"
+
+
+@query(f"with {TERMSETS}, n as (select sum(len(list_intersect(p, g))) as tp, sum(len(p)) as np, sum(len(g)) as ng from s), m as (select tp / np as p, tp / ng as r from n) select round(p, 9) as precision, round(r, 9) as recall, round(2 * p * r / (p + r), 9) as f1 from m")
+def term_prf(spark, sf_dir):
     s = metrics.set_scores(_halves(spark, sf_dir).select(T.terms("a").alias("p"), T.terms("b").alias("r")), "p", "r")
     return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
 
@@ -378,18 +392,49 @@ def nearest_rank_pct(spark, sf_dir):
     return metrics.nearest_rank(table(spark, sf_dir, "documents"), "lang", "n_chars", {"p50": 0.5, "p90": 0.9})
 
 
-@query(f"with {TOKENS}, m as (select conv_id, list_extract(array_agg(w order by turn), 1) as p, list_extract(array_agg(w order by turn), 2) as r from w group by conv_id having count(*) > 1), t as (select p, r, unnest(list_distinct(p)) as v from m), h as (select sum(least(len(list_filter(p, lambda x: x = v)), len(list_filter(r, lambda x: x = v)))) as hit from t), n as (select sum(len(p)) as c, sum(len(r)) as q from m) select round(case when c >= q then 1 else exp(1 - q / c) end * hit / c, 9) as bleu_1 from h, n")
+TURNS = "m as (select a.text as p, b.text as r from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1)"
+
+
+def _turns(spark, sf_dir):
+    """Each turn beside the one that follows it."""
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.col("text").alias("p")).join(rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("r")), ["conv_id", "turn"]).select("p", "r")
+
+
+@query(f"with {TURNS}, w as (select row_number() over () as i, {words_sql('lower(p)')} as p, {words_sql('lower(r)')} as r from m), t as (select i, unnest(p) as v from w), u as (select i, unnest(r) as v from w), pc as (select i, v, count(*) as n from t group by all), rc as (select i, v, count(*) as n from u group by all), h as (select sum(least(pc.n, rc.n)) as hit from pc join rc using (i, v)), n as (select sum(len(p)) as c, sum(len(r)) as q from w) select round(100 * case when c >= q then 1 else exp(1 - q / c) end * hit / c, 7) as bleu_1 from h, n")
 def token_bleu_1(spark, sf_dir):
-    own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).where(F.size("t") > 1)
-    own = own.select(T.words(F.lower(F.get("t", F.lit(0))["text"])).alias("p"), T.words(F.lower(F.get("t", F.lit(1))["text"])).alias("r"))
-    return metrics.bleu_1(own, "p", "r").select(F.round("bleu_1", 9).alias("bleu_1"))
+    own = _turns(spark, sf_dir).select(T.words(F.lower("p")).alias("p"), T.words(F.lower("r")).alias("r"))
+    return metrics.bleu_1(own, "p", "r").select(F.round("bleu_1", 7).alias("bleu_1"))
+
+
+def _tokens_13a_sql(x: str) -> str:
+    out = f"trim({x})"
+    for a, b in [("'<skipped>'", "''"), ("'-' || chr(10)", "''"), ("chr(10)", "' '"), *[(f"'{a}'", f"'{b}'") for a, b in metrics.ENTITIES_13A]]:
+        out = f"replace({out}, {a}, {b})"
+    out = f"' ' || {out} || ' '"
+    for pattern, put in metrics.TOKENS_13A:
+        out = f"regexp_replace({out}, '{pattern}', '{put.replace('$', chr(92))}', 'g')"
+    return f"list_filter(regexp_split_to_array({out}, '[\\x09-\\x0D\\x1C-\\x20]+'), lambda v: v <> '')"
+
+
+BLEU = f"""{TURNS}, w as (select row_number() over () as i, {_tokens_13a_sql('p')} as p, {_tokens_13a_sql('r')} as r from m),
+    gp as (select i, n, array_to_string(p[k:k + n - 1], ' ') as g from w, (select unnest(range(1, 5)) as n), lateral (select unnest(range(1, len(p) - n + 2)) as k)),
+    gr as (select i, n, array_to_string(r[k:k + n - 1], ' ') as g from w, (select unnest(range(1, 5)) as n), lateral (select unnest(range(1, len(r) - n + 2)) as k)),
+    cp as (select i, n, g, count(*) as c from gp group by all), cr as (select i, n, g, count(*) as c from gr group by all),
+    h as (select n, sum(cp.c) as total, sum(least(cp.c, coalesce(cr.c, 0))) as hit from cp left join cr using (i, n, g) group by n),
+    z as (select *, sum((hit = 0)::int) over (order by n) as misses from h),
+    l as (select sum(ln(case when hit > 0 then hit / total else 1 / (2 ^ misses * total) end)) as logs, max(hit) filter (where n = 1) as first, max(total) filter (where n = 4) as last from z),
+    n as (select sum(len(p)) as c, sum(len(r)) as q from w)"""
+
+
+@query(f"with {BLEU} select round(case when first > 0 and last > 0 then 100 * case when c >= q then 1.0 else exp(1 - q / c) end * exp(logs / 4) else 0.0 end, 6) as bleu from l, n")
+def corpus_bleu(spark, sf_dir):
+    return metrics.bleu(_turns(spark, sf_dir), "p", "r").select(F.round("bleu", 6).alias("bleu"))
 
 
 @query()
-def bleu_rouge(spark, sf_dir):
-    own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).where(F.size("t") > 1)
-    own = own.select(F.get("t", F.lit(0))["text"].alias("p"), F.get("t", F.lit(1))["text"].alias("r"))
-    return metrics.bleu(own, "p", "r").crossJoin(metrics.rouge_l(own, "p", "r"))  # one row each
+def rouge_l(spark, sf_dir):
+    return metrics.rouge_l(_turns(spark, sf_dir), "p", "r")
 
 
 @query("select role, count(*) as n, count(*) filter (where nullif(upper(regexp_extract(text, '(?i)\\b([ABCD])\\b', 1)), '') is not null) as parsed from conversations group by role")
@@ -398,10 +443,13 @@ def parse_coverage(spark, sf_dir):
     return rows.groupBy("role").agg(F.count("*").alias("n"), F.count(F.when(F.col("letter") != "", 1)).alias("parsed"))
 
 
-@query("select event_type, count(*) filter (where regexp_matches(lower(event_type || ' ' || props), 'timed out|retrying|rate limit|error')) as hits from events group by event_type")
+LOGGED = "case when event_id % 7 = 0 then 'HTTP 503 Service Unavailable' when event_id % 11 = 0 then 'CUDA out of memory' when event_id % 13 = 0 then 'Retrying: ModuleNotFoundError' else props end"
+
+
+@query(f"with l as (select event_type, lower({LOGGED}) as line from events) select event_type, count(*) filter (where regexp_matches(line, '{'|'.join(T.TRANSIENT)}')) as transient, count(*) filter (where regexp_matches(line, '{'|'.join(T.FATAL)}')) as fatal from l group by event_type")
 def log_classification(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("line", F.concat_ws(" ", "event_type", "props"))
-    return rows.groupBy("event_type").agg(F.count(F.when(T.contains_any("line", ["timed out", "retrying", "rate limit", "error"]), 1)).alias("hits"))
+    rows = table(spark, sf_dir, "events").withColumn("line", F.expr(LOGGED))
+    return rows.groupBy("event_type").agg(F.count(F.when(T.contains_any("line", T.TRANSIENT), 1)).alias("transient"), F.count(F.when(T.contains_any("line", T.FATAL), 1)).alias("fatal"))
 
 
 # Vectors
@@ -434,12 +482,9 @@ PIVOTS = "p as (select (row_number() over (order by h, vec_id) - 1)::int as pivo
 
 @query(f"with {UNIT}, {PIVOTS} select vec_id, pivot_ix, round(list_inner_product(unit, pv), 5) as sim from u, p")
 def relative_rep(spark, sf_dir):
-    from pyspark.sql import Window
-
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    picked = align.pick_pivots(vectors, 16)
-    order = Window.orderBy(F.md5(F.concat_ws(":", F.lit(0), "id").cast("binary")), "id")
-    pivots = picked.select((F.row_number().over(order) - 1).alias("pivot_ix"), "vec")
+    picked = align.pick_pivots(vectors, 16).agg(F.sort_array(F.collect_list(F.struct(F.md5(F.concat_ws(":", F.lit(0), "id").cast("binary")), "id", "vec"))).alias("p"))  # sixteen
+    pivots = picked.select(F.posexplode(F.transform("p", lambda x: x["vec"])).alias("pivot_ix", "vec"))
     rel = align.relative(vectors, pivots)
     return rel.select(F.col("id").alias("vec_id"), F.posexplode("rel").alias("pivot_ix", "sim")).withColumn("sim", F.round("sim", 5))
 
@@ -466,23 +511,17 @@ def align_margin_stats(spark, sf_dir):
     return s.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p90")])
 
 
-@query("""with m as (select vec_id as tgt_id, case when label = 0 then null else label::bigint end as src_id from embeddings), q as (select tgt_id, case when src_id is not null then src_id else ('0x' || substr(md5('0:' || tgt_id), 1, 8))::bigint % (select count(*) from embeddings) end as src_id, case when src_id is not null then 'gold' else 'random' end as method from m) select tgt_id, src_id, method from q""")
+@query(f"""with {TOP2}, ids as (select vec_id as id from embeddings union all select -1 - page_id from pages),
+    g as (select ids.id, case when label <> 0 then label::bigint end as gold, vec_id is not null as known from ids left join embeddings on vec_id = ids.id)
+    select g.id as tgt_id, case when gold is not null then gold when not known then ('0x' || substr(md5('0:' || g.id), 1, 8))::bigint % (select count(*) from embeddings) when best_id = 0 then second_id else best_id end as src_id,
+    case when gold is not null then 'gold' when not known then 'random' else 'query' end as method, case when gold is null and known then round(best_sim - second_sim, 6) end as margin from g left join t2 on t2.id = g.id""")
 def align_cascade(spark, sf_dir):
-    """Gold where a label is known, hash-drawn where there is no vector; all targets here are one or the other."""
+    """Gold where a label is known, hash-drawn for ids without a vector (made of the pages' ids), else the best or, behind the unknown id 0, second best inner product."""
     rows = table(spark, sf_dir, "embeddings")
     gold = rows.where("label <> 0").select(F.col("vec_id").alias("tgt_id"), F.col("label").cast("long").alias("src_id"))
-    source = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return align.align(rows.select(F.col("vec_id").alias("id")), gold, source.limit(0), source, rows.count()).select("tgt_id", "src_id", "method")
-
-
-@query()
-def align_cascade_vectors(spark, sf_dir):
-    """All tiers: gold where a label is known, hash-drawn for ids without a vector (made of the pages' ids), else the best or, behind the unknown id 0, second best inner product."""
-    rows = table(spark, sf_dir, "embeddings")
-    gold = rows.where("label <> 0").select(F.col("vec_id").alias("tgt_id"), F.col("label").cast("long").alias("src_id"))
-    vectors = materialize(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "cascade-vectors")
+    vectors = materialize(align.with_unit(rows, "embedding").select(F.col("vec_id").alias("id"), F.col("unit").alias("vec")), "cascade-vectors")
     bare = table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("id"))
-    return align.align(vectors.select("id").union(bare), gold, vectors, vectors, rows.count(), unknown=0).withColumn("margin", F.round("margin", 9))
+    return align.align(vectors.select("id").union(bare), gold, vectors, vectors, rows.count(), unknown=0).withColumn("margin", F.round("margin", 6))
 
 
 @query("select a.vec_id as tgt_id, b.vec_id as src_id, round(b.embedding[1]::double, 6) as v0 from embeddings a join embeddings b on b.vec_id = a.label")
@@ -510,13 +549,6 @@ def bootstrap_diff(spark, sf_dir):
     return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
 
 
-@query()
-def bootstrap_diff_1000(spark, sf_dir):
-    """With the reference's number of resamples."""
-    s = metrics.bootstrap(table(spark, sf_dir, "labels"), "quality", "toxic", "doc_id", 1000, SEED)
-    return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
-
-
 @query(f"with {PREDICTED}, n as (select dataset as metric, avg((pred = label)::int) as value from p group by dataset), o as (select dataset as metric, avg(quality) as baseline from p group by dataset) select metric, round(value, 9) as value, round(baseline, 9) as baseline, round(value - baseline, 9) as delta from n join o using (metric)")
 def baseline_delta(spark, sf_dir):
     p = _predicted(spark, sf_dir)
@@ -528,24 +560,27 @@ def baseline_delta(spark, sf_dir):
 # Prompts
 
 EXAM_SQL = "'You are a medical exam assistant. Choose A, B, C, or D and justify briefly.' || chr(10) || 'Question: ' || p_name || chr(10) || 'A) ' || p_brand || chr(10) || 'B) ' || p_type || chr(10) || 'C) ' || p_name || chr(10) || 'D) ' || p_size || chr(10) || 'Answer (just the letter): '"
-INDEX_SQL = "case when p_size in (0, 1, 2, 3) then 'ABCD'[p_size + 1] when p_size = 4 then 'D' else {} end"
+#: Letters, indexes, an option's text with other spacing and case, and nothing known.
+ANSWER_SQL = "case p_partkey % 5 when 0 then ' c' when 1 then p_size::varchar when 2 then '  ' || lower(p_type) || '. ' when 3 then 'D' else 'none' end"
+INDEX_SQL = "case when {a} in ('A', 'B', 'C', 'D') then {a} when {a} in ('0', '1', '2', '3') then 'ABCD'[{a}::int + 1] when {a} = '4' then 'D' else {{}} end".format(a=f"upper(trim({ANSWER_SQL}))")
 
 
 def _part(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("question"), F.col("p_brand").alias("option_a"), F.col("p_type").alias("option_b"), F.col("p_name").alias("option_c"), F.col("p_size").cast("string").alias("option_d"), F.col("p_size").alias("answer"), F.col("p_type").alias("subject"))
+    answer = F.expr("case p_partkey % 5 when 0 then ' c' when 1 then cast(p_size as string) when 2 then '  ' || lower(p_type) || '. ' when 3 then 'D' else 'none' end")
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("question"), F.col("p_brand").alias("option_a"), F.col("p_type").alias("option_b"), F.col("p_name").alias("option_c"), F.col("p_size").cast("string").alias("option_d"), answer.alias("answer"), F.col("p_type").alias("subject"))
 
 
-@query(f"select p_partkey, {EXAM_SQL} as prompt, {INDEX_SQL.format(chr(39) + 'D' + chr(39))} as gold from part")
+@query(f"select p_partkey, {EXAM_SQL} as prompt, {INDEX_SQL.format('case when p_partkey % 5 = 2 then ' + chr(39) + 'B' + chr(39) + ' when p_partkey % 5 = 1 then case when p_size::varchar = p_type then ' + chr(39) + 'B' + chr(39) + ' else ' + chr(39) + 'D' + chr(39) + ' end else ' + chr(39) * 2 + ' end')} as gold from part")
 def mcq_prompt(spark, sf_dir):
     return prompts.medqa(_part(spark, sf_dir)).select("p_partkey", "prompt", "gold")
 
 
-@query(f"select p_partkey, {EXAM_SQL} as prompt, {INDEX_SQL.format(chr(39) + chr(39))} as gold from part")
+@query(f"select p_partkey, {EXAM_SQL} as prompt, {INDEX_SQL.format(chr(39) * 2)} as gold from part")
 def medmcqa_prompt(spark, sf_dir):
     return prompts.medmcqa(_part(spark, sf_dir)).select("p_partkey", "prompt", "gold")
 
 
-@query(f"select p_partkey, {EXAM_SQL} as prompt, {INDEX_SQL.format(chr(39) + chr(39))} as gold from part")
+@query(f"select p_partkey, {EXAM_SQL} as prompt, {INDEX_SQL.format(chr(39) * 2)} as gold from part")
 def mmlu_prompt(spark, sf_dir):
     rows = _part(spark, sf_dir).withColumn("choices", F.array("option_a", "option_b", "option_c", "option_d"))
     return prompts.mmlu(rows).select("p_partkey", "prompt", "gold")
@@ -556,9 +591,10 @@ def mmlu_subject_filter(spark, sf_dir):
     return prompts.subjects(_part(spark, sf_dir), ["Economy", "SMALL"]).select("p_partkey", "subject")
 
 
-@query("select item_id, 'You are a medical QA assistant. Answer yes/no/maybe.' || chr(10) || 'Context:' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || '' || chr(10) || 'Answer: ' as prompt from benchmark")
+@query("select item_id, 'You are a medical QA assistant. Answer yes/no/maybe.' || chr(10) || 'Context:' || chr(10) || text || chr(10) || chr(10) || 'Question: item ' || item_id || chr(10) || 'Answer: ' as prompt, case item_id % 3 when 0 then 'yes' when 1 then 'no' else '' end as gold from benchmark")
 def pubmedqa_prompt(spark, sf_dir):
-    return prompts.pubmedqa(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "context")).select("item_id", "prompt")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("context"), F.concat(F.lit("item "), "item_id").alias("question"), F.expr("case item_id % 3 when 0 then ' Yes' when 1 then '' end").alias("final_decision"), F.expr("case when item_id % 3 = 1 then 'NO ' end").alias("answer"))
+    return prompts.pubmedqa(rows).select("item_id", "prompt", "gold")
 
 
 @query("select conv_id, turn, 'You are a clinical NLI assistant. Predict entailment, contradiction, or neutral.' || chr(10) || 'Premise: ' || text || chr(10) || 'Hypothesis: ' || role || chr(10) || 'Label: ' as prompt, role as gold from conversations")
@@ -575,31 +611,10 @@ def ner_prompt(spark, sf_dir):
 # Tokens
 
 
-def _tokenizer(name: str = "byte_bpe_50k.json"):
+def _tokenizer(spark, name: str = "byte_bpe_50k.json"):
     import public_tokenizers
 
-    return tokens.tokenizer_file(public_tokenizers.path(name))
-
-
-@query()
-def tokens_per_word(spark, sf_dir):
-    return tokens.tokens_per_word(table(spark, sf_dir, "documents"), _tokenizer(), "lang")
-
-
-@query()
-def fragmentation_delta(spark, sf_dir):
-    some = terms.select_terms(table(spark, sf_dir, "documents"), 200).select("term")
-    return tokens.fragmentation(some, _tokenizer(), _tokenizer("word_bpe_49k.json"))
-
-
-@query()
-def entity_atomic_coverage(spark, sf_dir):
-    return tokens.atomic_coverage(table(spark, sf_dir, "documents"), _tokenizer(), "doc_id")
-
-
-@query()
-def id_corpus(spark, sf_dir):
-    return tokens.id_corpus(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text"), _tokenizer(), "ord", 4 << 30)
+    return tokens.tokenizer_file(spark, public_tokenizers.path(name))
 
 
 # Events
@@ -649,9 +664,13 @@ def stream_tumbling(spark, sf_dir):
     return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
-@query(f"with {hashed_sql('x', docs_sql())} select count(*) as n, count(distinct h) as hashes from (select h from x group by h)")
+@query(f"with {hashed_sql('x', docs_sql())} select doc_id, h from (select *, row_number() over (partition by h order by doc_id % 5, doc_id) as n from x) where n = 1")
 def stream_dedup(spark, sf_dir):
+    """Five batches, one file each: every batch meets the hashes that the ones before it stored."""
     out = shared_path(spark, "stream-dedup")
-    stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parquet*")
+    docs = table(spark, sf_dir, "documents")
+    for i in range(5):  # files come in the order of their times
+        docs.where(F.col("doc_id") % 5 == i).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
     incremental.dedup_into(stream, f"{out}/store", f"{out}/rows", f"{out}/state", "doc_id").awaitTermination()
-    return spark.read.parquet(f"{out}/rows").agg(F.count("*").alias("n"), F.countDistinct("h").alias("hashes"))
+    return spark.read.parquet(f"{out}/rows").select("doc_id", "h")

@@ -50,6 +50,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(at)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes tables that materialize() made and that no plan still to be run reads."""
     for table in tables:

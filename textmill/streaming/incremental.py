@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from textmill.operators.budget import Build, pieces
 from textmill.operators.dedup import first_of_each, hashed, without
+from textmill.plans.shared import exists
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, ts: str = "ts", late: str = "1 minute") -> DataFrame:
@@ -32,13 +34,23 @@ def dedup_into(stream: DataFrame, store: str, out: str, checkpoint: str, order:
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            seen = spark.read.schema("h string, batch long").parquet(store).where(F.col("batch") != number)
-        except Exception:  # noqa: BLE001  no store yet
-            seen = spark.createDataFrame([], "h string, batch long")
+        seen = spark.read.schema("h string, batch long").parquet(store).where(F.col("batch") != number) if exists(spark, store) else spark.createDataFrame([], "h string, batch long")
         new = without(first_of_each(hashed(batch, text), "h", order), seen).withColumn("batch", F.lit(number).cast("long"))
         new.drop("batch").write.mode("overwrite").parquet(f"{out}/batch={number}")
         done = spark.read.parquet(f"{out}/batch={number}")
         done.select("h").write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_events(events: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery | None:
+    """Appends events as JSON lines; a stream goes on where its checkpoint ended."""
+    if not events.isStreaming:
+        events.write.mode("append").json(path)
+        return None
+    return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def resumable_pieces(stream: DataFrame, options: Build, out: str, checkpoint: str) -> StreamingQuery:
+    """Appends the pieces of documents as their files come; a run that is started again takes only new files."""
+    return pieces(stream, options).select("source", "doc_ord", "chunk_ix", "text", "h", "nbytes").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
