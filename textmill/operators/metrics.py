@@ -128,9 +128,15 @@ STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ic
 STEP_4 = [(s, "") for s in "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()]
 
 
+# Words whose stems follow no rule.
+IRREGULAR = {"skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning"} | {w: w for w in ("sky", "news", "howe", "proceed", "exceed", "succeed")}
+
+
 @functools.lru_cache(100_000)
 def stem(word: str) -> str:
-    """The Porter stem of a lower-case word."""
+    """The Porter stem of a lower-case word, with the usual extensions for short words in -ie and irregular ones."""
+    if word in IRREGULAR:
+        return IRREGULAR[word]
 
     def shape(w: str) -> str:
         out = ""
@@ -153,7 +159,9 @@ def stem(word: str) -> str:
         return w
     if w.endswith("s"):
         w = w[:-2] if w.endswith(("sses", "ies")) and not (w.endswith("ies") and len(w) == 4) else w[:-1] if w.endswith("ies") or not w.endswith("ss") else w
-    if w.endswith("eed"):
+    if w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
         w = w[:-1] if measure(w[:-3]) > 0 else w
     elif (end := "ed" if w.endswith("ed") else "ing" if w.endswith("ing") else "") and "v" in shape(w[: -len(end)]):
         w = w[: -len(end)]
