@@ -27,10 +27,9 @@ from textmill.llm.common import discard, held, local_file, map_arrow, materializ
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers, twice: when so many are known, those not met since the last time are forgotten. Results don't depend on it.
-WORDS = 300_000
-#: Letters with one closing mark or none; marks by themselves.
-SIMPLE = re.compile(r"([A-Za-z]+)([.,!?;:]?)").fullmatch
-MARKS = ("", ".", ",", "!", "?", ";", ":")
+WORDS = 700_000
+#: Letters that are one character in each case, with closing marks or none; the tokenizer keeps the marks as one piece of their own. No apostrophe: it may open a contraction.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-Þà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -38,7 +37,7 @@ class WordIds:
     """Ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizer whose tokens never cross ' ' or a line feed.
 
     The tokenizer lower-cases, and keeps letters apart from the marks behind them, so a word with
-    capitals or a closing mark is put together from words that are known already.
+    capitals or closing marks is put together from words and marks that are known already.
     """
 
     def __init__(self, path: str, words: int = WORDS) -> None:
@@ -60,7 +59,7 @@ class WordIds:
         words = [w for w in words if not (w.isalpha() and w == w.lower())]
         for i in range(0, len(joint), 4096):
             some = joint[i : i + 4096]
-            ids = array("I", self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids).tobytes()
+            ids = array("I", self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids).tobytes()
             ends = 4 * (np.flatnonzero(self.closes[np.frombuffer(ids, "<u4")]) + 1)
             if len(ends) != len(some):
                 words += some
@@ -79,7 +78,7 @@ class WordIds:
         if len(self.known) > self.words:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        plain, joint = set(MARKS), {}
+        plain, joint = {""}, {}
         for word in set().union(*parts).difference(known):
             if word in older:
                 known[word] = older[word]
@@ -87,6 +86,7 @@ class WordIds:
                 core = m[1].lower()
                 joint[word] = (core, m[2])
                 plain.add(core)
+                plain.add(m[2])
             else:
                 plain.add(word)
         new = []
