@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from textmill.llm.common import discard, held, local_file, map_arrow, materialize, shipped_file, steps
 
 CAPACITY = 2048
-#: Words whose ids a Python worker remembers, twice: when so many are known, those not met since the last time are forgotten. Results don't depend on it.
-WORDS = 700_000
+#: Words whose ids a Python worker remembers; when so many are known, the plain ones are kept until the next time, and of them those not met by then are forgotten. Results don't depend on it.
+WORDS = 450_000
 #: Letters that are one character in each case, with closing marks or none; the tokenizer keeps the marks as one piece of their own. No apostrophe: it may open a contraction.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-Þà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -75,8 +75,8 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.known) > self.words:
-            self.known, self.older = {}, self.known
+        if len(self.known) > self.words:  # what is put together from others needs no memory
+            self.known, self.older = {}, {w: ids for w, ids in self.known.items() if w.isalpha() and w.islower()}
         known, older = self.known, self.older
         plain, joint = {""}, {}
         for word in set().union(*parts).difference(known):
