@@ -48,16 +48,25 @@ def word_array(text: Column) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """How many words stand in 3-word windows that occur twice or more."""
+    """How many words stand in 3-word windows that occur twice or more.
+
+    Only windows whose 64-bit hash occurs twice are compared as words; most texts have none.
+    """
 
     def count(w: Column) -> Column:
+        hashed = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
         window = lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("k"), i.alias("i"))
-        return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), window)), places))
+        alike = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("k"), i.alias("i"))))
+        same = lambda h: let(alike(h), lambda s: let(F.sort_array(F.transform(twice(s), window)), places))
+        return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(hashed, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(same(h))))
 
-    def places(s: Column) -> Column:
+    def twice(s: Column) -> Column:
         key = lambda j: F.get(s, j).getField("k")
-        twice = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (key(j) == key(j - 1)) | (key(j) == key(j + 1)))
-        return let(F.sort_array(F.transform(twice, lambda j: F.get(s, j).getField("i"))), covered)
+        found = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (key(j) == key(j - 1)) | (key(j) == key(j + 1)))
+        return F.transform(found, lambda j: F.get(s, j).getField("i"))
+
+    def places(s: Column) -> Column:
+        return let(F.sort_array(twice(s)), covered)
 
     def covered(d: Column) -> Column:
         # Each window covers the words up to the next one's start, three at most; the last covers three.
@@ -67,6 +76,19 @@ def repeated_words(words: Column) -> Column:
     return let(words, count).cast("long")
 
 
+def occurrences(words: Column, vocabulary: list[str]) -> Column:
+    """How often each word of a vocabulary in ascending order occurs in words, which holds no others.
+
+    Sorted together with one of each, equal words form one run for each word, in its order.
+    """
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s)), lambda j: F.coalesce(F.get(s, j) != F.get(s, j - 1), F.lit(True)))
+        return let(starts, lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda j, k: F.get(at, k + 1) - j - 1))
+
+    return let(F.sort_array(F.concat(words, F.array(*map(F.lit, vocabulary)))), runs)
+
+
 def _stripped(text: Column, kept: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{kept}]+", "")).cast("long")
 
@@ -80,7 +102,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def of_words(w: Column) -> Column:
         common = F.filter(F.transform(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?\"')|#*$%&")))), lambda x: x.isin(vocabulary))
-        tally = let(common, lambda c: F.array(*[F.size(c) - F.size(F.array_remove(c, v)) for v in vocabulary], F.size(w) - F.size(c)))
+        tally = let(common, lambda c: F.concat(occurrences(c, vocabulary), F.array(F.size(w) - F.size(c))))
         return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), tally.alias("word_hist"))
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
