@@ -5,7 +5,8 @@ gaps, distributed successor sweeps, conflicts by rank, repeat) is not run; it is
 that the driver makes over the histogram of lengths. Equally long documents are alike to
 best fit, so at most `capacity` counts decide the packing: the driver takes them from the longest
 to the shortest and gives each run the smallest gap that is long enough, which is best-fit
-decreasing. There is no distributed sweep or round. Executors count the pieces by length, rank
+decreasing. There is no distributed sweep or round; the tests hold the rounds in plain form, which
+need about as many sequences, now more and now fewer. Executors count the pieces by length, rank
 them within their length by partition, and look their place up in the finished plan.
 """
 
