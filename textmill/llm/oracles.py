@@ -32,3 +32,36 @@ QUALITY = rf"""
     select doc_id, n_words, word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols, n_dup_lines, n_repeat_words, base_failed,
         not base_failed and not coalesce(n_chars >= {quality.LEAST_CHARS} and dc > {quality.FAR_CHARS}, false) and not coalesce(n_words >= {quality.LEAST_WORDS} and dw > {quality.FAR_WORDS}, false) as kept
     from b left join z using (doc_id)"""
+
+INFILL = r"""
+    with l as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as l, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+    n as (select *, len(l) - (case when l[-1] = '' then 1 else 0 end) as n, list_transform(range(4), lambda i: ('0x' || h[8 * i + 1:8 * i + 8])::bigint) as d from l),
+    c as (select *, least(d[1] % (n + 1), d[2] % (n + 1)) as a, greatest(d[1] % (n + 1), d[2] % (n + 1)) as b,
+        case when text = '' or text like '%<P>%' or text like '%<S>%' or text like '%<M>%' then 'plain' when d[4] % 100 < 50 then 'spm' else 'psm' end as form from n),
+    s as (select *, list_transform([a, b], lambda k: case when k = 0 then 0 when k = len(l) then length(text) else length(array_to_string(l[1:k], chr(10))) + 1 end) as k from c),
+    p as (select *, substring(text, 1, k[1]) as x, substring(text, k[1] + 1, k[2] - k[1]) as y, substring(text, k[2] + 1) as z from s)
+    select doc_id, n::bigint as n, form, case when form <> 'plain' then length(x) end as prefix_chars, case when form <> 'plain' then length(y) end as middle_chars,
+        sha256(case form when 'plain' then text when 'psm' then concat('<P>', x, '<S>', z, '<M>', y) else concat('<S>', z, '<P>', x, '<M>', y) end) as output_sha256, sha256(text) as restored_sha256
+    from p"""
+
+
+def _clustering(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Every round spelled out: all distances, the nearest, floors of means."""
+    squared = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+    steps = [
+        f"""with v as materialized (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as x from embeddings
+            where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        c0 as materialized (select row_number() over (order by sha256('2:' || vec_id)) - 1 as cluster, x from v qualify cluster < {k})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} as materialized (select v.vec_id, any_value(v.x) as x, min({{'d': {squared}, 'c': c.cluster}}) as m from v, c{r} c group by v.vec_id)")
+        if r < rounds:
+            steps.append(f"""t{r} as (select m.c as cluster, i, sum(x[i])::bigint as s, count(*) as n from a{r}, range(1, {dims + 1}) t(i) group by all),
+                m{r} as (select cluster, list((s - ((s % n) + n) % n) // n order by i) as x from t{r} group by cluster),
+                c{r + 1} as materialized (select cluster, coalesce(m.x, c.x) as x from c{r} c left join m{r} m using (cluster))""")
+    last = f"""select vec_id, a.m.c::int as cluster, a.m.d as distance, (sum(a.m.d) over (partition by a.m.c))::bigint as cluster_inertia, (sum(a.m.d) over ())::bigint as inertia,
+        sha256(array_to_string(c.x, ',')) as centroid_sha256 from a{rounds} a join c{rounds} c on a.m.c = c.cluster"""
+    return ", ".join(steps) + last
+
+
+CLUSTERING = _clustering()

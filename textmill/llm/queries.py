@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import audio, common, html, language, licenses, neardup, oracles, packing, pieces, pii, quality, warc
+from textmill.llm import audio, clusters, common, html, infill, language, licenses, neardup, oracles, packing, pieces, pii, quality, warc
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: The session's setting that has the secret key of surrogates, and what stands for it where none is set, as in tests.
@@ -71,6 +71,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.unionByName(revisits.select(*responses.columns))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle(table(spark, sf_dir, "documents"), outputs=False).drop("output")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_duplicates": op2_near_duplicates,
@@ -82,6 +90,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLES = {
@@ -107,4 +117,6 @@ ORACLES = {
             case when first is not null and p.page_id <> first then 'revisit' else 'response' end as record_type,
             case when p.page_id <> first then first end as refers_to
         from p left join f using (payload_digest)""",
+    "op11_fill_in_middle": oracles.INFILL,
+    "op13_centroid_clustering": oracles.CLUSTERING,
 }
