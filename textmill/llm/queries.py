@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import audio, clusters, common, html, infill, language, licenses, neardup, oracles, packing, pieces, pii, quality, warc
+from textmill.llm import audio, clusters, common, html, infill, language, lexicon, licenses, neardup, oracles, packing, pieces, pii, quality, warc
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: The session's setting that has the secret key of surrogates, and what stands for it where none is set, as in tests.
@@ -75,6 +75,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.fill_in_middle(table(spark, sf_dir, "documents"), outputs=False).drop("output")
 
 
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.encode_words(table(spark, sf_dir, "documents"), PACKING_TOKENIZER, ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("scans")
 
@@ -91,6 +95,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_word_bpe": op12_word_bpe,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
