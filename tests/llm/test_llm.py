@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from datetime import date, timedelta
 
 import numpy as np
 import pyarrow as pa
@@ -245,17 +246,18 @@ def test_surrogates_hold_together():
     assert "C01234567" not in k.replace("Passport No. C01234567")[0]
     words = {r.choice("abcdefgh") + "".join(r.choice("abcdefghijklmnopqrstuvwxyzäöü") for _ in range(r.randrange(1, 9))) for _ in range(60_000)}
     assert len({k.word(w) for w in words}) == len(words) and not {k.word(w) for w in words if w.capitalize() not in pii.GENDER} & set(pii.GENDER)
-    assert len({k.surrogate("birth", (pii.date(1950, 1, 1) + pii.timedelta(n)).isoformat()) for n in range(8000)}) == 8000
+    assert len({k.surrogate("birth", (date(1950, 1, 1) + timedelta(n)).isoformat()) for n in range(8000)}) == 8000
 
 
 def test_surrogates_that_collide_are_drawn_again(spark, monkeypatch):
-    def found(df, key, known, text_col):  # all share the first draw, two of them the second
-        rows = [("email", f"x{i}", ["s", f"t{i // 2}", f"u{i}", f"v{i}", f"w{i}"][known.get(("email", f"x{i}"), 0)]) for i in range(4)] + [("name", "y", ["Y", "z"][known.get(("name", "y"), 0)])]
-        return spark.createDataFrame(rows, "type string, original string, surrogate string")
-
-    monkeypatch.setattr(pii, "entities", found)
-    drawn = pii.repairs(None, b"key")
-    last = found(None, b"key", drawn, "text").collect()
+    def table(rows):  # all share the first draw, two of them the second
+        draws = {**{f"x{i}": ["s", f"t{i // 2}", f"u{i}", f"v{i}", f"w{i}"] for i in range(4)}, "y": ["Y", "z"]}
+        return spark.createDataFrame([(kind, x, draws[x][epoch], epoch) for kind, x, epoch in rows], "type string, original string, surrogate string, epoch int")
+
+    monkeypatch.setattr(pii, "entities", lambda *_: table([("email", f"x{i}", 0) for i in range(4)] + [("name", "y", 0)]).drop("epoch"))
+    monkeypatch.setattr(pii, "redrawn", lambda rows, key: table(rows.select("type", "original", "epoch").collect()))
+    drawn = {(r["type"], r["original"]): r["epoch"] for r in pii.repairs(None, b"key").collect()}
+    last = table([(kind, x, drawn.get((kind, x), 0)) for kind, x in [*(("email", f"x{i}") for i in range(4)), ("name", "y")]]).collect()
     assert len({r["surrogate"] for r in last}) == 5 and drawn["name", "y"] == 1 and ("email", "x0") not in drawn
 
 

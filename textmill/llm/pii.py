@@ -6,7 +6,9 @@ alphabet they are from, a bijection of the texts of one format; a word of a name
 number among all words and spelled in syllables, or exchanged for another given name of its list.
 So different originals have different surrogates by construction, and equal ones equal surrogates.
 The entities of the whole input are checked for that all the same, and those that collide or
-stand for themselves are drawn again, by rank, until none does.
+stand for themselves are drawn again, by rank, until none does. However many these are, they stay
+a table: each text gets the draws of its own entities by a join. An entity of any length takes
+linear time.
 
 A person is told by a title, by a given name of the lists with a family name, or by one alone behind
 a greeting; each word of the name is then replaced wherever the same text has it. Gender goes by the
@@ -21,17 +23,19 @@ import hashlib
 import ipaddress
 import re
 from collections.abc import Iterator
-from datetime import date, timedelta
+from datetime import date
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import held, map_arrow, steps
+from textmill.llm.common import discard, few, held, map_arrow, materialize, steps
 
-#: Entities that may have to be drawn again; their surrogates are sent along with the tasks. By
-#: construction hardly any collide, so more of them are a fault.
-MOST_REPAIRS = 100_000
+#: Runs of more characters are enciphered as arrays, in linear time, and their surrogates aren't remembered.
+LONG = 256
+#: Letters of a long name that are spelled in syllables together.
+SPELLED = 48
 OUTPUT = ("text", "n_entities", "types")
 
 # Given names by gender and script; a known name is replaced by another of its list.
@@ -55,6 +59,8 @@ SYLLABLES = {
 ALPHABET_OF = {c: k for k, alphabet in enumerate(ALPHABETS) for c in alphabet}
 #: The letters of a name by script, and the endings of made names by what the name's own ending tells.
 LETTERS = {"latin": ALPHABETS[1] + ALPHABETS[3] + "œšžčćěřňťďľőűąęłńśźżğışā", "cyrillic": ALPHABETS[5], "greek": ALPHABETS[7]}
+#: The syllables that any block of SPELLED letters has room in, by script.
+SYLLABLES_OF_BLOCK = {own: next(m for m in range(1, 999) if len(syllables) ** m >= (len(LETTERS[own]) + 1) ** SPELLED) for own, syllables in SYLLABLES.items()}
 FEMALE, ENDINGS = {"latin": "aáà", "cyrillic": "ая", "greek": "αάηή"}, {"latin": ("nn", "nna"), "cyrillic": ("нн", "нна"), "greek": ("ννος", "ννα")}
 #: Country calling codes of one and two digits; all others have three.
 SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
@@ -111,12 +117,12 @@ def script(word: str) -> str:
 
 
 class Keyed:
-    """The replacement functions under one key. repairs: the draw of entities whose first one collides."""
+    """The replacement functions under one key. drawn: of the text at hand, the draws of entities whose first one collides."""
 
-    def __init__(self, key: bytes, repairs: dict[tuple[str, str], int] | None = None) -> None:
+    def __init__(self, key: bytes) -> None:
         self.key = hashlib.blake2b(b"textmill", key=key[:64], digest_size=32).digest()
-        self.repairs = repairs or {}
-        self.known: dict[tuple[str, str], str] = {}
+        self.drawn: dict[tuple[str, str], int] = {}
+        self.known: dict[tuple[str, str, int], str] = {}
 
     def number(self, *of: object) -> int:
         return int.from_bytes(hashlib.blake2b(repr(of).encode(), key=self.key, digest_size=16).digest(), "big")
@@ -126,6 +132,8 @@ class Keyed:
         n = len(values)
         if n < 2:  # a rotation by one at least
             return [(v + 1 + self.number(tweak, radix) % (radix - 1)) % radix for v in values]
+        if n > LONG:
+            return self.permute_long(np.array(values, np.int16), radix, tweak)
         read = lambda x: functools.reduce(lambda a, v: a * radix + v, x, 0)
         u = n // 2
         a, b = read(values[:u]), read(values[u:])
@@ -139,6 +147,16 @@ class Keyed:
                 out.append(v)
         return out[::-1]
 
+    def permute_long(self, values: np.ndarray, radix: int, tweak: object) -> list[int]:
+        """The same with each character moved by itself, by a keystream of the other half."""
+        u = len(values) // 2
+        a, b = values[:u], values[u:]
+        head = self.key + hashlib.blake2b(repr((tweak, radix)).encode(), key=self.key, digest_size=32).digest()
+        for i in range(10):
+            stream = hashlib.shake_256(head + bytes([i]) + b.astype(np.uint8).tobytes()).digest(len(a))
+            a, b = b, (a + np.frombuffer(stream, np.uint8)) % radix
+        return np.concatenate((a, b)).tolist()
+
     def formatted(self, text: str, tweak: object) -> str:
         """Each alphabet's characters permuted among themselves, all else in its place."""
         chars, places = list(text), {}
@@ -173,27 +191,35 @@ class Keyed:
         letters, syllables = LETTERS[own], SYLLABLES[own]
         known = [letters.index(c) for c in folded if c in letters]
         moved = self.permute(known, len(letters), ("name", own, epoch)) if known else []
-        # As a number among all words: those of fewer letters come first.
-        n = functools.reduce(lambda x, v: x * len(letters) + v + 1, moved, 0)
         made = []
+        blocks = [moved[i : i + SPELLED] for i in range(0, len(moved), SPELLED)]
+        for block in blocks[:-1]:  # blocks of one number of syllables; as the last one has no more, no two words are spelled alike
+            n = functools.reduce(lambda x, v: x * len(letters) + v, block, 0)
+            for _ in range(SYLLABLES_OF_BLOCK[own]):
+                n, i = divmod(n, len(syllables))
+                made.append(syllables[i])
+        # The last block, or all, as a number among all words: those of fewer letters come first.
+        n, last = functools.reduce(lambda x, v: x * len(letters) + v + 1, blocks[-1] if blocks else [], 0), []
         while n:
             n, i = divmod(n - 1, len(syllables))
-            made.append(syllables[i])
+            last.append(syllables[i])
+        made += last[::-1]
         rest = "".join(c for c in folded if c not in letters)  # letters of no alphabet here stay
-        return ("".join(made[::-1]) + rest + ENDINGS[own][folded[-1] in FEMALE[own]]).capitalize()
+        return ("".join(made) + rest + ENDINGS[own][folded[-1] in FEMALE[own]]).capitalize()
 
     def person(self, text: str) -> str:
         return "".join(w if w in " -" else self.surrogate("name", w.lower()) for w in re.split(r"([ -])", text))
 
     def surrogate(self, kind: str, text: str, epoch: int | None = None) -> str:
-        """Of a canonical original; epoch 0 unless the entity was to be drawn again."""
-        found = self.known.get((kind, text)) if epoch is None else None
+        """Of a canonical original; the first draw unless the entity was to be drawn again."""
+        epoch = self.drawn.get((kind, text), 0) if epoch is None else epoch
+        found = self.known.get((kind, text, epoch))
         if found is None:
             if len(self.known) > 50_000:
                 self.known.clear()
-            found = self._surrogate(kind, text, self.repairs.get((kind, text), 0) if epoch is None else epoch)
-            if epoch is None:
-                self.known[kind, text] = found
+            found = self._surrogate(kind, text, epoch)
+            if len(text) <= LONG:
+                self.known[kind, text, epoch] = found
         return found
 
     def _surrogate(self, kind: str, text: str, epoch: int) -> str:
@@ -220,10 +246,10 @@ class Keyed:
         if kind == "birth":  # another day of the same ten years
             day = date.fromisoformat(text).toordinal()
             first, x = day // 3652 * 3652, day % 3652
-            while True:  # walks the cycle of a permutation of 4096 until it is back among the days
+            while True:  # walks the cycle of a permutation of 4096 until it is back among the days, of the calendar too
                 a, b = self.permute([x // 64, x % 64], 64, ("birth", first, epoch))
                 x = 64 * a + b
-                if x < 3652:
+                if x < 3652 and 1 <= first + x <= date.max.toordinal():
                     return date.fromordinal(first + x).isoformat()
         if kind == "key":
             prefix = re.match(r"AKIA|gh\w_|sk-|xox\w-|AIza", text)[0]
@@ -241,7 +267,7 @@ class Keyed:
                 new = self.surrogate(kind, own)
                 return head + new, own, new
             parts = [int(x) for x in re.split(r"\D", own)]
-            year_first = parts[0] > 31
+            year_first = own[:4].isdigit()
             month_first = not year_first and "/" in own and parts[1] > 12  # else the day comes first, as most write it
             y, m, d = parts if year_first else (parts[2], parts[0], parts[1]) if month_first else (parts[2], parts[1], parts[0])
             try:
@@ -290,8 +316,9 @@ class Keyed:
         new = self.surrogate(kind, own)
         return new, own, new
 
-    def replace(self, text: str) -> tuple[str, list[tuple[str, str, str]]]:
-        """The text with surrogates, and (type, canonical original, canonical surrogate) of each mention."""
+    def replace(self, text: str, drawn: dict[tuple[str, str], int] | None = None) -> tuple[str, list[tuple[str, str, str]]]:
+        """The text with surrogates, and (type, canonical original, canonical surrogate) of each mention. drawn: as in the class."""
+        self.drawn = drawn or {}
         if not HINT.search(text):
             return text, []
         matches = list(ENTITY.finditer(text))
@@ -339,15 +366,14 @@ class Keyed:
         return "".join(out), found
 
 
-def entities(df: DataFrame, key: bytes, repairs: dict[tuple[str, str], int] | None = None, text_col: str = "text") -> DataFrame:
-    """(type, original, surrogate), each once in each step of an Arrow batch.
+def entities(df: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """(type, original, surrogate) by the first draw, each once in each step of an Arrow batch.
 
     Null and empty texts have none, nor has an empty table; repeated rows have the same.
     """
-    own_repairs = tuple(sorted((repairs or {}).items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replace = held(("surrogates", key, own_repairs), lambda: Keyed(key, dict(own_repairs))).replace
+        replace = held(("surrogates", key), lambda: Keyed(key)).replace
         for batch in steps(batches, "text"):
             own = sorted({e for text in batch.column("text").to_pylist() if text for e in replace(text)[1]})
             yield pa.record_batch([pa.array([e[i] for e in own], pa.string()) for i in range(3)], names=["type", "original", "surrogate"])
@@ -355,60 +381,94 @@ def entities(df: DataFrame, key: bytes, repairs: dict[tuple[str, str], int] | No
     return map_arrow(df.select(F.col(text_col).cast("string").alias("text")), run, "type string, original string, surrogate string")
 
 
+def mentions(df: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """(digest, type, original) of each entity of each text, named by the text's digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replace = held(("surrogates", key), lambda: Keyed(key)).replace
+        for batch in steps(batches, "text"):
+            own = [(d, *e) for d, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True) if text for e in sorted({x[:2] for x in replace(text)[1]})]
+            yield pa.record_batch([pa.array([e[i] for e in own], pa.string()) for i in range(3)], names=["digest", "type", "original"])
+
+    return map_arrow(df.select(F.sha2(F.col(text_col).cast("string"), 256).alias("digest"), F.col(text_col).cast("string").alias("text")), run, "digest string, type string, original string")
+
+
 def collisions(found: DataFrame) -> DataFrame:
     """(type, surrogate) that stand for two originals or more, or for themselves."""
     return found.groupBy("type", "surrogate").agg(F.min("original").alias("a"), F.max("original").alias("b")).where("a <> b or lower(a) = lower(surrogate)").select("type", "surrogate")
 
 
-def repairs(df: DataFrame, key: bytes, text_col: str = "text") -> dict[tuple[str, str], int]:
-    """(type, original): the draw under which every entity of the whole input has a surrogate of its own, where it isn't the first.
+def redrawn(rows: DataFrame, key: bytes) -> DataFrame:
+    """rows (type, original, epoch) with their surrogates by that draw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        surrogate = held(("surrogates", key), lambda: Keyed(key)).surrogate
+        for batch in batches:
+            made = [surrogate(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.record_batch([*batch.columns[:2], pa.array(made, pa.string()), batch.columns[2]], names=["type", "original", "surrogate", "epoch"])
+
+    return map_arrow(rows.select("type", "original", "epoch"), run, "type string, original string, surrogate string, epoch int")
+
+
+def repairs(df: DataFrame, key: bytes, text_col: str = "text") -> DataFrame | None:
+    """(type, original, epoch): the draw under which every entity of the whole input has a surrogate of its own, where it isn't the first; None if all first ones are.
 
     Of those that share one, the first by order keeps it and the others are drawn again, by their
     rank; one that stands for itself is drawn again too. All is checked again until it holds.
+    Entities are written, compared and drawn as tables, only if any collide.
     """
-    known: dict[tuple[str, str], int] = {}
+    found = entities(df, key, text_col)
+    if not collisions(found).take(1):
+        return None
+    known = materialize(found.distinct().withColumn("epoch", F.lit(0)), "entities")
     while True:
-        found = entities(df, key, known, text_col)
-        again = _few_collisions(found)
-        if again is None:
-            return known
-        shared = found.join(F.broadcast(again), ["type", "surrogate"])
-        rank: dict[tuple[str, str], int] = {}
-        for r in shared.distinct().orderBy("type", "surrogate", "original").collect():  # MOST_REPAIRS at most
-            place = rank.get((r["type"], r["surrogate"]), 0)
-            rank[r["type"], r["surrogate"]] = place + 1
-            if place or r["original"].lower() == r["surrogate"].lower():
-                known[r["type"], r["original"]] = known.get((r["type"], r["original"]), 0) + max(1, place)
-
-
-def _few_collisions(found: DataFrame) -> DataFrame | None:
-    rows = collisions(found).limit(MOST_REPAIRS + 1).collect()
-    if len(rows) > MOST_REPAIRS:
-        raise ValueError(f"more than {MOST_REPAIRS} surrogates collide")
-    return found.sparkSession.createDataFrame(rows, "type string, surrogate string") if rows else None
-
-
-def pseudonymize(df: DataFrame, key: bytes, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), drawn: dict[tuple[str, str], int] | None = None) -> DataFrame:
+        shared = materialize(collisions(known), "collisions")
+        if not shared.take(1):
+            break
+        rank = F.row_number().over(Window.partitionBy("type", "surrogate").orderBy("original")) - 1
+        ranked = known.join(few(shared), ["type", "surrogate"]).withColumn("rank", rank).where("rank > 0 or lower(original) = lower(surrogate)")
+        again = materialize(redrawn(ranked.withColumn("epoch", F.col("epoch") + F.greatest(F.lit(1), "rank")), key), "redrawn")
+        after = materialize(known.join(few(again.select("type", "original")), ["type", "original"], "left_anti").select(*again.columns).unionByName(again), "entities")
+        discard(known, shared, again)
+        known = after
+    discard(shared)
+    drawn = materialize(known.where("epoch > 0").select("type", "original", "epoch"), "drawn")
+    discard(known)
+    return drawn
+
+
+def pseudonymize(df: DataFrame, key: bytes, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` of each row, its text with surrogates, n_entities and their types.
 
     One row out for each row in, in whatever order. A null text stays null, an empty one empty;
     texts without personal data are unchanged. Repeated rows are replaced alike. Only the named
     columns are read, and one that is named as an output gives way to it, so none can clash. An
-    empty table gives an empty result. Unless `drawn` (from repairs()) is given, the input is read
-    a first time to check that surrogates are distinct; that check groups distinct entities, with
-    partial sums. Batches are bounded, a longer text is held whole.
+    empty table gives an empty result. The input is read a first time to check that surrogates are
+    distinct; that check groups distinct entities, with partial sums. If any are to be drawn again, each
+    text with one of them gets its draws by a join on the text's digest, whatever their number.
+    Batches are bounded, a longer text is held whole; entities of any length take linear time.
     """
     keep = tuple(c for c in keep if c not in OUTPUT)
-    own_repairs = tuple(sorted((repairs(df, key, text_col) if drawn is None else drawn).items()))
-    source = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("text"))
+    source = df.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
+    drawn = repairs(df, key, text_col)
+    if drawn is None:
+        rows = source.withColumn("_drawn", F.lit(None).cast("array<struct<type:string,original:string,epoch:int>>"))
+    else:
+        own = mentions(df, key, text_col).distinct().join(few(drawn), ["type", "original"])
+        # A text's own entities, so no longer than the text is.
+        of_text = materialize(own.groupBy("digest").agg(F.collect_list(F.struct("type", "original", "epoch")).alias("_drawn")), "drawn-by-text")
+        size = of_text.select("digest", F.to_json("_drawn").alias("_json"))  # texts, so that few() measures them
+        rows = source.withColumn("_digest", F.sha2("text", 256)).join(few(size).withColumnRenamed("digest", "_digest"), "_digest", "left")
+        rows = rows.select(*source.columns, F.from_json("_json", "array<struct<type:string,original:string,epoch:int>>").alias("_drawn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replace = held(("surrogates", key, own_repairs), lambda: Keyed(key, dict(own_repairs))).replace
+        replace = held(("surrogates", key), lambda: Keyed(key)).replace
         for batch in steps(batches, "text"):
-            made = [(None, []) if text is None else replace(text) for text in batch.column("text").to_pylist()]
+            draws = [x and {(e["type"], e["original"]): e["epoch"] for e in x} for x in batch.column("_drawn").to_pylist()]
+            made = [(None, []) if text is None else replace(text, d) for text, d in zip(batch.column("text").to_pylist(), draws, strict=True)]
             own = [batch.column(i) for i in range(len(keep))]
             types = [",".join(sorted({e[0] for e in x[1]})) for x in made]
             yield pa.record_batch([*own, pa.array([x[0] for x in made], pa.string()), pa.array([len(x[1]) for x in made], pa.int64()), pa.array(types, pa.string())], names=[*keep, *OUTPUT])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return map_arrow(source, run, f"{kept}{', ' if kept else ''}text string, n_entities long, types string")
+    kept = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(keep, source.schema.fields, strict=False))
+    return map_arrow(rows, run, f"{kept}{', ' if kept else ''}text string, n_entities long, types string")
