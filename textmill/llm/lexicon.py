@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm.common import held, local_file, map_arrow, shipped_file, steps
+from textmill.llm.common import discard, held, local_file, map_arrow, materialize, shipped_file, steps
 
 #: Words in the lexicon, a bound on the driver's work; the distinct words that a counting task holds before it sends their counts on.
 WORDS, COUNTED = 100_000, 200_000
@@ -58,6 +58,7 @@ class Merges:
         self.token = {i: t for t, i in vocabulary.items()} | {i: t for t, i in self.special}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.pair = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.best = {p: rank << 20 | made for p, (rank, made) in self.pair.items()}
         # The printable characters that stand for bytes, as byte-level models have them.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
@@ -76,12 +77,16 @@ class Merges:
         parts = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
         if len(parts) > 40:
             return self.merge_long(parts)
-        get = self.pair.get
-        while len(parts) > 1:
-            best = min((x[0], i, x[1]) for i in range(len(parts) - 1) if (x := get((parts[i], parts[i + 1])) or (NEVER, 0)))
-            if best[0] == NEVER:
-                break
-            parts[best[1] : best[1] + 2] = [best[2]]
+        get = self.best.get
+        due = [get(x, NEVER) for x in zip(parts, parts[1:])]
+        while due and (best := min(due)) < NEVER:
+            i = due.index(best)  # the leftmost
+            parts[i : i + 2] = [best & MADE]
+            del due[i]
+            if i:
+                due[i - 1] = get((parts[i - 1], parts[i]), NEVER)
+            if i < len(due):
+                due[i] = get((parts[i], parts[i + 1]), NEVER)
         return parts
 
     def merge_long(self, parts: list[int]) -> list[int]:
@@ -104,7 +109,8 @@ class Merges:
         return [p for p in parts if p >= 0]
 
 
-NEVER = 1 << 60
+#: No merge, and the bits of a merge that tell what it makes; those above are its rank.
+NEVER, MADE = 1 << 60, (1 << 20) - 1
 
 
 def character_tables(tokenizer) -> tuple[np.ndarray, np.ndarray]:
@@ -434,7 +440,8 @@ def _ship(spark: SparkSession, arrays: dict[str, np.ndarray], label: str) -> str
 def build(df: DataFrame, tokenizer: str, words: int = WORDS, text_col: str = "text") -> str:
     """Counts the words of all texts, compiles the `words` most frequent ones and ships the file, whose name it returns.
 
-    Of equally frequent words those first in order are taken. At most `words` rows come to the driver.
+    The least frequency that no more than so many words have is found by a histogram, whose few rows
+    and then at most `words` words come to the driver; of words that come once none is taken.
     """
     from tokenizers import Tokenizer
 
@@ -442,7 +449,16 @@ def build(df: DataFrame, tokenizer: str, words: int = WORDS, text_col: str = "te
         definition = file.read()
     kinds, forms = character_tables(Tokenizer.from_str(definition))
     tables = _ship(df.sparkSession, {"kinds": kinds, "forms": forms}, "characters")
-    frequent = word_counts(df, definition, tables, text_col).orderBy(F.desc("n"), "word").limit(words).collect()
+    counts = materialize(word_counts(df, definition, tables, text_col).where("n > 1"), "word-counts")
+    step = F.floor(16 * F.log2(F.col("n"))).cast("int")
+    least, room = None, words
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):  # 16 rows for each power of two
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["step"]
+    frequent = counts.where(step >= least).select("word").collect() if least is not None else []
+    discard(counts)
     return _ship(df.sparkSession, compiled([r["word"] for r in frequent], Merges(definition), kinds, forms), "lexicon")
 
 
