@@ -53,23 +53,6 @@ def pick_pivots(ids: DataFrame, n: int, seed: int = 0, id_col: str = "id") -> Da
     return ids.orderBy(F.md5(F.concat_ws(":", F.lit(seed), id_col).cast("binary")), id_col).limit(n)
 
 
-#: Pivots that relative() takes.
-MOST_PIVOTS = 4096
-
-
-def relative(vectors: DataFrame, pivots: DataFrame, id_col: str = "id", vec: str = "vec") -> DataFrame:
-    """(id, rel): inner products of each unit vector with the unit pivots, in the pivots' order (pivot_ix, vec).
-
-    The pivots, a few hundred by the parameter of their choice, are gathered in one row and
-    broadcast; more than MOST_PIVOTS stop the run.
-    """
-    if pivots.count() > MOST_PIVOTS:
-        raise ValueError(f"more than {MOST_PIVOTS} pivots")
-    one = with_unit(pivots, vec).agg(F.transform(F.sort_array(F.collect_list(F.struct("pivot_ix", "unit"))), lambda p: p["unit"]).alias("pivots"))
-    rows = with_unit(vectors, vec).select(id_col, "unit").crossJoin(F.broadcast(one))
-    return rows.select(id_col, F.transform("pivots", lambda p: dot(F.col("unit"), p)).alias("rel"))
-
-
 #: Source vectors, and queries, that a block holds.
 BLOCK, QUERIES = 4096, 16_384
 

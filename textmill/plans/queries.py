@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import prompts
 from textmill.functions import text as T
-from textmill.operators import align, budget, dedup, events, metrics, preflight, terms, tokens
+from textmill.operators import align, budget, dedup, events, metrics, preflight, spaces, terms, tokens
 from textmill.plans.registry import query, table
 from textmill.plans.shared import materialize, shared_path
 from textmill.streaming import incremental
@@ -485,7 +485,7 @@ def relative_rep(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     picked = align.pick_pivots(vectors, 16).agg(F.sort_array(F.collect_list(F.struct(F.md5(F.concat_ws(":", F.lit(0), "id").cast("binary")), "id", "vec"))).alias("p"))  # sixteen
     pivots = picked.select(F.posexplode(F.transform("p", lambda x: x["vec"])).alias("pivot_ix", "vec"))
-    rel = align.relative(vectors, pivots)
+    rel = spaces.relative(vectors, pivots)
     return rel.select(F.col("id").alias("vec_id"), F.posexplode("rel").alias("pivot_ix", "sim")).withColumn("sim", F.round("sim", 5))
 
 
