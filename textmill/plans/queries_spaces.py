@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from textmill.operators import align, spaces
+from textmill.functions import text as T
+from textmill.operators import align, spaces, vectors
 from textmill.plans.registry import query, table
 from textmill.plans.shared import materialize
 
@@ -97,3 +98,26 @@ def random_added_rows(spark, sf_dir):
     tensors = rows.select(F.lit(align.EMBEDDING_ROWS["mistral"]).alias("tensor"), F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
     made = spaces.random_initial(tensors, rows.count() + 20, "mistral", 5, added_only=True)
     return made.where(F.col("tensor") == align.EMBEDDING_ROWS["mistral"]).select("tensor", "row_id", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round("x", 6) + F.lit(0.0))
+
+
+# Training
+
+
+@query()
+def subword_cbow(spark, sf_dir):
+    """Vectors of all words of the conversations, and of all of the benchmark's, met or not: whole vectors, whose quality the tests hold."""
+    lines = table(spark, sf_dir, "conversations").select(T.words(F.lower("text")).alias("tokens"))
+    made = vectors.train_cbow(lines, size=64, window=5, least=5, epochs=3, buckets=200_000, per_block=50_000)
+    fresh = table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.lower("text"))).alias("token"))
+    return made.vectors(made.words.unionByName(fresh))
+
+
+@query()
+def global_vectors(spark, sf_dir):
+    """Each word's nearest other word by vectors that were trained on the conversations' co-occurrences."""
+    rows = table(spark, sf_dir, "conversations")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    window, least = vectors.planned(size, 5, 5)
+    pairs, _, _ = vectors.planned_pairs(rows, window, least, id_col="conv_id")
+    made, _ = vectors.train_glove(pairs, size=32, rounds=3, per_block=100_000)
+    return vectors.nearest(made).select("token", "other", F.round("sim", 4).alias("sim"))

@@ -45,7 +45,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return made
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
 
@@ -60,14 +60,14 @@ def discard(*tables: DataFrame | None) -> None:
     for table in tables:
         path = getattr(table, "_textmill_path", None)
         if path:
-            _delete(table.sparkSession, path)
+            delete(table.sparkSession, path)
 
 
 def discard_all(spark: SparkSession) -> None:
     """Deletes every table of this application; results that were not written elsewhere are gone then."""
-    _delete(spark, shared_dir(spark))
+    delete(spark, shared_dir(spark))
 
 
 def _leave(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the JVM may have gone before
-        _delete(spark, path)
+        delete(spark, path)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textmill.operators.budget import Build, pieces
-from textmill.operators.dedup import first_of_each, hashed, without
-from textmill.plans.shared import exists
+from textmill.operators.dedup import first_of_each, hashed
+from textmill.operators.store import Layout, SeenStore
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, ts: str = "ts", late: str = "1 minute") -> DataFrame:
@@ -25,20 +25,22 @@ def dedup_recent(stream: DataFrame, key: str) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark([key])
 
 
-def dedup_into(stream: DataFrame, store: str, out: str, checkpoint: str, order: str, text: str = "text") -> StreamingQuery:
+def dedup_into(stream: DataFrame, store: str, out: str, checkpoint: str, order: str, text: str = "text", layout: Layout = Layout(), compact_every: int = 0) -> StreamingQuery:  # noqa: B008
     """Appends to `out` each batch's rows whose text hash the store lacks, and then to the store their hashes.
 
     A batch that is repeated after a failure first takes back what it had written under its
-    number, so rows are neither lost nor doubled.
+    number, so rows are neither lost nor doubled. A batch reads the sketches of its own buckets and the files that
+    may hold one of its hashes, not the store. Every compact_every-th batch compacts the segments before its own,
+    which can still be taken back.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen = spark.read.schema("h string, batch long").parquet(store).where(F.col("batch") != number) if exists(spark, store) else spark.createDataFrame([], "h string, batch long")
-        new = without(first_of_each(hashed(batch, text), "h", order), seen).withColumn("batch", F.lit(number).cast("long"))
-        new.drop("batch").write.mode("overwrite").parquet(f"{out}/batch={number}")
-        done = spark.read.parquet(f"{out}/batch={number}")
-        done.select("h").write.mode("overwrite").parquet(f"{store}/batch={number}")
+        seen = SeenStore(spark, store, layout)
+        seen.without(first_of_each(hashed(batch, text), "h", order), but=number).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        seen.add(spark.read.parquet(f"{out}/batch={number}"), number)
+        if compact_every and number % compact_every == compact_every - 1:
+            seen.compact(before=number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
