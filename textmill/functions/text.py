@@ -12,6 +12,8 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructTy
 
 #: White space as Unicode has it; Java's and RE2's \s are narrower, in different ways.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters as a text.
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Between two entities: white space that isn't between two words of letters, other characters, and capitals in a row or after small letters.
 BETWEEN = rf"(?<![A-Za-z][a-z])(?<!{WS}){WS}++|{WS}++(?![A-Za-z][a-z])|[^A-Za-z{WS[1:]}++|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z])"
 # The patterns of terms and of naive entities, and those of answers below.
@@ -33,7 +35,7 @@ def blank_to_null(x: Column | str) -> Column:
 
 
 def strip(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), f"^{WS}+|{WS}+$", "")
+    return F.btrim(col(x), F.lit(SPACES))
 
 
 def norm_text(x: Column | str) -> Column:

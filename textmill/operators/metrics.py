@@ -6,7 +6,9 @@ import functools
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,9 +79,14 @@ def nearest_rank(df: DataFrame, by: str, value: str, shares: dict[str, float]) -
 
 
 def bleu_1(df: DataFrame, pred: str, ref: str) -> DataFrame:
-    """Clipped unigram precision of two arrays of tokens over all rows, times the brevity penalty; 0 to 100."""
-    clipped = F.aggregate(F.array_distinct(F.col(pred)), F.lit(0), lambda a, t: a + F.least(F.size(F.filter(pred, lambda x: x == t)), F.size(F.filter(ref, lambda x: x == t))))
-    s = df.agg(F.sum(clipped).alias("hit"), F.sum(F.size(pred)).alias("c"), F.sum(F.size(ref)).alias("r"))
+    """Clipped unigram precision of two arrays of tokens over all rows, times the brevity penalty; 0 to 100.
+
+    Tokens are counted by row and side and joined, so that a long text takes linear time.
+    """
+    rows = materialize(df.select(F.monotonically_increasing_id().alias("row"), F.col(pred).alias("p"), F.col(ref).alias("r")), "bleu-1-rows")
+    counts = lambda side: rows.select("row", F.explode(side).alias("t")).groupBy("row", "t").count()
+    hit = counts("p").join(counts("r").withColumnRenamed("count", "have"), ["row", "t"]).agg(F.coalesce(F.sum(F.least("count", "have")), F.lit(0)).alias("hit"))
+    s = rows.agg(F.sum(F.size("p")).alias("c"), F.sum(F.size("r")).alias("r")).crossJoin(hit)  # one row each
     penalty = F.when(F.col("c") >= F.col("r"), F.lit(1.0)).otherwise(F.exp(1 - F.col("r") / F.col("c")))
     return s.select(F.when(F.col("c") > 0, 100 * penalty * F.col("hit") / F.col("c")).otherwise(0.0).alias("bleu_1"))
 
@@ -252,12 +259,67 @@ def bootstrap(df: DataFrame, base: str, adapted: str, order: str, samples: int =
     draws = spark.range(samples * n).select((F.col("id") / n).cast("long").alias("b"), F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "id").cast("binary")), 1, 12), 16, 10).cast("long"), F.lit(n)).alias("i"))
     numbered = materialize(numbered, "bootstrap-rows")
     deltas = draws.join(numbered, "i").groupBy("b").agg((F.sum("d") / n).alias("d"))
+    return _interval(numbered.agg((F.sum("d") / n).alias("delta_mean")), deltas, samples)
+
+
+def _interval(mean: DataFrame, deltas: DataFrame, samples: int) -> DataFrame:
+    """mean (delta_mean), one row, with the interval and the p-value of the samples' deltas (b, d), a number each."""
     own = deltas.agg(F.sort_array(F.collect_list("d")).alias("s"), F.avg((F.col("d") <= 0).cast("double")).alias("le"), F.avg((F.col("d") >= 0).cast("double")).alias("ge"))
     at = lambda p: F.get("s", F.lit(int(p * (samples - 1))))
-    mean = numbered.agg((F.sum("d") / n).alias("delta_mean"))
     return mean.crossJoin(own).select("delta_mean", at(0.025).alias("ci_low"), at(0.975).alias("ci_high"), F.least(F.lit(1.0), 2 * F.least("le", "ge")).alias("p_value_two_sided"))
 
 
+def share_of_block(block: int, upto: list[int], samples: int, seed: int) -> np.ndarray:
+    """How many draws of each sample fall into a block, of blocks whose sizes sum up to upto[1], upto[2], ... (upto[0] is 0).
+
+    The n draws are split in two halves of the blocks by a binomial draw, and on down to the block; a split's
+    draw depends on seed and place alone, so every block finds its own share, and all shares sum to n.
+    """
+    lo, hi = 0, len(upto) - 1
+    m = np.full(samples, upto[-1], np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = np.random.default_rng([seed, lo, hi]).binomial(m, (upto[mid] - upto[lo]) / (upto[hi] - upto[lo]))
+        m, lo, hi = (left, lo, mid) if block < mid else (m - left, mid, hi)
+    return m
+
+
+def draws_of_block(block: int, values: np.ndarray, counts: np.ndarray, m: np.ndarray, seed: int) -> np.ndarray:
+    """The sum, in each sample, of m draws from a block's values, which come `counts` times each."""
+    out, rng, step = np.zeros(len(m)), np.random.default_rng([seed, block, 1 << 40]), max(1, 2_000_000 // max(1, len(values)))
+    for at in range(0, len(m), step):
+        out[at : at + step] = rng.multinomial(m[at : at + step], counts / counts.sum()) @ values
+    return out
+
+
+def bootstrap_blocks(df: DataFrame, base: str, adapted: str, samples: int = 1000, seed: int = 17, per_block: int = 100_000) -> DataFrame:
+    """bootstrap() without the product of rows and samples: exactly n draws a sample, split over blocks of rows.
+
+    Differences are counted by block and value; each block draws for itself and returns a sum for each
+    sample, so the shuffle has blocks times samples numbers. The same on any partitioning, as
+    blocks go by the values' hash and rows of equal difference are alike. Rows without either score are left out.
+    """
+    rows = df.select((F.col(adapted) - F.col(base)).cast("double").alias("d")).where("d is not null")
+    counted = rows.groupBy("d").agg(F.count("*").alias("n"))
+    size = rows.count()
+    blocks = max(1, -(-size // per_block))
+    held = materialize(counted.select(F.pmod(F.xxhash64("d"), F.lit(blocks)).cast("int").alias("block"), "d", "n"), "bootstrap-values")
+    sizes = {r["block"]: r["n"] for r in held.groupBy("block").agg(F.sum("n").alias("n")).collect()}  # a number for each block
+    if not size:
+        return df.sparkSession.createDataFrame([(float("nan"), float("nan"), float("nan"), 1.0)], "delta_mean double, ci_low double, ci_high double, p_value_two_sided double")
+    names = sorted(sizes)
+    upto = [0, *np.cumsum([sizes[b] for b in names]).tolist()]
+    place = {b: i for i, b in enumerate(names)}
+
+    def draw(key, own):
+        i, own = place[key[0].as_py()], own.sort_by("d")
+        sums = draws_of_block(i, own["d"].to_numpy(), own["n"].to_numpy(), share_of_block(i, upto, samples, seed), seed)
+        return pa.table({"b": pa.array(np.arange(samples)), "d": pa.array(sums)})
+
+    deltas = held.groupBy("block").applyInArrow(draw, "b long, d double").groupBy("b").agg((F.sum("d") / size).alias("d"))
+    return _interval(held.agg((F.sum(F.col("d") * F.col("n")) / size).alias("delta_mean")), materialize(deltas, "bootstrap-deltas"), samples)
+
+
 def baseline_delta(now: DataFrame, before: DataFrame) -> DataFrame:
     """(metric, value, baseline, delta) of the metrics that both have."""
     return now.join(before.select("metric", F.col("value").alias("baseline")), "metric").select("metric", "value", "baseline", (F.col("value") - F.col("baseline")).alias("delta"))

@@ -116,6 +116,11 @@ def mean_nll(rows: DataFrame, by: str, nll: str = "nll", mask: str = "mask") ->
     return rows.select(by, (F.aggregate(kept, F.lit(0.0), lambda a, x: a + x[nll]) / F.size(kept)).alias("mean_nll"))
 
 
+def mean_nll_of(rows: DataFrame, by: str, nll: str = "nll", mask: str = "mask") -> DataFrame:
+    """The same of rows with a token's loss each, which no task gathers."""
+    return rows.where(F.col(mask) == 1).groupBy(by).agg(F.avg(nll).alias("mean_nll"))
+
+
 def generate(prompts: DataFrame, generator: Callable[[], Callable[[list[str]], list[str]]], prompt: str = "prompt") -> DataFrame:
     """prompts with a column `raw`: the hook for a text generator, made once in each Python worker."""
 

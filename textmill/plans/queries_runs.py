@@ -171,9 +171,8 @@ def paired_runs(spark, sf_dir):
 
 @query("select user_id, round(avg(value), 6) as mean_nll from events where event_id % 3 <> 0 group by user_id")
 def mean_nll(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct("value", (F.col("event_id") % 3 != 0).cast("int").alias("mask"))).alias("t"))
-    rows = rows.select("user_id", F.transform("t", lambda x: x["value"]).alias("nll"), F.transform("t", lambda x: x["mask"]).alias("mask"))
-    return tokens.mean_nll(rows, "user_id").where("mean_nll is not null").withColumn("mean_nll", F.round("mean_nll", 6))
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("value").alias("nll"), (F.col("event_id") % 3 != 0).cast("int").alias("mask"))
+    return tokens.mean_nll_of(rows, "user_id").withColumn("mean_nll", F.round("mean_nll", 6))
 
 
 @query("with v as (select item_id as row, l as letter, v as variant, case when item_id % 5 = 0 then '-inf'::double else -((('0x' || substr(md5(item_id || v || l), 1, 2))::int % 7)::double) end as ll from benchmark, (select unnest(['A', 'B', 'C', 'D']) as l), (select unnest([0, 1]) as v)), m as (select row, letter, max(ll) as ll from v group by all) select row, case when max(ll) = '-inf'::double then '' else arg_min(letter, -ll * 10 + ascii(letter) / 1000.0) end as choice from m group by row")
