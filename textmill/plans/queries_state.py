@@ -35,9 +35,9 @@ BOUND, AGE_DAYS, SHARDS = 12, 2, 8
 @query(f"""with recursive e as (select event_id, u, t, shard, row_number() over (partition by shard order by t, event_id) as n
         from (select event_id, user_id::varchar as u, epoch_us(ts) as t, ('0x' || substr(md5(user_id::varchar), 1, 8))::bigint % {SHARDS} as shard from events)),
     s(shard, n, event_id, u, fresh, state) as (select shard, 0::bigint, null::bigint, null::varchar, false, []::struct(u varchar, t bigint)[] from (select distinct shard from e)
-        union all select e.shard, e.n, e.event_id, e.u, not list_contains(list_transform(c, lambda x: x.u), e.u),
-            case when list_contains(list_transform(c, lambda x: x.u), e.u) then c else list_append(c, {{'u': e.u, 't': e.t}})[-{BOUND}:] end
-        from (select s.shard, s.n, e.event_id, e.u, e.t, list_filter(s.state, lambda x: x.t >= e.t - {AGE_DAYS * 86_400_000_000}) as c from s join e on e.shard = s.shard and e.n = s.n + 1) c join e on e.shard = c.shard and e.n = c.n + 1)
+        union all select shard, n, event_id, u, not held, case when held then c else list_append(c, {{'u': u, 't': t}})[-{BOUND}:] end
+        from (select *, list_contains(list_transform(c, lambda x: x.u), u) as held from
+            (select e.*, list_filter(s.state, lambda x: x.t >= e.t - {AGE_DAYS * 86_400_000_000}) as c from s join e on e.shard = s.shard and e.n = s.n + 1)))
     select event_id, u as user, shard, len(state)::int as held from s where fresh""")
 def stream_bounded_recent(spark, sf_dir):
     """The first event of each user that isn't among its shard's last twelve, of two days: four runs over files in the order of their times."""

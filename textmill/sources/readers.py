@@ -188,7 +188,7 @@ def folder_bytes(spark: SparkSession, path: str, target: int | None = None) -> D
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     root = "/" + path.split("://", 1)[-1].split("/", 1)[-1].strip("/") + "/" if "://" in path else path.rstrip("/") + "/"
-    below = F.substring_index("path", F.lit(root), -1)
+    below = F.substring_index("path", root, -1)
     own = files.select(F.substring_index(below, "/", 1).alias("name"), "length").groupBy("name").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
     whole = own.agg(F.sum("bytes").alias("_all"))
     return own.crossJoin(F.broadcast(whole)).select("name", "files", "bytes", F.round(100 * F.col("bytes") / (F.lit(target) if target else F.col("_all")), 4).alias("percent"))  # one row beside each
