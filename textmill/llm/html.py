@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped and the page becomes lines, one for each block of text. Tags and classes only
-weigh the lines: one that stands in a menu, header, footer, sidebar, notice, advert, form or
-comment keeps its place but weighs nothing, one in an article or main element weighs more, and
-one outside of it nothing where the article has most of the page's text. The weighed lengths are
-summed over sliding windows of lines; a surge is where the sum rises over a mark, a dive where it
-falls back to nothing. What lies from the first span with a surge to the last one is kept.
+Markup is stripped, with what stands in menus, headers, footers, sidebars, notices, adverts, forms
+and comments, and the page becomes lines, one for each block of text. The lengths of the lines are
+summed over sliding windows; a surge is where the sum rises over a mark, a dive where it falls
+back to nothing. What lies from the first span with a surge to the last one is kept. An article
+or main element is a prior, less than the mark: its lines count somewhat more, and lines outside of it
+less, where it has most of the page's text; text enough outside makes a surge all the same, and too
+little inside makes none.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 
 from textmill.llm.common import map_arrow, steps
 
-#: Lines in a window, and the weighed characters in it that make a surge. A line of an article weighs
-#: as much as that by itself, so none of its paragraphs is too short.
-WINDOW, SURGE = 3, 40
+#: Lines in a window, the weighed characters in it that make a surge, and what a line in an article counts
+#: more. A window of any three lines of an article has a surge; none of them has one by its place alone.
+WINDOW, SURGE, PRIOR = 3, 40, 14
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Elements by their role.
@@ -236,18 +237,31 @@ def page_lines(html: str) -> list[tuple[str, bool, bool]]:
     return [(text, own or n > (least if main else 0), main) for text, n, own, main in told]
 
 
+def windows(sizes: list[int]) -> np.ndarray:
+    """The sum of each line and those after it in its window."""
+    return np.convolve(np.array(sizes, dtype=np.int64), np.ones(WINDOW, np.int64))[WINDOW - 1 :] if sizes else np.zeros(0, np.int64)
+
+
 def weights(lines: list[tuple[str, bool, bool]]) -> list[int]:
-    """What each line counts in the distribution."""
+    """What each line counts in the distribution: its length, and a prior by its place that is less than the mark.
+
+    A line of an article counts PRIOR more. Where articles have most of the page's text, a line outside of
+    them counts by what it has beyond the mark, and only where a window of such lines has a surge of its own.
+    """
     inside = sum(len(text) for text, skip, main in lines if main and not skip)
     outside = sum(len(text) for text, skip, main in lines if not main and not skip)
-    return [0 if skip or (not main and inside >= outside) else len(text) + (SURGE if main else 0) for text, skip, main in lines]
+    if inside < outside:
+        return [0 if skip else len(text) + (PRIOR if main else 0) for text, skip, main in lines]
+    beyond = [0 if skip or main else max(0, len(text) - SURGE + 1) for text, skip, main in lines]
+    surge = windows(beyond) >= SURGE
+    counts = [bool(surge[max(0, i - WINDOW + 1) : i + 1].any()) for i in range(len(lines))]
+    return [0 if skip else len(text) + PRIOR if main else own * here for (text, skip, main), own, here in zip(lines, beyond, counts, strict=True)]
 
 
 def spans(sizes: list[int]) -> list[tuple[int, int, bool]]:
     """(surge, dive, whether the mark is reached) of each stretch of lines with text: it begins where a
     line counts something, and ends where a window of lines holds nothing."""
-    sums = np.convolve(np.array(sizes), np.ones(WINDOW, int))[WINDOW - 1 :]  # of a line and those after it
-    out, i = [], 0
+    sums, out, i = windows(sizes), [], 0
     while i < len(sizes):
         if sizes[i]:
             end = i
@@ -260,11 +274,19 @@ def spans(sizes: list[int]) -> list[tuple[int, int, bool]]:
 
 
 def main_text(html: str) -> str:
-    """The lines that count from the first span with a surge to the last one, joined by line feeds; of all spans if none has one."""
+    """The lines that count from the first span with a surge to the last one, joined by line feeds; of all spans if none has one.
+
+    Where there is an article, lines beside it take no place in the windows, so that an advert in its midst is no dive;
+    elsewhere they are the borders that there are. Of the spans with a surge those that hold a line of
+    an article are taken, if any does.
+    """
     lines = page_lines(html)
+    if any(main and not skip for _, skip, main in lines):
+        lines = [line for line in lines if not line[1]]
     sizes = weights(lines)
-    found = spans(sizes) if lines else []
+    found = spans(sizes)
     kept = [x for x in found if x[2]] or found
+    kept = [x for x in kept if any(main for _, _, main in lines[x[0] : x[1]])] or kept
     if not kept:
         return ""
     return "\n".join(text for (text, _, _), size in zip(lines[kept[0][0] : kept[-1][1]], sizes[kept[0][0] : kept[-1][1]], strict=True) if size)
