@@ -184,7 +184,7 @@ def grid(spark: SparkSession, **values: list) -> DataFrame:
 def folder_bytes(spark: SparkSession, path: str, target: int | None = None) -> DataFrame:
     """(name, files, bytes, percent) of each entry of a folder with all below it: what a run has written so far, and its share of the target (of all bytes without one).
 
-    Names and sizes alone are listed, by Spark's readers; no file is opened.
+    Names and sizes alone are listed, by Spark's readers; no file is opened. Hidden and empty files aren't counted.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     root = "/" + path.split("://", 1)[-1].split("/", 1)[-1].strip("/") + "/" if "://" in path else path.rstrip("/") + "/"
