@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textmill.functions import prompts
 from textmill.functions import text as T
 from textmill.operators import align, budget, dedup, events, metrics, preflight, spaces, terms, tokens
-from textmill.plans.registry import query, table
+from textmill.plans.registry import digest, digest_sql, query, table
 from textmill.plans.shared import materialize, shared_path
 from textmill.streaming import incremental
 
@@ -457,10 +457,10 @@ def log_classification(spark, sf_dir):
 UNIT = "u as (select vec_id, embedding, label, list_transform(embedding, lambda x: x::double / case when n = 0 then 1 else n end) as unit from (select *, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings))"
 
 
-@query(f"with {UNIT} select vec_id, round(list_inner_product(unit, unit), 6) as n2, round(unit[1], 6) as u0 from u")
+@query(f"with {UNIT} select vec_id, round(list_inner_product(unit, unit), 6) as n2, {digest_sql('unit')} as digest from u")
 def vec_normalize(spark, sf_dir):
     u = align.with_unit(table(spark, sf_dir, "embeddings"), "embedding")
-    return u.select("vec_id", F.round(align.dot("unit", "unit"), 6).alias("n2"), F.round(F.get("unit", F.lit(0)), 6).alias("u0"))
+    return u.select("vec_id", F.round(align.dot("unit", "unit"), 6).alias("n2"), digest("unit").alias("digest"))
 
 
 VOCAB = "{a} as (select distinct token, ('0x' || substr(md5('{l}' || token), 1, 8))::bigint as id from (select unnest(" + words_sql("text").replace("{", "{{").replace("}", "}}") + ") as token from documents where lang = '{l}'))"
@@ -524,11 +524,11 @@ def align_cascade(spark, sf_dir):
     return align.align(vectors.select("id").union(bare), gold, vectors, vectors, rows.count(), unknown=0).withColumn("margin", F.round("margin", 6))
 
 
-@query("select a.vec_id as tgt_id, b.vec_id as src_id, round(b.embedding[1]::double, 6) as v0 from embeddings a join embeddings b on b.vec_id = a.label")
+@query(f"select a.vec_id as tgt_id, b.vec_id as src_id, {digest_sql('b.embedding')} as digest from embeddings a join embeddings b on b.vec_id = a.label")
 def gather_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     g = align.gather_rows(rows.select(F.col("vec_id").alias("tgt_id"), F.col("label").cast("long").alias("src_id")), rows.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec")))
-    return g.select("tgt_id", "src_id", F.round(F.get("vec", F.lit(0)).cast("double"), 6).alias("v0"))
+    return g.select("tgt_id", "src_id", digest("vec").alias("digest"))
 
 
 @query("select label as src_id, min(vec_id) as tgt_id from embeddings group by label")

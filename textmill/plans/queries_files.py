@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textmill.functions import text as T
 from textmill.operators import align, budget, tokens
 from textmill.plans.queries import HAVE, _build_sql, _built, words_sql
-from textmill.plans.registry import query, table
+from textmill.plans.registry import digest, digest_sql, query, table
 from textmill.plans.shared import exists, shared_path
 from textmill.sources import readers, sinks
 from textmill.streaming import incremental
@@ -51,11 +51,11 @@ def jsonl_strict_scan(spark, sf_dir):
     return readers.json_lines(spark, path, DOC_SCHEMA, strict=True)
 
 
-@query("select 't' || vec_id as token, len(embedding) as width, round(embedding[1]::double, 6) as first, round(embedding[-1]::double, 6) as last from embeddings")
+@query(f"select 't' || vec_id as token, len(embedding) as width, {digest_sql('embedding')} as digest from embeddings")
 def vector_lines_round_trip(spark, sf_dir):
     path = shared_path(spark, "vectors")
     sinks.vector_lines(table(spark, sf_dir, "embeddings").select(F.concat(F.lit("t"), "vec_id").alias("token"), F.col("embedding").alias("vec")), path)
-    return readers.vectors(spark, path).select("token", F.size("vec").alias("width"), F.round(F.get("vec", F.lit(0)).cast("double"), 6).alias("first"), F.round(F.element_at("vec", -1).cast("double"), 6).alias("last"))
+    return readers.vectors(spark, path).select("token", F.size("vec").alias("width"), digest("vec").alias("digest"))
 
 
 @query("select count(*) as rows, max(len(embedding)) as width from embeddings")
@@ -356,10 +356,10 @@ def fragmentation_delta(spark, sf_dir):
     return tokens.fragmentation(table(spark, sf_dir, "part").select(F.col("p_brand").alias("term")), lambda: tokens.word_lengths(), words)
 
 
-@query("select tensor, page_id as row_id, v from (select unnest(['model.embed_tokens.weight', 'lm_head.weight']) as tensor), (select a.vec_id as page_id, round(b.embedding[1]::double, 6) as v from embeddings a join embeddings b on b.vec_id = a.label) union all select 'norm.weight', vec_id, round(embedding[1]::double, 6) from embeddings")
+@query(f"select tensor, page_id as row_id, v from (select unnest(['model.embed_tokens.weight', 'lm_head.weight']) as tensor), (select a.vec_id as page_id, {digest_sql('b.embedding')} as v from embeddings a join embeddings b on b.vec_id = a.label) union all select 'norm.weight', vec_id, {digest_sql('embedding')} from embeddings")
 def remap_model(spark, sf_dir):
     """The rows of a model's embedding and head are gathered anew, other tensors stay."""
     rows = table(spark, sf_dir, "embeddings")
     tensors = rows.select(F.explode(F.array(*map(F.lit, ("model.embed_tokens.weight", "lm_head.weight", "norm.weight")))).alias("tensor"), F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
     moved = align.remap(tensors, rows.select(F.col("vec_id").alias("tgt_id"), F.col("label").cast("long").alias("src_id")), "mistral")
-    return moved.select("tensor", "row_id", F.round(F.get("vec", F.lit(0)).cast("double"), 6).alias("v"))
+    return moved.select("tensor", "row_id", digest("vec").alias("v"))

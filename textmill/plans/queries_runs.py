@@ -21,10 +21,10 @@ def parse_nli(spark, sf_dir):
     return rows.select("conv_id", "turn", T.parse_nli("text").alias("nli"))
 
 
-@query(f"select doc_id, list_filter([array_to_string({words_sql('text')}[:3], ' '), coalesce(lang, ''), ''], lambda v: v <> '') as spans from documents")
+@query(f"select doc_id, list_filter([array_to_string({words_sql('text')}, ' '), coalesce(lang, ''), ''], lambda v: v <> '') as spans from documents")
 def ner_gold_spans(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    entities = F.array(*[F.struct(x.alias("text")) for x in (F.slice(T.words("text"), 1, 3), F.array(F.coalesce("lang", F.lit(""))), F.array().cast("array<string>"))])
+    entities = F.array(*[F.struct(x.alias("text")) for x in (T.words("text"), F.array(F.coalesce("lang", F.lit(""))), F.array().cast("array<string>"))])
     return docs.select("doc_id", prompts.ner_gold(entities).alias("spans"))
 
 
