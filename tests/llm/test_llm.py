@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SF
+from yardstick import plan_best_fit
 
 pytest.importorskip("public_tokenizers")
 import public_tokenizers as P  # noqa: E402
@@ -551,7 +552,7 @@ def test_plan_and_rounds_need_about_as_many_sequences(seed):
     """Either may need a few fewer: rounds do for seeds 0 and 4, the plan for the others."""
     r = random.Random(seed)
     counts = {min(2048, int(r.lognormvariate(5.7, 1)) + 1): r.randrange(1, 2000) for _ in range(800)}
-    planned = sum(hi - lo for _, lo, hi, _, offset in packing.plan_best_fit(counts) if offset == 0)
+    planned = sum(hi - lo for _, lo, hi, _, offset in plan_best_fit(counts) if offset == 0)
     rounds = swept(counts, 2048)[0]
     lower = math.ceil(sum(k * n for k, n in counts.items()) / 2048)
     assert lower <= min(planned, rounds) and max(planned, rounds) <= 1.005 * lower
@@ -561,7 +562,7 @@ def test_plan_and_rounds_need_about_as_many_sequences(seed):
 def test_plan_is_best_fit_decreasing(seed):
     r = random.Random(seed)
     counts = {r.randrange(1, 65): r.randrange(1, 200) for _ in range(r.randrange(1, 40))}
-    plan = packing.plan_best_fit(counts, 64)
+    plan = plan_best_fit(counts, 64)
     placed, fill = Counter(), {}
     for length, lo, hi, first, offset in plan:
         placed[length] += hi - lo

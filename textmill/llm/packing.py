@@ -1,13 +1,10 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Tokenising is one pass without a shuffle. The bulk-synchronous method (range-sort documents and
-gaps, distributed successor sweeps, conflicts by rank, repeat) is not run; it is replaced by a plan
-that the driver makes over the histogram of lengths. Equally long documents are alike to
-best fit, so at most `capacity` counts decide the packing: the driver takes them from the longest
-to the shortest and gives each run the smallest gap that is long enough, which is best-fit
-decreasing. There is no distributed sweep or round; the tests hold the rounds in plain form, which
-need about as many sequences, now more and now fewer. Executors count the pieces by length, rank
-them within their length by partition, and look their place up in the finished plan.
+Tokenising is one pass without a shuffle, and counts the pieces by length and partition. Equally
+long pieces are alike to best fit, so the packing is made over runs of equal lengths (rounds.py), in
+bulk-synchronous rounds: documents and gaps sorted, swept for the smallest gap that is large
+enough, conflicts resolved by rank, gaps updated. Pieces then look their place up by length and
+rank.
 """
 
 from __future__ import annotations
@@ -15,7 +12,6 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import discard, held, local_file, map_arrow, materialize, shipped_file, steps
+from textmill.llm import rounds
+from textmill.llm.common import few, held, local_file, map_arrow, materialize, shipped_file, steps
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers; when so many are known, the plain ones are kept until the next time, and of them those not met by then are forgotten. Results don't depend on it.
@@ -129,62 +126,15 @@ def tokenize(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, PIECES)
 
 
-def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset): where the pieces of each length go.
-
-    A sequential loop on the driver, from the longest run of documents to the shortest. Gaps are runs of sequences
-    that are filled alike: gaps[g] holds (first sequence, number) and `order` the sizes in use.
-    """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    order: list[int] = []
-    plan: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(order, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, end = 0, counts[length]
-        while rank < end:
-            at = bisect_left(order, length)
-            if at < len(order):  # the successor: the smallest gap that takes this length
-                gap = order[at]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], order[at]
-                take = min(n, end - rank)
-                plan.append((length, rank, rank + take, first, capacity - gap))
-                put(gap, first + take, n - take)
-                put(gap - length, first, take)
-                rank += take
-            else:  # new sequences, as many of this length in each as fit
-                each = capacity // length
-                n = (end - rank) // each or 1
-                for slot in range(min(each, end - rank)):
-                    plan.append((length, rank, rank + n, opened, slot * length))
-                    rank += n
-                    used = (slot + 1) * length
-                put(capacity - used, opened, n)
-                opened += n
-    return plan
-
-
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces of tokenize() with sequence_id and offset."""
-    spark = pieces.sparkSession
     pieces = materialize(pieces, "pieces")
     held = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
-    # At most `capacity` rows come to the driver, whatever the size of the input.
-    counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.createDataFrame(plan_best_fit(counts, capacity), "length long, lo long, hi long, first_sequence long, offset long")
+    runs, _ = rounds.plan(held.groupBy("length").agg(F.sum("n").alias("n")), capacity)
+    plan = materialize(runs.withColumnRenamed("length", "plan_length"), "packing-plan")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     ranked = pieces.join(held.select("part", "length", F.coalesce(before, F.lit(0)).alias("before")), ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
-    p = plan.withColumnRenamed("length", "plan_length")
-    placed = ranked.join(F.broadcast(p), (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    placed = ranked.join(few(plan), (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
@@ -196,7 +146,7 @@ def pack_documents(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
     ids are carried along, other columns are left out. Pieces of one length are alike to the
     packing; their ranks decide. An empty table gives an empty result.
 
-    The largest shuffle carries about 50 bytes a piece. The plan that is broadcast depends on
-    the number of distinct lengths (at most `capacity`), not on the number of documents.
+    The largest shuffle carries about 50 bytes a piece. The rounds' tables and the plan depend on the
+    number of distinct lengths (at most `capacity`) and of rounds, not on the number of documents.
     """
     return pack(tokenize(df, tokenizer, capacity, id_col, text_col), capacity)

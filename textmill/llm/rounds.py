@@ -99,7 +99,8 @@ def plan(counts: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     The driver holds the number of sequences, and whether any document waits; each round's runs are written.
     """
     spark: SparkSession = counts.sparkSession
-    state, known, rounds, news, mets = _rows(counts, DOCUMENT, "length", F.lit(0), "n"), 0, 0, [], []
+    state = materialize(_rows(counts, DOCUMENT, "length", F.lit(0), "n"), "round-lengths")
+    known, rounds, news, mets = 0, 0, [], []
     while True:
         now = begun(state, known, capacity)
         news.append(now._textmill_path)
