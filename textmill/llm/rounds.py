@@ -26,26 +26,28 @@ GAP, DOCUMENT, PLACED = 0, 1, 2
 STATE = "kind int, size long, first long, n long, sequence long, offset long"
 
 
-def _rows(df: DataFrame, kind: int, size, first, n, sequence=None, offset=None) -> DataFrame:
-    own = lambda x: F.lit(None).cast("long") if x is None else (F.col(x) if isinstance(x, str) else x).cast("long")
-    return df.select(F.lit(kind).alias("kind"), own(size).alias("size"), own(first).alias("first"), own(n).alias("n"), own(sequence).alias("sequence"), own(offset).alias("offset")).where("n > 0 and size > 0")
+#: All rows of a table of runs; such a table is in one partition, as sorting runs is no work worth a shuffle.
+WHOLE = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def opened(documents: DataFrame, gaps: DataFrame, known: int, capacity: int) -> DataFrame:
-    """(size, first, own, sequence): documents longer than every gap in new sequences, the fewest that could hold all of these, the longest first."""
-    top = gaps.agg(F.coalesce(F.max("size"), F.lit(0)).alias("top"))  # one row
-    beyond = documents.crossJoin(F.broadcast(top)).where("size > top").drop("top")
-    halves = F.coalesce(F.sum(F.when(2 * F.col("size") > capacity, F.col("n"))), F.lit(0))
-    need = beyond.agg(F.greatest(halves, F.ceil(F.sum(F.col("size") * F.col("n")) / capacity)).alias("need"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = beyond.withColumn("before", before).crossJoin(F.broadcast(need)).withColumn("own", F.greatest(F.lit(0), F.least("n", F.col("need") - F.col("before"))))
-    return taken.where("own > 0").select("size", "first", "own", (F.lit(known) + F.col("before")).alias("sequence"))
+def begun(state: DataFrame, known: int, capacity: int) -> DataFrame:
+    """STATE with new sequences for documents longer than every gap: the fewest that could hold all of these, the longest first."""
+    rows = state.coalesce(1).select("kind", "size", "first", "n").withColumn("top", F.coalesce(F.max(F.when(F.col("kind") == GAP, F.col("size"))).over(WHOLE), F.lit(0)))
+    rows = rows.withColumn("beyond", (F.col("kind") == DOCUMENT) & (F.col("size") > F.col("top")))
+    total = lambda test, x: F.coalesce(F.sum(F.when(test, x)).over(WHOLE), F.lit(0))
+    need = F.greatest(total(F.col("beyond") & (2 * F.col("size") > capacity), F.col("n")), F.ceil(total(F.col("beyond"), F.col("size") * F.col("n")) / capacity))
+    before = F.coalesce(F.sum(F.when(F.col("beyond"), F.col("n"))).over(Window.orderBy(F.desc("size"), "kind", "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("need", need).withColumn("before", before).withColumn("own", F.when(F.col("beyond"), F.greatest(F.lit(0), F.least("n", F.col("need") - F.col("before")))).otherwise(F.lit(0)))
+    null, new = F.lit(None).cast("long"), F.lit(known) + F.col("before")
+    one = lambda kind, *of: F.struct(*[x.cast("long" if i else "int").alias(name) for i, (x, name) in enumerate(zip((kind, *of), ("kind", "size", "first", "n", "sequence", "offset"), strict=True))])
+    own = F.col("own")
+    each = F.array(one(F.col("kind"), F.col("size"), F.col("first") + own, F.col("n") - own, null, null), one(F.lit(PLACED), F.col("size"), F.col("first"), own, new, F.lit(0)), one(F.lit(GAP), F.lit(capacity) - F.col("size"), new, own, null, null))
+    return materialize(rows.select(F.explode(each).alias("x")).select("x.*").where("n > 0 and size > 0"), "round-begun")
 
 
 def heights(documents: DataFrame, gaps: DataFrame) -> DataFrame:
     """The runs of documents (size, first, n) and the sums of the gaps by size from large to small, each with the stack's height before and after it."""
-    events = gaps.groupBy("size").agg(F.sum("n").alias("n")).select(F.lit(GAP).alias("kind"), "size", F.lit(0).cast("long").alias("first"), "n")
-    events = events.unionByName(documents.select(F.lit(DOCUMENT).alias("kind"), "size", "first", "n"))
+    events = documents.withColumn("kind", F.lit(DOCUMENT)).unionByName(gaps.withColumn("kind", F.lit(GAP))).coalesce(1).groupBy("kind", "size").agg(F.max("first").alias("first"), F.sum("n").alias("n"))
     order = Window.orderBy(F.desc("size"), "kind")  # two rows for each size at most
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     events = events.withColumn("u", F.sum(F.when(F.col("kind") == GAP, F.col("n")).otherwise(-F.col("n"))).over(upto))
@@ -66,31 +68,23 @@ def matched(events: DataFrame, gaps: DataFrame) -> DataFrame:
     free = cells.where(F.col("kind") == GAP).select("size", (F.col("under") - F.col("was")).alias("at"), (F.col("high") - F.col("under")).alias("wide"), "by", "rank")
     # The units of a size are its sequences in order.
     runs = gaps.withColumn("c", F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    met = free.join(runs.withColumnRenamed("size", "_size"), (F.col("size") == F.col("_size")) & (F.col("at") < F.col("c") + F.col("n")) & (F.col("c") < F.col("at") + F.col("wide")))
+    met = free.join(F.broadcast(runs.withColumnRenamed("size", "_size")), (F.col("size") == F.col("_size")) & (F.col("at") < F.col("c") + F.col("n")) & (F.col("c") < F.col("at") + F.col("wide")))
     start, end = F.greatest("at", "c"), F.least(F.col("at") + F.col("wide"), F.col("c") + F.col("n"))
     return met.select("size", "by", (F.col("rank") + start - F.col("at")).alias("rank"), (F.col("first") + start - F.col("c")).alias("sequence"), (end - start).alias("n"))
 
 
-def begun(state: DataFrame, known: int, capacity: int) -> DataFrame:
-    """STATE with sequences opened for what no gap can take."""
-    documents, gaps = (state.where(F.col("kind") == k).select("size", "first", "n") for k in (DOCUMENT, GAP))
-    new = materialize(opened(documents, gaps, known, capacity), "round-opened")
-    rest = documents.join(F.broadcast(new.select("size", "own")), "size", "left").select("size", (F.col("first") + F.coalesce("own", F.lit(0))).alias("first"), (F.col("n") - F.coalesce("own", F.lit(0))).alias("n"))  # a row for each length
-    out = _rows(rest, DOCUMENT, "size", "first", "n").unionByName(_rows(gaps, GAP, "size", "first", "n"))
-    out = out.unionByName(_rows(new, PLACED, "size", "first", "own", "sequence", F.lit(0)))
-    out = out.unionByName(_rows(new.withColumn("room", F.lit(capacity) - F.col("size")), GAP, "room", "sequence", "own"))
-    return materialize(out.coalesce(1), "round-begun")
-
-
-def swept(begun_: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
-    """(STATE of the gaps and of the documents that wait, the written matches) after a sweep."""
-    documents, gaps = (begun_.where(F.col("kind") == k).select("size", "first", "n") for k in (DOCUMENT, GAP))
-    events = materialize(heights(documents, gaps), "round-heights")
-    met = materialize(matched(events, gaps).coalesce(4), "round-matched")
-    left = _rows(met, GAP, F.when(F.col("by").isNull(), F.col("size")).otherwise(F.col("size") - F.col("by")), "sequence", "n")
+def swept(begun_: DataFrame, capacity: int) -> DataFrame:
+    """STATE after a sweep: what was placed, the gaps, and the documents that wait."""
+    runs = begun_.coalesce(1)
+    documents, gaps = (runs.where(F.col("kind") == k).select("size", "first", "n") for k in (DOCUMENT, GAP))
+    events = heights(documents, gaps)
+    met = matched(events, gaps).withColumn("room", F.when(F.col("by").isNull(), F.col("size")).otherwise(F.col("size") - F.col("by")))
+    null = F.lit(None).cast("long")
+    one = lambda kind, *of: F.struct(*[(F.col(x) if isinstance(x, str) else x).cast("long" if i else "int").alias(name) for i, (x, name) in enumerate(zip((F.lit(kind), *of), ("kind", "size", "first", "n", "sequence", "offset"), strict=True))])
+    out = met.select(F.explode(F.array(one(GAP, "room", "sequence", "n", null, null), one(PLACED, "by", "rank", "n", "sequence", F.lit(capacity) - F.col("size")))).alias("x")).select("x.*")
     took = F.greatest(F.lit(0), F.col("was") - F.col("h"))
-    wait = _rows(events.where(F.col("kind") == DOCUMENT), DOCUMENT, "size", F.col("first") + took, F.col("n") - took)
-    return left.unionByName(wait), met
+    wait = events.where(F.col("kind") == DOCUMENT).select(F.explode(F.array(one(DOCUMENT, "size", F.col("first") + took, F.col("n") - took, null, null))).alias("x")).select("x.*")
+    return materialize(out.unionByName(wait).where("n > 0 and size > 0").coalesce(4), "round-swept")
 
 
 def plan(counts: DataFrame, capacity: int) -> tuple[DataFrame, int]:
@@ -99,20 +93,16 @@ def plan(counts: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     The driver holds the number of sequences, and whether any document waits; each round's runs are written.
     """
     spark: SparkSession = counts.sparkSession
-    state = materialize(_rows(counts, DOCUMENT, "length", F.lit(0), "n"), "round-lengths")
-    known, rounds, news, mets = 0, 0, [], []
+    state = materialize(counts.select(F.lit(DOCUMENT).alias("kind"), F.col("length").cast("long").alias("size"), F.lit(0).cast("long").alias("first"), F.col("n").cast("long").alias("n"), F.lit(None).cast("long").alias("sequence"), F.lit(None).cast("long").alias("offset")).where("n > 0"), "round-lengths")
+    known, rounds, paths = 0, 0, []
     while True:
-        now = begun(state, known, capacity)
-        news.append(now._textmill_path)
+        now = begun(state.where(F.col("kind") != PLACED), known, capacity)
+        paths.append(now._textmill_path)
         told = now.agg(F.count(F.when(F.col("kind") == DOCUMENT, 1)), F.max(F.when(F.col("kind") == PLACED, F.col("sequence") + F.col("n")))).first()
         known, rounds = max(known, told[1] or 0), rounds + 1
         if not told[0]:
             break
-        state, met = swept(now, capacity)
-        mets.append(met._textmill_path)
-    opened_ = spark.read.schema(STATE).parquet(*news).where(F.col("kind") == PLACED)
-    out = opened_.select(F.col("size").alias("length"), F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"), F.col("sequence").alias("first_sequence"), "offset")
-    if mets:
-        taken = spark.read.schema("size long, by long, rank long, sequence long, n long").parquet(*mets).where("by is not null")
-        out = out.unionByName(taken.select(F.col("by").alias("length"), F.col("rank").alias("lo"), (F.col("rank") + F.col("n")).alias("hi"), F.col("sequence").alias("first_sequence"), (F.lit(capacity) - F.col("size")).alias("offset")))
-    return out, rounds
+        state = swept(now, capacity)
+        paths.append(state._textmill_path)
+    placed = spark.read.schema(STATE).parquet(*paths).where(F.col("kind") == PLACED)
+    return placed.select(F.col("size").alias("length"), F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"), F.col("sequence").alias("first_sequence"), "offset"), rounds
