@@ -26,15 +26,16 @@ GAP, DOCUMENT, PLACED = 0, 1, 2
 STATE = "kind int, size long, first long, n long, sequence long, offset long"
 
 
-#: All rows of a table of runs; such a table is in one partition, as sorting runs is no work worth a shuffle.
-WHOLE = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
 
 def begun(state: DataFrame, known: int, capacity: int) -> DataFrame:
-    """STATE with new sequences for documents longer than every gap: the fewest that could hold all of these, the longest first."""
-    rows = state.coalesce(1).select("kind", "size", "first", "n").withColumn("top", F.coalesce(F.max(F.when(F.col("kind") == GAP, F.col("size"))).over(WHOLE), F.lit(0)))
+    """STATE with new sequences for documents longer than every gap: the fewest that could hold all of these, the longest first.
+
+    A table of runs is in one partition here, as sorting runs is no work worth a shuffle.
+    """
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = state.coalesce(1).select("kind", "size", "first", "n").withColumn("top", F.coalesce(F.max(F.when(F.col("kind") == GAP, F.col("size"))).over(whole), F.lit(0)))
     rows = rows.withColumn("beyond", (F.col("kind") == DOCUMENT) & (F.col("size") > F.col("top")))
-    total = lambda test, x: F.coalesce(F.sum(F.when(test, x)).over(WHOLE), F.lit(0))
+    total = lambda test, x: F.coalesce(F.sum(F.when(test, x)).over(whole), F.lit(0))
     need = F.greatest(total(F.col("beyond") & (2 * F.col("size") > capacity), F.col("n")), F.ceil(total(F.col("beyond"), F.col("size") * F.col("n")) / capacity))
     before = F.coalesce(F.sum(F.when(F.col("beyond"), F.col("n"))).over(Window.orderBy(F.desc("size"), "kind", "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("need", need).withColumn("before", before).withColumn("own", F.when(F.col("beyond"), F.greatest(F.lit(0), F.least("n", F.col("need") - F.col("before")))).otherwise(F.lit(0)))
