@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.operators.budget import running_before
-from textmill.plans.shared import materialize
 
 # Where models of each type keep the rows of their input embeddings and of their output head.
 EMBEDDING_ROWS = {"gpt_neox": "gpt_neox.embed_in.weight", "llama": "model.embed_tokens.weight", "mistral": "model.embed_tokens.weight", "qwen2": "model.embed_tokens.weight", "qwen2_moe": "model.embed_tokens.weight"}
