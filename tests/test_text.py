@@ -101,3 +101,10 @@ def test_mcq_labels(spark):
     assert [r["gold"] for r in prompts.medqa(rows).collect()] == ["A", "B", "D", "D", "", "C", "D"]
     assert [r["gold"] for r in prompts.medmcqa(rows).collect()] == ["A", "B", "D", "D", "", "C", ""]
     assert "A) w\nB) x\n" in prompts.medqa(rows).first()["prompt"]
+
+
+def test_naive_entities_take_no_lambda_for_each(spark):
+    plan = spark.createDataFrame([("a",)], "t string").select(T.naive_entities("t").alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "split" not in plan
+    odd = ["Ab cd  Ef\x1cgh", "aB Cd", "Ab C Def", "  Ab ", "Ab" * 3, "Ab\n" * 50_000, "éab Cd"]
+    assert many(spark, T.naive_entities("t"), odd) == [re.findall(T.ENTITY, t) for t in odd]
