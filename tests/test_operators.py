@@ -354,3 +354,13 @@ def test_stream_dedup_is_repeatable(spark, tmp_path):
     spark.createDataFrame([(3, "a b c"), (4, "e")], schema).write.mode("append").json(str(source))
     run()
     assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 4]
+
+
+def test_minhash_takes_no_lambda_for_each_permutation(spark):
+    sets = spark.createDataFrame([(1, [7, 3, dedup.PRIME - 1]), (2, []), (3, [5]), (4, [3, 3])], "id long, v array<long>")
+    moves = dedup.permutations(63)
+    made = sets.select("id", "v", dedup.least_moved(F.col("v"), moves).alias("s"))
+    for row in made.collect():
+        assert row["s"] == [min(((x * a + b) % dedup.PRIME for x in row["v"]), default=None) for a, b in moves]
+    plan = sets.select(dedup.minhash(F.transform("v", lambda x: x.cast("string")), 63).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambdafunction") <= 4
