@@ -1,5 +1,6 @@
 """What no single task may write or read whole."""
 
+from textmill.operators import terms
 from textmill.plans import queries, queries_files
 from textmill.plans.catalog import QUERIES
 
@@ -24,3 +25,28 @@ def test_a_streamed_batch_may_be_many_files(spark, tmp_path, monkeypatch):
     assert got == list(range(40))
     assert len(list((tmp_path / "stream" / "in").glob("part-*"))) > 5
     assert len(list((tmp_path / "stream" / "rows").glob("batch=*"))) == 5
+
+
+def test_pairs_are_counted_once_for_a_factorisation(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            counted.add(batch.num_rows)
+            yield batch
+
+    pairs = spark.createDataFrame([("a", "b", 2.0), ("b", "c", 1.0), ("a", "a", 3.0), ("c", "d", 0.0)], "a string, b string, weight double")
+    made = terms.embed_counts(pairs.mapInArrow(count, "a string, b string, weight double"), size=4, rounds=2)
+    assert sorted(r["token"] for r in made.collect()) == ["a", "b", "c"] and all(len(r["vec"]) == 4 for r in made.collect())
+    assert counted.value == 4
+
+
+def test_words_are_trained_by_as_many_tasks_as_can_run(spark, monkeypatch):
+    from pyspark.ml.feature import Word2Vec
+
+    seen = []
+    fit = Word2Vec.fit
+    monkeypatch.setattr(Word2Vec, "fit", lambda self, rows: seen.append(self.getNumPartitions()) or fit(self, rows))
+    lines = spark.createDataFrame([(["x", "y", "z"] * 5,)] * 8, "tokens array<string>")
+    assert sorted(r["token"] for r in terms.train_vectors(lines, size=4, epochs=1).collect()) == ["x", "y", "z"]
+    assert seen == [spark.sparkContext.defaultParallelism]
