@@ -1,6 +1,8 @@
-"""What no single task may write or read whole."""
+"""What no single task may write or read whole, and what is shuffled no more often than needed."""
 
-from textmill.operators import terms
+import numpy as np
+
+from textmill.operators import align, terms
 from textmill.plans import queries, queries_files
 from textmill.plans.catalog import QUERIES
 
@@ -50,3 +52,15 @@ def test_words_are_trained_by_as_many_tasks_as_can_run(spark, monkeypatch):
     lines = spark.createDataFrame([(["x", "y", "z"] * 5,)] * 8, "tokens array<string>")
     assert sorted(r["token"] for r in terms.train_vectors(lines, size=4, epochs=1).collect()) == ["x", "y", "z"]
     assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_blocks_of_vectors_grow_with_the_table(spark):
+    # Copies of a vector that are shuffled: one for each block of the other side.
+    assert align.n_blocks(615_384, align.BLOCK) + align.n_blocks(615_384, align.QUERIES) <= 40
+    assert align.n_blocks(10_000, align.BLOCK) > 1 and align.n_blocks(0, align.BLOCK) == 1
+    rows = np.random.default_rng(5).integers(-2, 3, (60, 4))  # with ties
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(rows.astype(float).tolist())], "id long, vec array<double>")
+    sims = rows @ rows.T
+    want = {i: sorted(range(60), key=lambda j: (-sims[i, j], j))[:2] for i in range(60)}
+    for block in (60, 7):
+        assert {r["id"]: [r["best_id"], r["second_id"]] for r in align.top2(vectors, vectors, block).collect()} == want

@@ -52,8 +52,14 @@ def pick_pivots(ids: DataFrame, n: int, seed: int = 0, id_col: str = "id") -> Da
     return ids.orderBy(F.md5(F.concat_ws(":", F.lit(seed), id_col).cast("binary")), id_col).limit(n)
 
 
-#: Source vectors, and queries, that a block holds.
-BLOCK, QUERIES = 4096, 16_384
+#: Source vectors, and queries, that a block holds at most; smaller tables are dealt into up to FEW blocks of SMALL rows, so that tasks are many.
+BLOCK, QUERIES, SMALL, FEW = 32_768, 32_768, 4096, 4
+#: Similarities that a task holds at once.
+CELLS = 4 << 20
+
+
+def n_blocks(rows: int, most: int) -> int:
+    return max(1, -(-rows // most), min(FEW, -(-rows // SMALL)))
 
 
 def top2(queries: DataFrame, source: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -61,9 +67,10 @@ def top2(queries: DataFrame, source: DataFrame, block: int = BLOCK) -> DataFrame
 
     Both sides are gathered in blocks, a pair of blocks is scored by matrix products in one task,
     and the blocks' best two are merged. Neither side is collected or broadcast, and a task
-    holds one block of each, whatever their sizes.
+    holds one block of each, whatever their sizes. Every block of one side meets every block of the
+    other, so what is shuffled is quadratic, divided by the rows of a block.
     """
-    n_held, n_asked = max(1, -(-source.count() // block)), max(1, -(-queries.count() // QUERIES))
+    n_held, n_asked = n_blocks(source.count(), block), n_blocks(queries.count(), QUERIES)
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     vectors = (F.col("id").alias("id"), F.col("vec").alias("vec"))
@@ -79,8 +86,9 @@ def top2(queries: DataFrame, source: DataFrame, block: int = BLOCK) -> DataFrame
         if left.num_rows and right.num_rows:
             own = right.sort_by("id")
             matrix, names = dense(own["vec"]), own["id"].to_numpy()
-            for start in range(0, left.num_rows, 1024):
-                some = left.slice(start, 1024)
+            step = max(1, CELLS // len(names))
+            for start in range(0, left.num_rows, step):
+                some = left.slice(start, step)
                 sims, rows = np.round(dense(some["vec"]) @ matrix.T, 9), np.arange(some.num_rows)
                 for _ in range(min(2, len(names))):  # the best, then the best of the rest; the first of equal ones has the smaller id
                     best = np.argmax(sims, axis=1)
