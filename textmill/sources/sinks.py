@@ -36,7 +36,7 @@ def snapshot(df: DataFrame, path: str, keep: list[str] | None = None, most: int
 def id_lines(df: DataFrame, path: str) -> None:
     """Lines of ids, and beside them in `path`.stats one JSON line with their number and ids."""
     df.select("line").write.mode("overwrite").text(path)
-    df.agg(F.count("*").alias("lines"), F.coalesce(F.sum(F.size(F.split("line", " "))), F.lit(0)).alias("tokens")).coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}.stats")
+    df.agg(F.count("*").alias("lines"), F.coalesce(F.sum(F.size(F.array_remove(F.split("line", " "), ""))), F.lit(0)).alias("tokens")).coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}.stats")
 
 
 def vector_lines(df: DataFrame, path: str) -> None:
